@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.llm.mixing import MAX_SOURCES, mix
 from notegraph.llm.packing import fill_containers, fill_report
+from notegraph.llm.shared_spans import expand_pairs, shared_chars, shared_spans
 from notegraph.llm.tokens import token_count
 from notegraph.session import cut
 from notegraph.sources.tables import table
@@ -49,5 +50,18 @@ def p8_all_tokens(spark: SparkSession, d: str) -> DataFrame:
     return mix(sizes, targets, size=size)[1].withColumnRenamed("size", "tokens")
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p8_mix, p8_shares, p8_all_tokens)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with a verbatim stretch of at least 200 characters in common."""
+    copies, pairs, _ = shared_spans(table(spark, d, "documents").select("doc_id", "text"))
+    return expand_pairs(copies, pairs).withColumnsRenamed({"a": "doc_a", "b": "doc_b"})
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document, how many characters stand in stretches that it shares with others."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    copies, _, intervals = shared_spans(docs)
+    return shared_chars(docs, copies, intervals)
+
+
+QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p8_mix, p8_shares, p8_all_tokens, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
