@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notegraph.plans import integrity
+from notegraph.plans import build, catalog, integrity
 
-MODULES = [integrity]
+MODULES = [catalog, build, integrity]
 
 
 def queries() -> dict:
