@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notegraph.plans import build, catalog, integrity
+from notegraph.plans import build, catalog, integrity, lint, measure
 
-MODULES = [catalog, build, integrity]
+MODULES = [catalog, build, lint, measure, integrity]
 
 
 def queries() -> dict:
