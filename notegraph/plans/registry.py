@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notegraph.plans import build, catalog, integrity, lint, measure
+from notegraph.plans import build, catalog, integrity, lint, measure, rdf, snapshot
 
-MODULES = [catalog, build, lint, measure, integrity]
+MODULES = [catalog, build, lint, measure, snapshot, rdf, integrity]
 
 
 def queries() -> dict:
