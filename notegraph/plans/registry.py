@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notegraph.plans import build, catalog, integrity, lint, measure, rdf, snapshot
+from notegraph.plans import author, build, catalog, integrity, lint, measure, rdf, snapshot
 
-MODULES = [catalog, build, lint, measure, snapshot, rdf, integrity]
+MODULES = [catalog, build, lint, measure, snapshot, author, rdf, integrity]
 
 
 def queries() -> dict:
@@ -16,4 +16,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, d: str):
-    return integrity.p4_found(spark, d)
+    """The graph built from the texts, in numbers."""
+    return build.build_stats(spark, d)
