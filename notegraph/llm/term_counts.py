@@ -66,7 +66,7 @@ def term_counts(rows: DataFrame, leaf_rows: int = LEAF_ROWS, memory: str = MEMOR
     spark = rows.sparkSession
     folder = work_folder(spark, "radix")
     base = rows.filter(F.col("term").isNotNull()).select("term", F.col("record").cast("string").alias("record"), "raw", "at")
-    by_term, by_record = F.xxhash64("term"), F.xxhash64("record", "raw", "at")
+    by_term, by_record = F.xxhash64("term"), F.xxhash64(F.lit(1), "record")
     total = base.count()
     bits = min(12, max(BITS, (total // leaf_rows).bit_length()))
     taken = {"term": 0, "record": 0}
@@ -75,12 +75,14 @@ def term_counts(rows: DataFrame, leaf_rows: int = LEAF_ROWS, memory: str = MEMOR
     def spill(df: DataFrame, level: int, key: Column, kind: str, n_bits: int) -> list[tuple[str, int]]:
         """Write one level; the sizes of its partitions (at most 2^n_bits for each oversized parent)."""
         radix = F.shiftrightunsigned(F.shiftleft(key, taken[kind]), 64 - n_bits).cast("int")
-        out = df.withColumn("radix", radix).withColumn("spread", F.pmod(by_record, F.lit(8)))
+        out = df.withColumn("radix", radix).withColumn("spread", F.pmod(F.xxhash64("record", "raw", "at"), F.lit(8)))
         out = out.repartition("parent", "radix", "spread").drop("spread")
         out.write.partitionBy("parent", "radix").parquet(f"{folder}/level{level}")
         taken[kind] += n_bits
-        sizes = spark.read.parquet(f"{folder}/level{level}").groupBy("parent", "radix").count().collect()
-        return [(f"{folder}/level{level}/parent={r['parent']}/radix={r['radix']}", r["count"]) for r in sizes]
+        one = (F.min("term") == F.max("term")) & (F.min("record") == F.max("record"))
+        sizes = spark.read.parquet(f"{folder}/level{level}").groupBy("parent", "radix").agg(F.count(F.lit(1)).alias("n"), F.coalesce(one, F.lit(True)).alias("one")).collect()
+        # the rows of one term in one record can't be split; DuckDB spills them
+        return [(f"{folder}/level{level}/parent={r['parent']}/radix={r['radix']}", min(r["n"], leaf_rows) if r["one"] else r["n"]) for r in sizes]
 
     level, todo = 0, spill(base.withColumn("parent", F.lit("0")), 0, by_term, "term", bits) if total else []
     while todo:
