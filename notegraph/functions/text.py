@@ -12,8 +12,8 @@ from notegraph.functions.looks import link_part
 _ASCII = r"\A\p{ASCII}*\z"
 _FM = r"\A---\n(?s:(.*?))\n---\n?"
 _HAS_FM = r"\A---\n(?s:.*?)\n---"
-FENCE = r"^[ \t]*(```|~~~)"
-INLINE = r"`[^`]*`"
+FENCE_LINE = r"(?md)^[ \t]*(?:```|~~~)[^\n]*"
+INLINE = r"`[^`\n]*`"
 LINK = r"(?<!\\)!?\[\[([^\[\]]+)\]\]"
 BODY_TAG = r"(?U)(?<![^\s])#([\p{L}\p{N}_/-]+)"
 
@@ -84,18 +84,13 @@ def link_target(raw: Column) -> Column:
 
 
 def strip_code(text: Column) -> Column:
-    """The text without code: fenced blocks become empty lines, inline code goes; lines stay in place."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        fence = line.rlike(FENCE)
-        kept = F.when(fence | acc["inside"], "").otherwise(F.regexp_replace(line, INLINE, ""))
-        return F.struct((fence != acc["inside"]).alias("inside"), F.array_append(acc["out"], kept).alias("out"))
-
-    # texts without a fence, most of them, need no fold
-    folded = F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.array_join(acc["out"], "\n"))
-    by_line = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, INLINE, "")), "\n")
-    return F.when(text.rlike(r"(?md)^[ \t]*(```|~~~)"), folded).when(text.contains("`"), by_line).otherwise(text)
+    """The text without code: fenced blocks become empty lines, inline code goes; lines stay in place.
+
+    The text is split at its fence lines; of the pieces, every second one is code.
+    """
+    pieces = F.split(text, FENCE_LINE)
+    kept = F.transform(pieces, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, INLINE, "")).otherwise(F.regexp_replace(x, r"[^\n]+", "")))
+    return F.when(text.contains("`") | text.contains("~~~"), F.array_join(kept, "")).otherwise(text)
 
 
 def links(body_text: Column) -> Column:

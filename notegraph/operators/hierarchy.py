@@ -12,10 +12,10 @@ from notegraph.session import cut
 BLOCK_BITS = 12
 
 
-def _jump(nodes: DataFrame, columns: list[str], prefix: str = "u_") -> DataFrame:
+def _jump(nodes: DataFrame, columns: list[str], rows: int, prefix: str = "u_") -> DataFrame:
     """Each row of `nodes` with `columns` of the row that its `up` points to (nulls at the root)."""
     target = nodes.select(F.col("id").alias("up"), *[F.col(c).alias(prefix + c) for c in columns])
-    return skew_join(nodes, target, "up", "left", heavy_keys(nodes, "up"))
+    return skew_join(nodes, target, "up", "left", heavy_keys(nodes, "up", rows=rows))
 
 
 def parents_of(links: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def subtree_sizes(links: DataFrame, extra: DataFrame | None = None) -> tuple[Dat
     while left:
         more = nodes.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         grown = nodes.join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        jumped = _jump(nodes.select("id", "up"), ["up"]).select("id", F.col("u_up").alias("up"))
+        jumped = _jump(nodes.select("id", "up"), ["up"], left).select("id", F.col("u_up").alias("up"))
         nodes = cut(grown.drop("up").join(jumped, "id"))
         now = nodes.filter(F.col("up").isNotNull()).count()
         if now == left:
@@ -62,17 +62,17 @@ def loops(loose: DataFrame) -> DataFrame:
     keeps its size it is exactly them. The smallest id goes round by doubling, too.
     """
     nodes, n = cut(loose.select("id", F.col("parent").alias("up"))), -1
-    steps = nodes
+    steps, rows = nodes, nodes.count()
     while True:
         image = steps.select("up").distinct().count()
         if image == n:
             break
         n = image
-        steps = cut(_jump(steps, ["up"]).select("id", F.col("u_up").alias("up")))
+        steps = cut(_jump(steps, ["up"], rows).select("id", F.col("u_up").alias("up")))
     on = steps.select(F.col("up").alias("id")).distinct()
     ring = cut(nodes.join(on, "id", "left_semi").withColumn("least", F.col("id")))
     while True:
-        new = cut(_jump(ring, ["up", "least"]).select("id", F.col("u_up").alias("up"), F.least("least", "u_least").alias("least"), (F.col("u_least") < F.col("least")).alias("moved")))
+        new = cut(_jump(ring, ["up", "least"], n).select("id", F.col("u_up").alias("up"), F.least("least", "u_least").alias("least"), (F.col("u_least") < F.col("least")).alias("moved")))
         ring = new.drop("moved")
         if new.filter("moved").isEmpty():
             return ring.select("id", F.col("least").alias("loop_head"))
@@ -90,8 +90,8 @@ def nested_sets(done: DataFrame) -> DataFrame:
     nodes = kids.select("id", "parent", "size", F.col("parent").alias("up"), (F.col("before") + 1).alias("lft"), F.lit(1).alias("depth"))
     start = roots.select("id", "parent", "size", F.lit(None).cast("string").alias("up"), F.lit(0).cast("bigint").alias("lft"), F.lit(0).alias("depth"))
     nodes = cut(nodes.unionByName(start).withColumn("root", F.coalesce("up", "id")))
-    while not nodes.filter(F.col("up").isNotNull()).isEmpty():
-        j = _jump(nodes, ["up", "lft", "depth", "root"])
+    while left := nodes.filter(F.col("up").isNotNull()).count():
+        j = _jump(nodes, ["up", "lft", "depth", "root"], left)
         nodes = cut(
             j.select(
                 "id", "parent", "size", F.col("u_up").alias("up"),

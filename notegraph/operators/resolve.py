@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.text import is_note, nfc, path_dir
 from notegraph.operators.skew import heavy_keys, skew_join
+from notegraph.session import cut
 
 
 def link_keys(targets: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def resolve(links: DataFrame, targets: DataFrame) -> DataFrame:
     targets are joined once for each folder they are linked from. A target with C candidates
     costs C rows for each such folder.
     """
+    targets = cut(targets.select("path").filter("path IS NOT NULL").distinct())
     keyed = links.withColumn("_key", nfc(F.col("target"))).withColumn("_dir", path_dir(F.col("src")))
     asked = keyed.select("_key", "_dir").distinct()
     keys = link_keys(targets).groupBy("key").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n"))

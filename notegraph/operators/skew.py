@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this share of all rows; so there are at most 64 hot keys.
 HOT_SHARE = 1 / 64
+#: So many rows fit in one task, whatever their keys; a caller that knows its rows skips the sketch.
+SMALL_ROWS = 200_000
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE, tracked: int = 4096) -> list:
+def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE, tracked: int = 4096, rows: int | None = None) -> list:
     """Keys that hold at least `share` of the non-null rows: at most 1/share of them, by construction.
 
     One pass with a frequent-items sketch of `tracked` counters. A key the sketch misses only
-    costs speed, never a row.
+    costs speed, never a row. rows: the number of rows, if known; few need no special care.
     """
+    if rows is not None and rows <= SMALL_ROWS:
+        return []
     most = int(1 / share)
     got = df.filter(F.col(key).isNotNull()).agg(
         F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
 from notegraph.operators.resolve import resolve
+from notegraph.operators.skew import heavy_keys, skew_join
 from notegraph.session import cut
 from notegraph.sources.tables import table
 
@@ -90,16 +91,14 @@ def build(notes: DataFrame, targets: DataFrame, bytes_column: str | None = None)
     parsed = cut(parse(inside.select("path", "text", "bytes")).drop("text", "fm", "body"))
     path = F.col("path")
     node = parsed.select("path", T.path_name(path).alias("name"), T.path_zone(path).alias("zone"), T.path_dir(path).alias("dir"), "type", "summary", "created", "bytes")
-    landed = resolve(named_links(parsed), targets)
+    landed = cut(resolve(named_links(parsed), targets))
     attached = (F.col("kind") == "links_to") & F.col("landed").isNotNull() & ~T.is_note(F.col("landed"))
     inside_dst = F.when(in_graph(F.col("landed")) & T.is_note(F.col("landed")), F.col("landed"))
     known = node.select(F.col("path").alias("dst"), F.lit(True).alias("is_node"))
-    from notegraph.operators.skew import heavy_keys, skew_join
-
     edges = landed.filter(~F.coalesce(attached, F.lit(False))).select("src", inside_dst.alias("dst"), F.col("target").alias("raw"), "kind")
     edges = skew_join(edges, known, "dst", "left", heavy_keys(edges, "dst")).select("src", F.when(F.col("is_node"), F.col("dst")).alias("dst"), "raw", "kind")
     tag = parsed.select("path", F.explode("tags").alias("tag"))
-    return Graph(node, edges.unionByName(folder_notes(node)), tag)
+    return Graph(node, cut(edges.unionByName(folder_notes(node))), tag)
 
 
 def vault_notes(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from notegraph.functions import text as T
 from notegraph.operators.resolve import case_collisions, duplicate_names, resolve
 from notegraph.plans.build import EXCLUDED_ZONES, PARSED, RESOLVED, parse, vault_notes, vault_targets
 from notegraph.plans.lint import SUMMARY_MAX, TYPES
+from notegraph.session import cut
 
 #: What the measurements look for in a text.
 BLANK_IN_BLOCK = r"(?md)^[a-z_]+:[ \t]*\n\n[ \t]+- "
@@ -82,7 +83,7 @@ def resolution(notes: DataFrame, targets: DataFrame) -> DataFrame:
     """scope, measure, n: links and frontmatter edges, and how many resolve nowhere."""
     from notegraph.plans.build import named_links
 
-    r = resolve(named_links(parse(notes)), targets)
+    r = resolve(cut(named_links(parse(notes))), targets)
     body, dead = (F.col("kind") == "links_to").cast("int"), F.col("landed").isNull().cast("int")
     return _scopes(r, {"links": body, "unresolved": body * dead, "edges": 1 - body, "edges unresolved": (1 - body) * dead}, "src")
 
@@ -91,7 +92,7 @@ def unresolved_targets(notes: DataFrame, targets: DataFrame, top: int = 20) -> D
     """target, n: the most frequent unresolved targets (a report; ties by text)."""
     from notegraph.plans.build import named_links
 
-    r = resolve(named_links(parse(notes)), targets).filter("landed IS NULL")
+    r = resolve(cut(named_links(parse(notes))), targets).filter("landed IS NULL")
     return r.groupBy("target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target").limit(top)
 
 
