@@ -139,17 +139,17 @@ def infer(t: DataFrame) -> DataFrame:
     def made(df: DataFrame, s: str, p: str | Column, o: str) -> DataFrame:
         return df.select(F.col(s).alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o"), F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("lang"))
 
-    def closed(pairs: DataFrame) -> DataFrame:
-        return all_pairs(pairs.select(F.col("s").alias("src"), F.col("o").alias("dst")))
-
     n = known.count()
     while True:
         of = lambda p: known.filter(F.col("p") == p).select("s", "o")  # noqa: E731, B023
         things = known.filter("o_kind = 'iri'")
-        above = closed(of(SUB_CLASS))
-        types = of(RDF_TYPE)
-        new = [made(above.withColumnRenamed("src", "s").withColumnRenamed("dst", "o"), "s", SUB_CLASS, "o")]
-        new.append(made(types.join(above, types["o"] == above["src"]), "s", RDF_TYPE, "dst"))
+        types, above = of(RDF_TYPE), of(SUB_CLASS)
+        # transitive properties, subClassOf among them: each round doubles the length of the chains known
+        trans = types.filter(F.col("o") == TRANSITIVE).select(F.col("s").alias("p")).union(known.sparkSession.createDataFrame([(SUB_CLASS,)], "p string")).distinct()
+        steps = things.join(trans, "p").select("p", "s", "o")
+        chained = steps.withColumnRenamed("o", "via").join(steps.select("p", F.col("s").alias("via"), "o"), ["p", "via"])
+        new = [made(chained, "s", F.col("p"), "o")]
+        new.append(made(types.withColumnRenamed("o", "via").join(above.select(F.col("s").alias("via"), "o"), "via"), "s", RDF_TYPE, "o"))
         for schema, end, source in ((DOMAIN, "s", known), (RANGE, "o", things)):
             rule = of(schema).select(F.col("s").alias("rule_p"), F.col("o").alias("cls"))
             new.append(made(source.join(rule, source["p"] == rule["rule_p"]).select(F.col(end).alias("x"), "cls"), "x", RDF_TYPE, "cls"))
@@ -158,9 +158,6 @@ def infer(t: DataFrame) -> DataFrame:
         new.append(made(things.join(both, things["p"] == both["a"]), "o", F.col("b"), "s"))
         sym = types.filter(F.col("o") == SYMMETRIC).select(F.col("s").alias("a"))
         new.append(made(things.join(sym, things["p"] == sym["a"]), "o", F.col("p"), "s"))
-        # the list of transitive properties is part of the schema, a handful of rows
-        for row in types.filter(F.col("o") == TRANSITIVE).select("s").distinct().orderBy("s").limit(1000).toLocalIterator():
-            new.append(made(closed(of(row["s"])), "src", row["s"], "dst"))
         known = cut(merge(known, *new))
         more = known.count()
         if more == n:
