@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notegraph.plans import author, build, catalog, integrity, lint, measure, rdf, snapshot
+from notegraph.plans import author, build, catalog, integrity, lint, measure, older, rdf, snapshot
 
-MODULES = [catalog, build, lint, measure, snapshot, author, rdf, integrity]
+MODULES = [catalog, build, lint, measure, snapshot, author, rdf, older, integrity]
 
 
 def queries() -> dict:
