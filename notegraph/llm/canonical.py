@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from notegraph.operators.skew import heavy_keys, skew_join
 
@@ -68,7 +69,8 @@ def canonical_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     that are exactly an entry need no mapping. Names and values are compared by letters and digits
     only, without case; names under 4 of these allow no slip, 4 to 6 one, longer ones two. The
     fewest slips win, a tie goes to the smaller entry by code point. An empty reference leaves all
-    values unmatched; entries that are null are skipped.
+    values unmatched; entries that are null are skipped. A very long value has no candidate, as
+    candidates differ by two letters in length at most.
 
     SQL only: segments of the names are equi-joined with substrings of the values at the same
     place (give or take the slips), candidates are verified with the built-in levenshtein, and
@@ -91,7 +93,10 @@ def canonical_values(values: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def canonical_rows(rows: DataFrame, row_id: str, value: str, reference: DataFrame) -> DataFrame:
-    """row_id, entry for each row whose value needs mapping; repeated rows count once."""
-    ids = rows.select(row_id, rows[value].alias("value")).distinct()
+    """row_id, entry for each row whose value needs mapping; repeated rows count once.
+
+    Further columns of `rows` may have any name. A null row_id is kept as such.
+    """
+    ids = rows.select(rows[row_id].alias("_id"), rows[value].alias("value")).distinct()
     mapped = canonical_values(ids, reference).select("value", "entry")
-    return skew_join(ids, mapped, "value", "inner", heavy_keys(ids, "value")).select(row_id, "entry")
+    return skew_join(ids, mapped, "value", "inner", heavy_keys(ids, "value")).select(F.col("_id").alias(row_id), "entry")

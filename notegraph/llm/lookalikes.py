@@ -17,7 +17,8 @@ def consistent_forms(values: DataFrame) -> DataFrame:
     form is the one consistent spelling: widths, joined letters, blanks, hyphens, accents and
     invisible characters normalised, and every token spelled in the one script its letters share
     (the intersection of their resolved script sets; Latin if it is among several). kind tells how
-    the value's letters were disguised: none, mixed-script or whole-script.
+    the value's letters were disguised: none, mixed-script or whole-script. An empty table gives no
+    rows, the empty string is its own form, long texts are taken whole, other columns are ignored.
     """
     spark = values.sparkSession
     v = values.select("value").filter("value IS NOT NULL").distinct()
@@ -28,7 +29,8 @@ def differing_spellings(left: DataFrame, right: DataFrame) -> DataFrame:
     """value_a, value_b: spellings of `left` and `right` (columns value, form) that look the same and differ.
 
     Only distinct spellings meet, and only in forms that have more than one; so the rows of a
-    popular text are never paired with each other.
+    popular text are never paired with each other. Repeated rows of `left` or `right` are the
+    caller's to drop; null values and forms pair with nothing.
     """
     both = left.select("form", "value").unionByName(right.select("form", "value"))
     several = both.groupBy("form").agg((F.min("value") < F.max("value")).alias("s")).filter("s").select("form")

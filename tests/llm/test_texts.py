@@ -207,3 +207,36 @@ def test_nothing_shared(spark):
     assert pairs.count() == 0 and S.expand_pairs(copies, pairs).count() == 0
     assert {tuple(r) for r in S.shared_chars(df, copies, intervals).collect()} == {(1, 1, 0), (2, 0, 0)}
     assert S.shared_spans(df.limit(0))[1].count() == 0
+
+
+def test_hot_keys_in_a_chunk_and_long_texts(spark):
+    rnd = random.Random(12)
+    word = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    stock = word(260)
+    docs = [(i, word(rnd.randint(0, 60)) + stock[: 200 + i % 60] + word(30)) for i in range(90)]
+    end = word(300)
+    docs += [(500, word(1_100_000) + end), (501, end + word(50)), (502, word(400))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    copies, pairs, intervals = S.shared_spans(df)
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90)} | {(500, 501)}
+    assert {tuple(r) for r in S.expand_pairs(copies, pairs).collect()} == want
+    got = {r["doc_id"]: r["shared"] for r in S.shared_chars(df, copies, intervals).collect()}
+    assert (got[500], got[501], got[502]) == (300, 300, 0)
+
+
+def test_recompression_is_consistent_inside_equal_substrings():
+    import numpy as np
+
+    rnd = random.Random(13)
+    for alphabet in ("ab", "abcdefghij", "a" * 6 + "b"):
+        word = lambda k: "".join(rnd.choice(alphabet) for _ in range(k))  # noqa: E731, B023
+        same = word(400)
+        seen = []
+        for _ in range(2):
+            before = word(rnd.randint(0, 100))
+            codes = np.frombuffer((before + same + word(rnd.randint(0, 100))).encode("utf-32-le"), np.uint32)
+            name, start = S.recompress(codes.copy())
+            inside = (start >= len(before) + S.RIM) & (start < len(before) + 400 - S.RIM - 2 * S.ACTIVE)
+            seen.append(list(zip(name[inside].tolist(), (start[inside] - len(before)).tolist())))
+            assert np.diff(np.append(start, len(codes))).max() <= 2 * S.ACTIVE
+        assert seen[0] == seen[1]
