@@ -142,5 +142,7 @@ SELECT CAST(x[1] AS INTEGER) AS least, CAST(x[CAST(floor(len(x) / 2) AS BIGINT)
     "measure_names": f"""WITH {_NAMES} SELECT 'duplicate names' AS measure, count(*) AS n FROM dup UNION ALL SELECT 'duplicate files', CAST(coalesce(sum(n), 0) AS BIGINT) FROM dup
 UNION ALL SELECT 'case collisions', count(*) FROM (SELECT lower(key) FROM k GROUP BY lower(key) HAVING count(DISTINCT key) > 1)
 UNION ALL SELECT 'names not in NFC', count(*) FROM t WHERE path LIKE '%.md' AND string_split(path, '/')[-1] <> nfc_normalize(string_split(path, '/')[-1])""",
+    "case_collisions": f"""WITH {_NAMES}, folded AS (SELECT DISTINCT replace(lower(key), 'ß', 'ss') AS folded, key FROM k)
+SELECT folded, array_to_string(list_sort(list(key)), '|') AS names FROM folded GROUP BY folded HAVING count(*) > 1""",
     "duplicate_names": f"WITH {_NAMES} SELECT key, paths, n FROM dup",
 }

@@ -233,7 +233,18 @@ from notegraph.plans.catalog import _G  # noqa: E402
 _ENC = "replace(replace(replace(replace(url_encode(nfc_normalize({0})), '%2F', '/'), '~', '%7E'), '%2A', '*'), '+', '%20')"
 _TAGS = "up AS (SELECT DISTINCT array_to_string(x[:i], '/') AS child, array_to_string(x[:i - 1], '/') AS parent FROM (SELECT x, unnest(range(2, len(x) + 1)) AS i FROM (SELECT DISTINCT string_split(tag, '/') AS x FROM gt)))"
 _TREE = "tree(child, anc) AS (SELECT child, parent FROM up UNION SELECT t.child, u.parent FROM tree t JOIN up u ON u.child = t.anc)"
+_NOTE = f"'{VAULT}note/' || {_ENC}"
+_TAG = f"'{VAULT}tag/' || {_ENC}"
 SQL = {
+    "rdf_pattern": f"""WITH {_G}, hit AS (SELECT DISTINCT e.src AS a, e.dst AS b FROM ge e JOIN gn x ON nfc_normalize(x.path) = nfc_normalize(e.src) AND x.type = 'concept' JOIN gn y ON nfc_normalize(y.path) = nfc_normalize(e.dst) AND y.type = 'decision' WHERE e.kind = 'builds_on')
+SELECT DISTINCT {_NOTE.format('a')} AS a, {_NOTE.format('b')} AS b, {_TAG.format('t.tag')} AS tag FROM hit LEFT JOIN gt t ON nfc_normalize(t.path) = nfc_normalize(hit.a)""",
+    "rdf_orphans": f"""WITH {_G} SELECT DISTINCT {_NOTE.format('path')} AS note FROM gn WHERE type <> ''
+AND nfc_normalize(path) NOT IN (SELECT nfc_normalize(dst) FROM ge WHERE dst IS NOT NULL)""",
+    "rdf_paths": f"""WITH RECURSIVE {_G}, {_TAGS}, {_TREE}
+SELECT {_TAG.format('child')} AS s, {_TAG.format('anc')} AS o, 'broader+' AS path FROM tree
+UNION ALL SELECT s, o, 'builds_on/supersedes|^supersedes' FROM (
+  SELECT {_NOTE.format('b.src')} AS s, {_NOTE.format('p.dst')} AS o FROM ge b JOIN ge p ON nfc_normalize(p.src) = nfc_normalize(b.dst) AND p.kind = 'supersedes' AND p.dst IS NOT NULL WHERE b.kind = 'builds_on'
+  UNION SELECT {_NOTE.format('dst')}, {_NOTE.format('src')} FROM ge WHERE kind = 'supersedes' AND dst IS NOT NULL)""",
     "rdf_triples": f"""WITH {_G}, {_TAGS}
 SELECT '{RDF_TYPE}' AS p, 'iri' AS o_kind, NULL::VARCHAR AS datatype, NULL::VARCHAR AS lang, count(*) AS n, count(DISTINCT path) AS subjects FROM gn WHERE type <> ''
 UNION ALL SELECT '{VAULT}summary', 'literal', NULL, 'ko', count(*), count(DISTINCT path) FROM gn WHERE summary <> ''
