@@ -153,18 +153,20 @@ def _chunks(ids: list, texts: list, least: int) -> Iterator[tuple[np.ndarray, np
         yield emit()
 
 
-_KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("hot", pa.bool_())])
+_KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("hot", pa.bool_())])
 
 
-def _drop_periodic(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
-    """Rows to keep: of occurrences of one key that overlap on both sides (a periodic text), the rims."""
+def _chains(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows to keep, their last position): three or more occurrences of a key that overlap or touch (a periodic text) become one row, from the first to the last."""
     order = np.lexsort((pos, key, doc))
-    same = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1]) & (np.diff(pos[order]) <= length)
-    inner = np.zeros(len(order), bool)
-    inner[1:-1] = same[:-1] & same[1:]
-    keep = np.ones(len(order), bool)
-    keep[order[inner]] = False
-    return keep
+    near = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1]) & (np.diff(pos[order]) <= length)
+    first = np.flatnonzero(np.append(True, ~near)) if len(order) else order
+    size = np.diff(np.append(first, len(order)))
+    head, times = np.repeat(first, size), np.repeat(size, size)
+    rows = np.arange(len(order))
+    keep = (times < 3) | (rows == head)
+    last = pos[order][np.where(times < 3, rows, head + times - 1)]
+    return order[keep], last[keep]
 
 
 def _find_keys(least: int, length: int):
@@ -177,7 +179,7 @@ def _find_keys(least: int, length: int):
                 at, row = at[fits], row[fits]
                 key = _grams(codes, at, length).view(np.int64)
                 doc, pos = ids[row], (at - firsts[row]).astype(np.int32)
-                keep = _drop_periodic(row, key, pos, length)
+                keep, last = _chains(row, key, pos, length)
                 key, doc, pos = key[keep], doc[keep], pos[keep]
                 uniq, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
                 hot = (times >= HOT_IN_CHUNK)[inverse]
@@ -187,6 +189,7 @@ def _find_keys(least: int, length: int):
                         pa.array(np.concatenate([key, marks])),
                         pa.array(np.concatenate([doc, np.full(len(marks), -1)])),
                         pa.array(np.concatenate([pos, np.full(len(marks), -1, np.int32)])),
+                        pa.array(np.concatenate([last, np.full(len(marks), -1, np.int32)])),
                         pa.array(np.concatenate([hot, np.zeros(len(marks), bool)])),
                     ],
                     schema=_KEYS,
@@ -201,14 +204,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     t = pa.Table.from_batches(held)
-    key, doc, pos, hot = (t[c].to_numpy() for c in ("key", "doc", "pos", "hot"))
+    key, doc, pos, last, hot = (t[c].to_numpy() for c in ("key", "doc", "pos", "last", "hot"))
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else order
     low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
     several = np.empty(len(order), bool)
     several[order] = np.repeat(low < high, np.diff(np.append(first, len(order))))
     keep = (several | hot) & (pos >= 0)
-    yield from pa.table({"key": key[keep], "doc": doc[keep], "pos": pos[keep]}).to_batches(max_chunksize=100_000)
+    yield from pa.table({"key": key[keep], "doc": doc[keep], "pos": pos[keep], "last": last[keep]}).to_batches(max_chunksize=100_000)
 
 
 _CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("text", pa.string()), ("before", pa.int32()), ("after", pa.int32())])
@@ -282,17 +285,24 @@ def _verify(least: int, length: int, reach: int):
 
 
 def _least_grams(least: int, length: int):
-    """The grams of `least` characters around each hit, named by two hashes."""
+    """The grams of `least` characters around each hit, named by two hashes: start of the first, stop of the last of those of a gram that overlap or touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "hits"))):
                 codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                pos = np.array([h["pos"] for h in hits], np.int64)
-                starts = np.unique((pos[:, None] - np.arange(least - length + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts + least <= len(codes))]
+                pos, last = (np.array([h[c] for h in hits], np.int64) for c in ("pos", "last"))
+                lo, hi = np.maximum(pos - (least - length), 0), np.minimum(last, len(codes) - least) + 1
+                edges = np.zeros(len(codes) + 2, np.int64)
+                np.add.at(edges, lo[lo < hi], 1)
+                np.add.at(edges, hi[lo < hi], -1)
+                starts = np.flatnonzero(np.cumsum(edges))
                 g = [_grams(codes, starts, least, base).view(np.int64) for base in _BASES]
-                yield pa.RecordBatch.from_arrays([pa.array(g[0]), pa.array(g[1]), pa.array(np.full(len(starts), doc)), pa.array(starts)], names=["g1", "g2", "doc", "start"])
+                order = np.lexsort((starts, g[1], g[0]))
+                (g1, g2), starts = (x[order] for x in g), starts[order]
+                first = np.flatnonzero(np.append(True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (np.diff(starts) > least))) if len(starts) else starts
+                stops = starts[np.append(first[1:], len(starts)) - 1] + least if len(starts) else starts
+                yield pa.RecordBatch.from_arrays([pa.array(g1[first]), pa.array(g2[first]), pa.array(np.full(len(first), doc)), pa.array(starts[first]), pa.array(stops)], names=["g1", "g2", "doc", "start", "stop"])
 
     return run
 
@@ -304,12 +314,12 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     copies: doc, rep - each document with the smallest id that has the very same text; only the
     representatives are compared. pairs: value_a < value_b, representatives that share a stretch.
     intervals: doc, start, stop - stretches of a representative that stand in another one; their
-    union is what it shares. (Inside a periodic stretch, such as a line of dashes, only the rims
-    are looked up, so its middle may be missing from the union, not from the pairs.)
+    union is what it shares.
 
     No group is compared all against all: keys of more than PAIRWISE rows are split by their grams
-    of `least` characters, whose groups are pairs of the result themselves. Keys that are hot in a
-    chunk are spread over all tasks.
+    of `least` characters, whose groups are pairs of the result themselves. So are keys that repeat
+    in a periodic stretch, such as a line of dashes: the stretch travels as one row and yields each
+    of its grams once. Keys that are hot in a chunk are spread over all tasks.
     """
     if least < LEAST:
         raise ValueError(f"the window and rims are laid out for at least {LEAST} characters")
@@ -328,11 +338,11 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(chars / 30 / 1_000_000) + 1)
-    keys = docs.mapInArrow(_find_keys(least, length), "key bigint, doc bigint, pos int, hot boolean")
+    keys = docs.mapInArrow(_find_keys(least, length), "key bigint, doc bigint, pos int, last int, hot boolean")
     spread = F.when(F.col("hot"), F.xxhash64("key", "doc")).otherwise(F.xxhash64("key"))
-    hits = cut(keys.repartition(tasks, spread).mapInArrow(_shared, "key bigint, doc bigint, pos int"))
-    sizes = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    large = cut(sizes.filter(F.col("rows") > PAIRWISE).select("key"))
+    hits = cut(keys.repartition(tasks, spread).mapInArrow(_shared, "key bigint, doc bigint, pos int, last int"))
+    sizes = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("last") > F.col("pos")).alias("periodic"))
+    large = cut(sizes.filter((F.col("rows") > PAIRWISE) | F.col("periodic")).select("key"))
     n_large = large.count()
     if n_large:
         flag = might_contain(hits, bloom_of(large, F.col("key"), n_large), F.col("key"))
@@ -341,7 +351,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     else:
         marked = hits.withColumn("is_large", F.lit(None).cast("boolean"))
     pick = lambda big: F.filter("hits", lambda h: h["is_large"].isNotNull() if big else h["is_large"].isNull())
-    by_doc = cut(marked.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "is_large")).alias("hits")))
+    by_doc = cut(marked.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "last", "is_large")).alias("hits")))
     n_docs = by_doc.count()
     wanted = docs.filter(might_contain(docs, bloom_of(by_doc, F.col("doc"), n_docs), F.col("doc"))).join(by_doc, "doc")
     kind = "key bigint, doc bigint, pos int, text string, before int, after int"
@@ -354,7 +364,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
         verified.select(F.col("doc_b").alias("doc"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("n")).alias("stop"))
     )
     if n_large:
-        grams = wanted.select("doc", "text", pick(True).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_least_grams(least, length), "g1 bigint, g2 bigint, doc bigint, start bigint")
+        grams = wanted.select("doc", "text", pick(True).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_least_grams(least, length), "g1 bigint, g2 bigint, doc bigint, start bigint, stop bigint")
         grams = cut(grams)
         groups = grams.groupBy("g1", "g2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc", "start")).alias("x")).filter("lo < hi").drop("lo", "hi")
         met = cut(grams.join(groups, ["g1", "g2"]))
@@ -364,7 +374,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
         members = cut(met.join(chosen, ["g1", "g2"]).select("g1", "g2", "doc").distinct())
         more = members.withColumnRenamed("doc", "value_a").join(members.withColumnRenamed("doc", "value_b"), ["g1", "g2"]).filter("value_a < value_b").select("value_a", "value_b")
         pairs = pairs.unionByName(more).distinct()
-        intervals = intervals.unionByName(met.select("doc", "start", (F.col("start") + least).alias("stop")))
+        intervals = intervals.unionByName(met.select("doc", "start", "stop"))
     return copies, pairs, intervals
 
 

@@ -201,6 +201,22 @@ def test_periodic_texts(spark):
     assert {tuple(r) for r in S.expand_pairs(copies, pairs).collect()} == want
 
 
+def test_periodic_texts_of_other_phases(spark):
+    rnd = random.Random(13)
+    word = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    docs = []
+    for size in (20, 33, 40, 47, 57, 64, 80, 100):
+        line = word(size) * 30
+        for n in (416, 205, 230, 330, 1200, 199, 210, 275):
+            at = rnd.randrange(size)
+            docs.append((len(docs), word(rnd.randint(0, 70)) + "Z" + line[at : at + n] + "Y" + word(rnd.randint(0, 70))))
+    want, cover = brute(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    copies, pairs, intervals = S.shared_spans(df)
+    assert {tuple(r) for r in S.expand_pairs(copies, pairs).collect()} == want
+    assert {r["doc_id"]: r["shared"] for r in S.shared_chars(df, copies, intervals).collect()} == cover
+
+
 def test_nothing_shared(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     copies, pairs, intervals = S.shared_spans(df)
