@@ -226,7 +226,32 @@ def rdf_inferred(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (rdf_triples, rdf_pattern, rdf_orphans, rdf_paths, rdf_inferred)}
+def vault_schema(t: DataFrame) -> DataFrame:
+    """The schema triples of a vault: each type in `t` is a kind of Document, as are the two ends of builds_on."""
+    document = f"{VAULT}type/Document"
+    fixed = [
+        (f"{VAULT}builds_on", RDF_TYPE, TRANSITIVE), (f"{VAULT}builds_on", DOMAIN, document), (f"{VAULT}builds_on", RANGE, document),
+        (f"{VAULT}linked_by", INVERSE, f"{VAULT}links_to"), (BROADER, RDF_TYPE, TRANSITIVE), (BROADER, INVERSE, BROADER.replace("broader", "narrower")),
+    ]
+    kinds = t.filter(F.col("p") == RDF_TYPE).select(F.col("o").alias("s")).filter(F.col("s") != document).distinct()
+    return _triple(kinds, F.col("s"), SUB_CLASS, F.lit(document)).unionByName(_triple(t.sparkSession.createDataFrame(fixed, "s string, p string, o string"), F.col("s"), F.col("p"), F.col("o")))
+
+
+def inference_report(t: DataFrame) -> DataFrame:
+    """p, before, after, ratio: what the schema of the vault adds to `t`, by predicate; p is null over all."""
+    before = cut(merge(t, vault_schema(t)))
+    after = infer(before)
+    n = lambda df, name: df.groupBy("p").agg(F.count(F.lit(1)).alias(name))
+    by_p = n(after, "after").join(n(before, "before"), "p", "left").select("p", F.coalesce("before", F.lit(0)).alias("before"), "after", (F.col("after") / F.col("before")).alias("ratio"))
+    return by_p.unionByName(explosion(before, after).withColumn("p", F.lit(None).cast("string")))
+
+
+def rdf_inferred_vault(spark: SparkSession, d: str) -> DataFrame:
+    """Inference over all triples, and how many times as many there are then."""
+    return inference_report(cut(triples(latest(spark, d))))
+
+
+QUERIES = {f.__name__: f for f in (rdf_triples, rdf_pattern, rdf_orphans, rdf_paths, rdf_inferred, rdf_inferred_vault)}
 
 from notegraph.plans.catalog import _G  # noqa: E402
 

@@ -2,6 +2,7 @@
 
 import io
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,15 @@ def test_paths_and_inference(spark):
     assert tuple(rdf.explosion(schema, rdf.infer(schema)).first()) == (12, 21, 21 / 12)
 
 
+def test_inference_over_the_vault(spark):
+    node = spark.createDataFrame([(x, "concept" if x == "a" else "", None, None) for x in "abcd"], "path string, type string, summary string, created string")
+    edge = spark.createDataFrame([("a", "b", "", "builds_on"), ("b", "c", "", "builds_on"), ("c", "d", "", "builds_on"), ("a", "d", "", "links_to")], "src string, dst string, raw string, kind string")
+    tag = spark.createDataFrame([("a", "S/P/q")], "path string, tag string")
+    got = {r["p"] and re.split("[:#]", r["p"])[-1]: tuple(r)[1:] for r in rdf.inference_report(rdf.triples(Graph(node, edge, tag))).collect()}
+    assert got.pop(None) == (15, 27, 27 / 15)
+    assert got == {"type": (3, 7, 7 / 3), "subClassOf": (1, 1, 1.0), "domain": (1, 1, 1.0), "range": (1, 1, 1.0), "inverseOf": (2, 2, 1.0), "builds_on": (3, 6, 2.0), "links_to": (1, 1, 1.0), "linked_by": (0, 1, None), "tag": (1, 1, 1.0), "broader": (2, 3, 1.5), "narrower": (0, 3, None)}
+
+
 @pytest.fixture
 def files(tmp_path):
     for path, text in {"_Index.md": GOOD + "[[x]]", "_T/t.md": GOOD, ".hid/h.md": "h", "a/x.md": GOOD + "[[_Index]]\r\n[[gone]]", "a/.y.md": "y", "a/p.png": "p", "a/é.md": GOOD}.items():
