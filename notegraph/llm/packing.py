@@ -40,37 +40,42 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def fullest(space: int, values: list[int], counts: dict[int, int], nodes: int) -> list[int]:
     """Of the fillings of `space` from the sizes `values` (ascending), the fullest found.
 
-    Depth first, larger items first, so that of two equally full ones that with the larger items
+    Each node takes a size and how many of it. Depth first, larger items first, so that of two equally full ones that with the larger items
     wins, which dominates the other. A full one ends the search: nothing dominates it.
     """
     best: list[int] = []
     best_sum, visited = 0, 0
-    stack: list[int] = []
-
-    def walk(left: int, top: int) -> bool:
-        nonlocal best, best_sum, visited
+    stack: list[tuple[int, int]] = []  # (place in values, how many of it)
+    left, at = space, len(values) - 1
+    while True:
+        at = min(at, bisect_right(values, left) - 1)
+        if at >= 0:
+            times = min(counts[values[at]], left // values[at])
+        else:
+            while stack:
+                at, times = stack.pop()
+                left += times * values[at]
+                times -= 1
+                if times:
+                    break
+                at -= 1
+                if at >= 0:
+                    break
+            else:
+                return best
+            if not times:
+                continue
+        v = values[at]
+        stack.append((at, times))
+        left -= times * v
         visited += 1
-        if space - left > best_sum:
-            best, best_sum = stack[:], space - left
+        if space - left > best_sum or (0 < left < v and left in counts):
+            best, best_sum = [values[i] for i, k in stack for _ in range(k)], space - left
+            if 0 < left < v and left in counts:
+                return [*best, left]
         if left == 0 or visited > nodes:
-            return True
-        if left <= top and counts.get(left, 0) > stack.count(left):
-            best, best_sum = [*stack, left], space
-            return True
-        at = bisect_right(values, min(left, top)) - 1
-        while at >= 0:
-            v = values[at]
-            if counts[v] > stack.count(v):
-                stack.append(v)
-                if walk(left - v, v):
-                    stack.pop()
-                    return True
-                stack.pop()
-            at -= 1
-        return False
-
-    walk(space, space)
-    return best
+            return best
+        at -= 1
 
 
 def undominated(first: int, rest: list[int], capacity: int, most: int = 64) -> list[list[int]]:

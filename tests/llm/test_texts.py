@@ -38,6 +38,14 @@ def test_pack(seed):
     assert len([b for b in bins if any(sizes[i] for i in b)]) <= len(P.best_fit([s for s in sizes if s], 100))
 
 
+@pytest.mark.parametrize("sizes", [[1] * 20_000, [1] * 15_000 + [2] * 5_000, [3] * 9_000 + list(range(4, 400))])
+def test_pack_many_tiny_items(sizes):
+    bins = P.pack(sizes, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 4096 for b in bins)
+    assert len(bins) == -(-sum(sizes) // 4096)
+
+
 def least_bins(sizes, capacity):
     """Fewest containers, by search."""
     best = len(sizes)
