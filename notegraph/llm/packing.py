@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,32 +79,42 @@ def fullest(space: int, values: list[int], counts: dict[int, int], nodes: int) -
         at -= 1
 
 
-def undominated(first: int, rest: list[int], capacity: int, most: int = 64) -> list[list[int]]:
-    """Fillings around the item of size `first` from `rest` (descending), fullest first.
+def undominated(first: int, rest: list[int], capacity: int) -> Iterator[list[int]]:
+    """Fillings around the item of size `first` from `rest` (descending), fullest first, one at a time.
 
     Only maximal ones: no left-out item fits, nor does a larger left-out one in place of one taken.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    seen: set[tuple[int, ...]] = set()
-
-    def walk(at: int, left: int, taken: list[int]) -> None:
-        if len(found) >= 4 * most:
+    space = capacity - first
+    groups = [(v, rest.index(v), rest.count(v)) for v in sorted(set(rest), reverse=True)]
+    sums = [1] * (len(groups) + 1)  # bit s: some of the groups from here on fill s
+    for g in reversed(range(len(groups))):
+        sums[g] = sums[g + 1]
+        for _ in range(groups[g][2]):
+            sums[g] |= sums[g] << groups[g][0]
+        sums[g] &= (1 << (space + 1)) - 1
+
+    def walk(g: int, left: int, waste: int, least: int, taken: list[int], dead: set) -> Iterator[list[int]]:
+        """least: the smallest size of which one is left out."""
+        if not sums[g] >> left & 1 or (g, left, least) in dead:
             return
-        grown, last = False, None
-        for i in range(at, len(rest)):
-            if rest[i] <= left and rest[i] != last:
-                last, grown = rest[i], True
-                walk(i + 1, left - rest[i], [*taken, i])
-        key = tuple(rest[i] for i in taken)
-        if not grown and key not in seen:
-            seen.add(key)
-            out = [rest[i] for i in range(len(rest)) if i not in set(taken)]
-            if any(o <= left for o in out) or any(t < o <= t + left for t in key for o in out):
-                return
-            found.append((left, tuple(taken)))
-
-    walk(0, capacity - first, [])
-    return [list(t) for _, t in sorted(found)[:most]]
+        if g == len(groups):
+            yield taken
+            return
+        v, at, count = groups[g]
+        found = False
+        for k in range(min(count, left // v) if v + waste < least else 0, -1, -1):
+            if k < count and v <= waste:
+                break
+            for filling in walk(g + 1, left - k * v, waste, least if k == count else v, [*taken, *range(at, at + k)], dead):
+                found = True
+                yield filling
+        if not found:
+            dead.add((g, left, least))
+
+    for waste in range(space + 1):
+        if sum(v for v in rest if v <= waste) > space - waste:
+            return
+        yield from walk(0, space - waste, waste, 2 * capacity + 1, [], set())
 
 
 def branch_and_bound(sizes: list[int], capacity: int, nodes: int = TAIL_NODES) -> list[list[int]]:

@@ -73,6 +73,22 @@ def test_branch_and_bound_is_optimal_on_small_inputs(seed):
     assert len(P.branch_and_bound(sizes, 100)) == least_bins(sizes, 100)
 
 
+def test_all_undominated_fillings_come_fullest_first():
+    from itertools import combinations
+
+    rest, first, capacity = [29, 27, 26, 25, 23, 22, 20, 19, 17, 16, 14, 13, 11, 7, 5], 20, 120
+    want = set()
+    for n in range(len(rest) + 1):
+        for taken in combinations(range(len(rest)), n):
+            left = capacity - first - sum(rest[i] for i in taken)
+            out = [rest[i] for i in range(len(rest)) if i not in taken]
+            if left >= 0 and not any(o <= left for o in out) and not any(rest[t] < o <= rest[t] + left for t in taken for o in out):
+                want.add(taken)
+    got = [tuple(f) for f in P.undominated(first, rest, capacity)]
+    sums = [sum(rest[i] for i in f) for f in got]
+    assert len(want) > 64 and set(got) == want and len(got) == len(want) and sums == sorted(sums, reverse=True)
+
+
 def test_containers(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice([rnd.randint(1, 60), 100, 250, 0])) for i in range(300)] + [(900, None), (901, -5)]
