@@ -42,12 +42,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sizes(spark, d), table(spark, d, "mix_target"))[1].withColumnRenamed("size", "tokens")
 
 
-def p8_all_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Shares when as many tokens are asked for as the listed sources have: small ones fall short."""
+def _all_tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix when as many tokens are asked for as the listed sources have."""
     sizes, targets = _sizes(spark, d), table(spark, d, "mix_target")
     listed = sizes.join(F.broadcast(targets.select("source").limit(MAX_SOURCES)), "source", "left_semi")
     size = listed.agg(F.sum("size").alias("n")).first()["n"] or 0
-    return mix(sizes, targets, size=size)[1].withColumnRenamed("size", "tokens")
+    return mix(sizes, targets, size=size)
+
+
+def p8_all_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The selected documents when all tokens are asked for: small sources are repeated as often as they may be."""
+    return _all_tokens(spark, d)[0].withColumnsRenamed({"size": "tokens", "at": "offset"})
+
+
+def p8_all_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Shares when as many tokens are asked for as the listed sources have: small ones fall short."""
+    return _all_tokens(spark, d)[1].withColumnRenamed("size", "tokens")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,5 +73,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_chars(docs, copies, intervals)
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p8_mix, p8_shares, p8_all_tokens, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p8_mix, p8_shares, p8_all_mix, p8_all_tokens, p9_found, p9_shared)}
 SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from notegraph.llm import packing as P
 from notegraph.llm import shared_spans as S
+from notegraph.llm import text_queries
 from notegraph.llm.mixing import mix, plan, schedule
 from notegraph.llm.tokens import FOLDER, NAME, token_count, words
 
@@ -154,6 +155,18 @@ def test_mix(spark):
     assert mix(docs, targets.limit(0))[1].count() == 0
 
 
+def test_mix_of_all_tokens(spark, tmp_path):
+    texts = [(i, "large" if i else "small", " ".join(f"word{i}" for _ in range(20))) for i in range(60)]
+    spark.createDataFrame(texts, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("large", 0.7, 1), ("small", 0.3, 2)], "source string, weight double, max_repeat int").write.parquet(f"{tmp_path}/mix_target.parquet")
+    few, got = (text_queries.QUERIES[q](spark, str(tmp_path)).collect() for q in ("p8_mix", "p8_all_mix"))
+    by = {r["source"]: r for r in text_queries.QUERIES["p8_all_tokens"](spark, str(tmp_path)).collect()}
+    assert Counter(r["source"] for r in got)["small"] == 2 and len(got) > 40 > 5 * len(few) / 2
+    for s in ("large", "small"):
+        assert by[s]["tokens"] == sum(r["tokens"] for r in got if r["source"] == s)
+    assert by["small"]["short"] > by["small"]["tokens"] and abs(by["large"]["short"]) < 100
+
+
 # ---- shared spans
 
 
