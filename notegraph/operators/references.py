@@ -51,6 +51,15 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.md\z", "")
 
 
+def _look_keys(notes: DataFrame) -> DataFrame:
+    """since, key: the forms by which a link finds a note: name, whole path without .md, and ends of such a path."""
+    spark = notes.sparkSession
+    forms = notes.select("since", look_form(spark, F.col("name")).alias("name"), look_form(spark, _stem(F.col("path"))).alias("stem"))
+    parts = F.split("stem", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    return forms.select("since", F.explode(F.array_distinct(F.array_compact(F.array_append(ends, F.col("name"))))).alias("key"))
+
+
 def broken_edges(edge: DataFrame, node: DataFrame) -> DataFrame:
     """edge_id, field, key, at, since: each reference of an edge whose note is not there.
 
@@ -66,10 +75,7 @@ def broken_edges(edge: DataFrame, node: DataFrame) -> DataFrame:
         F.explode(F.array(ref("src", F.col("src")), ref("dst", F.col("dst")))).alias("r"),
     ).select("ref_id", "r.field", "r.key", "at")
     by_path = orphan_references(paths, there.select(F.col("path").alias("key"), "since"))
-    forms = there.select("since", look_form(spark, F.col("name")).alias("name"), look_form(spark, _stem(F.col("path"))).alias("stem"))
-    parts = F.split("stem", "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    keys = forms.select("since", F.explode(F.array_distinct(F.array_compact(F.array_append(ends, F.col("name"))))).alias("key"))
+    keys = _look_keys(there)
     links = edge.filter(F.col("dst").isNull()).select(F.col("edge_id").alias("ref_id"), F.lit("raw").alias("field"), look_form(spark, link_part(F.col("raw"))).alias("key"), F.col("seen_at").alias("at"))
     by_look = orphan_references(links, cut(keys.groupBy("key").agg(F.min("since").alias("since"))))
     return by_path.unionByName(by_look).withColumnRenamed("ref_id", "edge_id")
@@ -79,14 +85,13 @@ def orphan_report(orphans: DataFrame, node: DataFrame, table: str = "edge") -> D
     """table, field, month, reason, n: orphans for each field, month of the reference and reason.
 
     missing: no such note; deleted: all its rows are removed; late: it comes after the reference.
-    A link by looks (`raw`) has no one note, so it is missing unless one comes later.
+    A link by looks (`raw`) is deleted if notes that look so were there and all of them are removed.
+    References are counted by key before they meet the notes, so a hot key is one row a month.
     """
-    states = note_states(node).select(F.col("path").alias("key"), F.col("alive"))
-    paths, links = orphans.filter("field <> 'raw'"), orphans.filter("field = 'raw'").withColumn("alive", F.lit(None).cast("boolean"))
-    known = paths.join(states, "key", "left").unionByName(links)
-    reason = F.when(F.col("since").isNotNull(), "late").when(~F.col("alive"), "deleted").otherwise("missing")
-    return (
-        known.select(F.lit(table).alias("table"), "field", F.date_format("at", "yyyy-MM").alias("month"), reason.alias("reason"))
-        .groupBy("table", "field", "month", "reason")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    states = cut(note_states(node))
+    looks = _look_keys(states).select("key").distinct().select("key", F.lit(True).alias("was"))
+    gone = states.filter("NOT alive").select(F.col("path").alias("key"), F.lit(True).alias("was"))
+    counted = cut(orphans.groupBy("field", F.date_format("at", "yyyy-MM").alias("month"), "key", F.col("since").isNotNull().alias("late")).agg(F.count(F.lit(1)).alias("n")))
+    known = counted.filter("field <> 'raw'").join(gone, "key", "left").unionByName(counted.filter("field = 'raw'").join(looks, "key", "left"))
+    reason = F.when(F.col("late"), "late").when(F.col("was"), "deleted").otherwise("missing")
+    return known.select(F.lit(table).alias("table"), "field", "month", reason.alias("reason"), "n").groupBy("table", "field", "month", "reason").agg(F.sum("n").alias("n"))

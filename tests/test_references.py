@@ -52,3 +52,12 @@ def test_hot_and_many_keys(spark):
     parents = spark.range(0, 5000, 2).selectExpr("concat('k', id) AS key", "if(id % 10 = 0, timestamp_ntz'2024-02-01', timestamp_ntz'2024-01-01') AS since")
     got = {r["ref_id"] for r in orphan_references(refs, parents).collect()}
     assert got == {i for i in range(5000) if i % 3 == 0 or i % 2 or i % 10 == 0}
+
+
+def test_report_tells_deleted_links_by_looks(spark):
+    node, _ = vault(spark)
+    rows = [(21, "z/A.md", None, "z/B", "k", t(3)), (22, "z/A.md", None, "B#h", "k", t(3)), (23, "z/A.md", None, "nowhere", "k", t(3)), (24, "z/A.md", None, "C", "k", t(3)), (25, "z/A.md", None, "A", "k", t(3))]
+    edge = spark.createDataFrame(rows, EDGE)
+    orphans = broken_edges(edge, node)
+    counts = {r["reason"]: r["n"] for r in orphan_report(orphans, node).filter("field = 'raw'").collect()}
+    assert counts == {"deleted": 2, "missing": 1, "late": 1}
