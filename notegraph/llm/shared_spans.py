@@ -1,20 +1,24 @@
 """Long exact spans that stand in several records, found by recompression.
 
-Every text is a sequence of symbols, at first its characters. In each round, short runs of one
-symbol and pairs of neighbouring symbols get names; a name is a hash of what it stands for, so it
-is the same all over the corpus without any exchange. Which pairs are named is decided by one bit
-of each symbol (left or right), so equal substrings get equal interior symbols; only symbols at the
-rim of a substring may be named together with what stands around it. Only symbols that span at most
-ACTIVE characters are named further (restricted recompression), which bounds what a rim can lose:
-
-    round 1 and 2, runs: 3 characters each; every round, pairs: ACTIVE characters
-    RIM = 2 * 3 + ROUNDS * ACTIVE = 30
-
-In every stretch of WINDOW characters the symbol with the smallest name is an anchor, and the KEY
-characters from its start are its key. A span of LEAST characters that stands in two records thus
-has an anchor with the same key in both: it starts at most RIM + WINDOW characters after the span,
-RIM + WINDOW + KEY <= LEAST, and its neighbourhood lies inside the rims,
-2 * RIM + WINDOW + 2 * ACTIVE <= LEAST. Shared keys are then verified in the texts themselves.
+Every text is a sequence of symbols, at first its characters. In each round, runs of one symbol
+(in RUN_ROUNDS) and pairs of neighbouring symbols get names. A name is a hash of what it stands
+for, so the same run or pair has one name all over the corpus without an exchange for each round.
+Which pairs are named is decided by one bit of each symbol (left or right), so equal substrings get
+equal interior symbols; only symbols at the rim of a substring may be named together with what
+stands around it. Only symbols of at most GROWTH^round characters are named further, so symbols
+grow evenly, at last to the scale of the span.
+
+Every window of LEAST characters is followed through the rounds. A symbol at its rim that might be
+named together with an outside one is taken off, whatever really stands outside; so what is left
+depends on the window alone, not on where it stands. The high-level symbols that still fill CORE
+characters, in the last round in which they do, are the window's core. Two records that share a
+span of LEAST characters thus have a core in common, at the same place of the span. Neighbouring
+windows mostly have the same core: there is about one for every 30 characters.
+
+The cores are the join keys. Records that share one are held against each other in the text around
+it. Where many records share a core, or a record repeats it periodically, the windows themselves
+are named, by the symbols taken off at their rims and the core, and records that share a window
+are verified in its text; so no group is compared all against all.
 """
 
 from __future__ import annotations
@@ -32,104 +36,160 @@ from notegraph.llm.lookalikes import expand
 from notegraph.session import cut
 
 LEAST = 200
-ROUNDS, ACTIVE, RIM, WINDOW = 6, 4, 30, 64
+#: Characters that a core covers at least.
+CORE = 64
+ROUNDS, GROWTH, RUN_ROUNDS = 24, 1.2, (0, 6)
 #: Characters named at a time; longer texts go alone.
 CHUNK = 1_000_000
-#: Records of a key in one chunk from which on its rows are spread over many tasks.
-HOT_IN_CHUNK = 64
-#: Rows of a key that are compared pair by pair; larger groups are split by their LEAST-grams.
+#: Rows of a key in one task from which on the further ones are spread over many tasks, and the
+#: counters by which a task knows (a collision only spreads a key that needn't be).
+HOT_IN_TASK = 8
+COUNTERS = 1 << 22
+#: Rows of a key that are compared pair by pair; larger groups are split by their windows.
 PAIRWISE = 32
 _SEP = np.uint32(0xFFFFFFFF)
-_M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
-_BASES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+_WALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PAIR, _RUN, _SIDE, _BASE = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint32(16))
-    x *= _M1
-    x ^= x >> np.uint32(13)
-    x *= _M2
-    x ^= x >> np.uint32(16)
-    return x
-
-
-def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(4)
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for b in (base | 1, pow(base | 1, -1, 1 << 64)):
+    for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
         p = np.full(n + 1, b, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
     return out[0], out[1]
 
 
-def _grams(codes: np.ndarray, starts: np.ndarray, length: int, base: int = _BASES[0]) -> np.ndarray:
-    """A 64-bit hash of the `length` characters from each of `starts`."""
-    power, inverse = _powers(max(CHUNK, 1 << (len(codes)).bit_length()), base)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
-    return _mix64((sums[starts + length] - sums[starts]) * inverse[starts])
+def _sequence_names(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Names of the sequences of symbols from `lo` up to `hi`."""
+    power, inverse = _powers(max(CHUNK, 1 << len(name).bit_length()))
+    sums = np.zeros(len(name) + 1, np.uint64)
+    np.cumsum(_mix(name) * power[: len(name)], out=sums[1:])
+    return _mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+
+
+def _steps() -> Iterator[tuple[int, int, bool]]:
+    """(round, most characters of a symbol that is named further, whether runs are named)."""
+    for r in range(ROUNDS):
+        limit = max(1, int(GROWTH**r))
+        if r in RUN_ROUNDS:
+            yield r, limit, True
+        yield r, limit, False
+
 
+def symbols(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, start) of the characters; _SEP separates texts and is never named further."""
+    name = _mix(codes.astype(np.uint64))
+    name[codes == _SEP] = _WALL
+    return name, np.arange(len(codes) + 1)
 
-def recompress(codes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(name, start) of the symbols after `rounds` rounds; _SEP separates texts and is never named."""
-    name = _mix(codes)
-    start = np.arange(len(codes), dtype=np.int32)
-    span = np.where(codes == _SEP, np.int32(ACTIVE + 1), np.int32(1)).astype(np.int32)
-    for r in range(rounds):
-        if len(name) < 2:
+
+def compress(name: np.ndarray, start: np.ndarray, r: int, limit: int, runs: bool):
+    """One step of a round: (name, start, first, loose_left, loose_right).
+
+    start has the end of the last symbol, too. first: whether a symbol is the first of a new one.
+    loose_left, loose_right: whether a symbol might be named together with one before, after it.
+    """
+    active = (np.diff(start) <= limit) & (name != _WALL)
+    first = np.ones(len(name), bool)
+    if runs:
+        first[1:] = (name[1:] != name[:-1]) | ~active[1:]
+        new = name[first]
+        times = np.diff(np.append(np.flatnonzero(first), len(name)))
+        many = times > 1
+        new[many] = _mix(new[many] * _RUN + times[many].astype(np.uint64))
+        left = right = active
+    else:
+        bit = (_mix(name + np.uint64(int(_SIDE) * (r + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(63)).astype(bool)
+        left, right = active & bit, active & ~bit
+        at = np.flatnonzero(right[:-1] & left[1:])
+        first[at + 1] = False
+        new = name.copy()
+        new[at] = _mix(name[at] * _PAIR + _mix(name[at + 1] + np.uint64(r)))
+        new = new[first]
+    return new, np.append(start[:-1][first], start[-1]), first, left, right
+
+
+def _narrow(lo, hi, first, left, right, runs: bool):
+    """The windows [lo, hi) of old symbols as new ones, without what is loose at their rims."""
+    at = np.cumsum(first) - 1
+    if runs:  # the whole run at the rim
+        new_lo = at[lo] + left[lo]
+        new_hi = at[hi - 1] + ~right[hi - 1]
+    else:
+        inner_lo, inner_hi = lo + left[lo], hi - right[hi - 1]
+        gone = inner_lo >= inner_hi
+        new_lo = at[np.minimum(inner_lo, len(at) - 1)]
+        new_hi = np.where(gone, new_lo, at[np.maximum(inner_hi - 1, 0)] + 1)
+    return new_lo, np.maximum(new_hi, new_lo)
+
+
+def cores(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(name, position) of the cores of the windows that begin at `begin` (ascending), repeats once."""
+    name, start = symbols(codes)
+    lo, hi = begin.astype(np.int64), begin.astype(np.int64) + least
+    names, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def emit(lo: np.ndarray, hi: np.ndarray) -> None:
+        names.append(_sequence_names(name, lo, hi))
+        places.append(start[lo])
+
+    for r, limit, runs in _steps():
+        if not len(lo):
+            break
+        new, new_start, first, left, right = compress(name, start, r, limit, runs)
+        new_lo, new_hi = _narrow(lo, hi, first, left, right, runs)
+        lasts = new_start[new_hi] - new_start[new_lo] >= CORE
+        if not lasts.all():
+            emit(*_distinct(lo[~lasts], hi[~lasts]))
+        lo, hi = _distinct(new_lo[lasts], new_hi[lasts])
+        name, start = new, new_start
+    if len(lo):
+        emit(lo, hi)
+    return np.concatenate(names), np.concatenate(places)
+
+
+def _distinct(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(lo):
+        return lo, hi
+    new = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+    return lo[new], hi[new]
+
+
+def window_names(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each window: of what the rounds took off at its left and right, and of its core."""
+    name, start = symbols(codes)
+    lo, hi, at = begin.astype(np.int64), begin.astype(np.int64) + least, np.arange(len(begin))
+    off = np.zeros((2, len(begin)), np.uint64)
+    out = np.zeros((2, len(begin)), np.uint64)
+
+    def finish(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, r: int) -> None:
+        core = _sequence_names(name, lo, hi)
+        out[0, rows], out[1, rows] = _mix(off[0, rows] * _PAIR + core), _mix(off[1, rows] * _RUN + core + np.uint64(r))
+
+    for r, limit, runs in _steps():
+        if not len(lo):
             break
-        if r < 2:
-            change = np.empty(len(name), bool)
-            change[0] = True
-            np.not_equal(name[1:], name[:-1], out=change[1:])
-            first = np.flatnonzero(change)
-            if len(first) < len(name):
-                times = np.diff(np.append(first, len(name))).astype(np.int32)
-                short = (times > 1) & (times * span[first] <= ACTIVE)
-                name[first[short]] = _mix(name[first[short]] * _M2 + times[short].astype(np.uint32))
-                span[first[short]] *= times[short]
-                keep = change | ~np.repeat(short, times)
-                name, start, span = name[keep], start[keep], span[keep]
-        right = _mix(name + np.uint32(0x9E3779B9 * (r + 1) & 0xFFFFFFFF)) >> np.uint32(31)
-        active = span <= ACTIVE
-        pair = active[:-1] & active[1:] & (right[:-1] < right[1:])
-        at = np.flatnonzero(pair)
-        name[at] = _mix(name[at] * _M1 + _mix(name[at + 1] + np.uint32(r)))
-        span[at] += span[at + 1]
-        keep = np.ones(len(name), bool)
-        keep[at + 1] = False
-        name, start, span = name[keep], start[keep], span[keep]
-    return name, start
-
-
-def anchors(name: np.ndarray, start: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Starts of the symbols that are smallest (the last of equals) of those starting in some `window` characters."""
-    n = len(name)
-    if not n:
-        return start
-    order = (name.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
-    size = np.searchsorted(start, start + np.int32(window), side="left").astype(np.int64) - np.arange(n)
-    picked = np.zeros(n, bool)
-    level, table, at = 0, order, np.arange(n)
-    width = np.frexp(size)[1] - 1  # floor(log2)
-    while True:
-        own = at[width == level]
-        if len(own):
-            least = np.minimum(table[own], table[own + size[own] - (1 << level)])
-            picked[(np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)] = True
-        if level == width.max():
-            return start[picked]
-        half = 1 << level
-        nxt = table.copy()
-        np.minimum(table[:-half], table[half:], out=nxt[:-half])
-        table, level = nxt, level + 1
+        new, new_start, first, left, right = compress(name, start, r, limit, runs)
+        new_lo, new_hi = _narrow(lo, hi, first, left, right, runs)
+        lasts = new_start[new_hi] - new_start[new_lo] >= CORE
+        finish(at[~lasts], lo[~lasts], hi[~lasts], r)
+        lo, hi, new_lo, new_hi, at = lo[lasts], hi[lasts], new_lo[lasts], new_hi[lasts], at[lasts]
+        cut_lo, cut_hi = np.searchsorted(start, new_start[new_lo]), np.searchsorted(start, new_start[new_hi])
+        taken = _sequence_names(name, lo, cut_lo), _sequence_names(name, cut_hi, hi)
+        for k, c in enumerate((_PAIR, _RUN)):
+            off[k, at] = _mix(_mix(off[k, at] * c + taken[0]) * c + taken[1])
+        lo, hi, name, start = new_lo, new_hi, new, new_start
+    finish(at, lo, hi, ROUNDS)
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def _chunks(ids: list, texts: list, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,10 +216,10 @@ def _chunks(ids: list, texts: list, least: int) -> Iterator[tuple[np.ndarray, np
 _KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("hot", pa.bool_())])
 
 
-def _chains(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _chains(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows to keep, their last position): three or more occurrences of a key that overlap or touch (a periodic text) become one row, from the first to the last."""
     order = np.lexsort((pos, key, doc))
-    near = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1]) & (np.diff(pos[order]) <= length)
+    near = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1]) & (np.diff(pos[order]) <= least)
     first = np.flatnonzero(np.append(True, ~near)) if len(order) else order
     size = np.diff(np.append(first, len(order)))
     head, times = np.repeat(first, size), np.repeat(size, size)
@@ -169,28 +229,38 @@ def _chains(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, length: int) -> t
     return order[keep], last[keep]
 
 
-def _find_keys(least: int, length: int):
+def _window_starts(firsts: np.ndarray, least: int) -> np.ndarray:
+    """Where windows of `least` characters begin that lie inside one text of a chunk."""
+    inside = np.ones(firsts[-1], bool)
+    for end in firsts[1:]:
+        inside[max(0, end - least) : end] = False
+    return np.flatnonzero(inside)
+
+
+def _find_keys(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for codes, ids, firsts in _chunks(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), least):
-                at = anchors(*recompress(codes)).astype(np.int64)
+                name, at = cores(codes, _window_starts(firsts, least), least)
+                key = name.view(np.int64)
                 row = np.searchsorted(firsts, at, side="right") - 1
-                fits = at + length < firsts[row + 1]
-                at, row = at[fits], row[fits]
-                key = _grams(codes, at, length).view(np.int64)
-                doc, pos = ids[row], (at - firsts[row]).astype(np.int32)
-                keep, last = _chains(row, key, pos, length)
-                key, doc, pos = key[keep], doc[keep], pos[keep]
+                keep, last = _chains(row, key, at - firsts[row], least)
+                key, doc, pos = key[keep], ids[row[keep]], (at - firsts[row])[keep]
                 uniq, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-                hot = (times >= HOT_IN_CHUNK)[inverse]
-                marks = uniq[times >= HOT_IN_CHUNK]
+                slot = uniq & (COUNTERS - 1)
+                before = met[slot]
+                met[slot] = before + times.astype(np.int32)
+                hot = before + times > HOT_IN_TASK
+                marks = uniq[hot & (before <= HOT_IN_TASK)]
+                n = len(marks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([key, marks])),
-                        pa.array(np.concatenate([doc, np.full(len(marks), -1)])),
-                        pa.array(np.concatenate([pos, np.full(len(marks), -1, np.int32)])),
-                        pa.array(np.concatenate([last, np.full(len(marks), -1, np.int32)])),
-                        pa.array(np.concatenate([hot, np.zeros(len(marks), bool)])),
+                        pa.array(np.concatenate([doc, np.full(n, -1)])),
+                        pa.array(np.concatenate([pos, np.full(n, -1)]).astype(np.int32)),
+                        pa.array(np.concatenate([last, np.full(n, -1)]).astype(np.int32)),
+                        pa.array(np.concatenate([hot[inverse], np.zeros(n, bool)])),
                     ],
                     schema=_KEYS,
                 )
@@ -217,15 +287,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("text", pa.string()), ("before", pa.int32()), ("after", pa.int32())])
 
 
-def _contexts(length: int, reach: int):
+def _contexts(least: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "hits"))):
                 for h in hits:
                     p = h["pos"]
-                    lo, hi = max(0, p - reach), min(len(text), p + length + reach)
-                    rows.append((h["key"], doc, p, text[lo:p].rjust(reach, "\0") + text[p:hi].ljust(length + reach, "\0"), p - lo, hi - p - length))
+                    lo, hi = max(0, p - reach), min(len(text), p + least)
+                    rows.append((h["key"], doc, p, text[lo:p].rjust(reach, "\0") + text[p:hi].ljust(least, "\0"), p - lo, hi - p))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTEXT)], schema=_CONTEXT)
                     rows = []
@@ -241,7 +311,7 @@ def _run_length(equal: np.ndarray) -> np.ndarray:
     return padded.argmin(axis=1)
 
 
-def _verify(least: int, length: int, reach: int):
+def _verify(least: int, reach: int):
     """Pairs of rows with the same key whose common stretch has `least` characters; rows come sorted by key."""
 
     def pairs(t: pa.Table) -> pa.Table:
@@ -261,9 +331,9 @@ def _verify(least: int, length: int, reach: int):
                 x, y = a[k : k + 20_000], b[k : k + 20_000]
                 same = codes[x] == codes[y]
                 left = np.minimum(_run_length(same[:, :reach][:, ::-1]), np.minimum(before[x], before[y]))
-                right = np.minimum(_run_length(same[:, reach + length :]), np.minimum(after[x], after[y]))
-                good = same[:, reach : reach + length].all(axis=1) & (left + right + length >= least)
-                x, y, left, n = x[good], y[good], left[good], (left + right + length)[good]
+                right = np.minimum(_run_length(same[:, reach:]), np.minimum(after[x], after[y]))
+                good = (right > 0) & (left + right >= least)
+                x, y, left, n = x[good], y[good], left[good], (left + right)[good]
                 found.append(np.stack([doc[x], pos[x] - left, doc[y], pos[y] - left, n]))
         out = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
         return pa.table(dict(zip(("doc_a", "start_a", "doc_b", "start_b", "n"), map(pa.array, out.astype(np.int64)))))
@@ -284,22 +354,22 @@ def _verify(least: int, length: int, reach: int):
     return run
 
 
-def _least_grams(least: int, length: int):
-    """The grams of `least` characters around each hit, named by two hashes: start of the first, stop of the last of those of a gram that overlap or touch."""
+def _windows(least: int, reach: int):
+    """The windows around each hit by their names: start of the first, stop of the last of those of a name that overlap or touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "hits"))):
                 codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
                 pos, last = (np.array([h[c] for h in hits], np.int64) for c in ("pos", "last"))
-                lo, hi = np.maximum(pos - (least - length), 0), np.minimum(last, len(codes) - least) + 1
+                lo, hi = np.maximum(pos - reach, 0), np.minimum(last, len(codes) - least) + 1
                 edges = np.zeros(len(codes) + 2, np.int64)
                 np.add.at(edges, lo[lo < hi], 1)
                 np.add.at(edges, hi[lo < hi], -1)
                 starts = np.flatnonzero(np.cumsum(edges))
-                g = [_grams(codes, starts, least, base).view(np.int64) for base in _BASES]
-                order = np.lexsort((starts, g[1], g[0]))
-                (g1, g2), starts = (x[order] for x in g), starts[order]
+                g1, g2 = window_names(codes, starts, least)
+                order = np.lexsort((starts, g2, g1))
+                g1, g2, starts = g1[order], g2[order], starts[order]
                 first = np.flatnonzero(np.append(True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (np.diff(starts) > least))) if len(starts) else starts
                 stops = starts[np.append(first[1:], len(starts)) - 1] + least if len(starts) else starts
                 yield pa.RecordBatch.from_arrays([pa.array(g1[first]), pa.array(g2[first]), pa.array(np.full(len(first), doc)), pa.array(starts[first]), pa.array(stops)], names=["g1", "g2", "doc", "start", "stop"])
@@ -316,17 +386,16 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     intervals: doc, start, stop - stretches of a representative that stand in another one; their
     union is what it shares.
 
-    No group is compared all against all: keys of more than PAIRWISE rows are split by their grams
-    of `least` characters, whose groups are pairs of the result themselves. So are keys that repeat
-    in a periodic stretch, such as a line of dashes: the stretch travels as one row and yields each
-    of its grams once. Keys that are hot in a chunk are spread over all tasks.
+    No group is compared all against all: keys of more than PAIRWISE rows are split by their
+    windows of `least` characters, whose groups are pairs of the result themselves. So are keys that
+    repeat in a periodic stretch, such as a line of dashes: the stretch travels as one row and yields
+    each of its windows once. A key that a task meets often goes to all tasks, by key and document.
     """
     if least < LEAST:
-        raise ValueError(f"the window and rims are laid out for at least {LEAST} characters")
-    length = least - RIM - WINDOW
-    reach = least - length
+        raise ValueError(f"the rounds are laid out for at least {LEAST} characters")
+    reach = least - CORE
     docs = documents.select(F.col("doc_id").alias("doc"), "text").filter(F.length("text") >= least)
-    same = docs.select("doc", F.sha2("text", 256).alias("sha"))
+    same = cut(docs.select("doc", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars")))
     reps = same.groupBy("sha").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
     several = cut(reps.filter("n > 1").select("sha", "rep"))
     copies = cut(same.join(several, "sha").select("doc", "rep")) if not several.isEmpty() else same.select("doc", F.col("doc").alias("rep")).limit(0)
@@ -335,10 +404,10 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     if n_extra:
         flag = might_contain(docs, bloom_of(extra, F.col("doc"), n_extra), F.col("doc"))
         docs = docs.filter(~flag).unionByName(docs.filter(flag).join(extra, "doc", "left_anti"))
-    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    chars = same.agg(F.sum("n_chars").alias("n")).first()["n"] or 0
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(chars / 30 / 1_000_000) + 1)
-    keys = docs.mapInArrow(_find_keys(least, length), "key bigint, doc bigint, pos int, last int, hot boolean")
+    keys = docs.mapInArrow(_find_keys(least), "key bigint, doc bigint, pos int, last int, hot boolean")
     spread = F.when(F.col("hot"), F.xxhash64("key", "doc")).otherwise(F.xxhash64("key"))
     hits = cut(keys.repartition(tasks, spread).mapInArrow(_shared, "key bigint, doc bigint, pos int, last int"))
     sizes = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("last") > F.col("pos")).alias("periodic"))
@@ -355,24 +424,27 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
     n_docs = by_doc.count()
     wanted = docs.filter(might_contain(docs, bloom_of(by_doc, F.col("doc"), n_docs), F.col("doc"))).join(by_doc, "doc")
     kind = "key bigint, doc bigint, pos int, text string, before int, after int"
-    small = wanted.select("doc", "text", pick(False).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_contexts(length, reach), kind)
+    small = wanted.select("doc", "text", pick(False).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_contexts(least, reach), kind)
     rows = "doc_a bigint, start_a bigint, doc_b bigint, start_b bigint, n bigint"
-    verified = cut(small.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(least, length, reach), rows))
+    verified = cut(small.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(least, reach), rows))
     ordered = [F.least("doc_a", "doc_b").alias("value_a"), F.greatest("doc_a", "doc_b").alias("value_b")]
     pairs = verified.select(*ordered).distinct()
     intervals = verified.select(F.col("doc_a").alias("doc"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("n")).alias("stop")).unionByName(
         verified.select(F.col("doc_b").alias("doc"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("n")).alias("stop"))
     )
     if n_large:
-        grams = wanted.select("doc", "text", pick(True).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_least_grams(least, length), "g1 bigint, g2 bigint, doc bigint, start bigint, stop bigint")
+        grams = wanted.select("doc", "text", pick(True).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_windows(least, reach), "g1 bigint, g2 bigint, doc bigint, start bigint, stop bigint")
         grams = cut(grams)
-        groups = grams.groupBy("g1", "g2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc", "start")).alias("x")).filter("lo < hi").drop("lo", "hi")
+        groups = grams.groupBy("g1", "g2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").drop("lo", "hi")
         met = cut(grams.join(groups, ["g1", "g2"]))
-        # one gram for each set of documents: neighbouring grams mostly stand in the same ones
+        # one window for each set of documents: neighbouring windows mostly stand in the same ones
         sets = met.groupBy("g1", "g2").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 32)).alias("y"), F.count(F.lit(1)).alias("n"))
         chosen = sets.groupBy("x", "y", "n").agg(F.min(F.struct("g1", "g2")).alias("g")).select("g.g1", "g.g2")
-        members = cut(met.join(chosen, ["g1", "g2"]).select("g1", "g2", "doc").distinct())
-        more = members.withColumnRenamed("doc", "value_a").join(members.withColumnRenamed("doc", "value_b"), ["g1", "g2"]).filter("value_a < value_b").select("value_a", "value_b")
+        members = met.join(chosen, ["g1", "g2"]).groupBy("doc", "g1", "g2").agg(F.min("start").alias("start"))
+        texts = docs.join(members.groupBy("doc").agg(F.collect_list(F.struct("g1", "g2", "start")).alias("m")), "doc").select("doc", "text", F.explode("m").alias("m"))
+        shown = cut(texts.select("doc", "m.g1", "m.g2", F.sha2(F.substring("text", F.col("m.start").cast("int") + 1, F.lit(least)), 256).alias("window")))
+        on = ["g1", "g2", "window"]
+        more = shown.withColumnRenamed("doc", "value_a").join(shown.withColumnRenamed("doc", "value_b"), on).filter("value_a < value_b").select("value_a", "value_b")
         pairs = pairs.unionByName(more).distinct()
         intervals = intervals.unionByName(met.select("doc", "start", "stop"))
     return copies, pairs, intervals

@@ -74,4 +74,16 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p8_mix, p8_shares, p8_all_mix, p8_all_tokens, p9_found, p9_shared)}
-SQL: dict[str, str] = {}
+
+#: Every window of 200 characters by its md5: brute force, which small tables allow.
+_WINDOWS = """
+WITH places AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+windows AS (SELECT doc_id, i, md5(substring(text, i, 200)) AS h FROM places),
+shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i, h FROM windows SEMI JOIN shared USING (h))"""
+SQL = {
+    "p9_found": f"{_WINDOWS}, k AS (SELECT DISTINCT doc_id, h FROM hits) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_shared": f"""{_WINDOWS}, steps AS (SELECT doc_id, least(200, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 200)) AS n FROM hits),
+sums AS (SELECT doc_id, sum(n) AS n FROM steps GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id""",
+}

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,19 +278,70 @@ def test_hot_keys_in_a_chunk_and_long_texts(spark):
     assert (got[500], got[501], got[502]) == (300, 300, 0)
 
 
-def test_recompression_is_consistent_inside_equal_substrings():
-    import numpy as np
+def _codes(text):
+    return np.frombuffer((text + "\U0010ffff").encode("utf-32-le"), np.uint32)
 
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij", "a" * 6 + "b", "a"])
+def test_equal_windows_have_equal_cores_and_names(alphabet):
     rnd = random.Random(13)
-    for alphabet in ("ab", "abcdefghij", "a" * 6 + "b"):
-        word = lambda k: "".join(rnd.choice(alphabet) for _ in range(k))  # noqa: E731, B023
-        same = word(400)
-        seen = []
-        for _ in range(2):
-            before = word(rnd.randint(0, 100))
-            codes = np.frombuffer((before + same + word(rnd.randint(0, 100))).encode("utf-32-le"), np.uint32)
-            name, start = S.recompress(codes.copy())
-            inside = (start >= len(before) + S.RIM) & (start < len(before) + 400 - S.RIM - 2 * S.ACTIVE)
-            seen.append(list(zip(name[inside].tolist(), (start[inside] - len(before)).tolist())))
-            assert np.diff(np.append(start, len(codes))).max() <= 2 * S.ACTIVE
-        assert seen[0] == seen[1]
+    word = lambda k: "".join(rnd.choice(alphabet) for _ in range(k))
+    for _ in range(20):
+        same = rnd.choice([word(S.LEAST), (word(rnd.randint(1, 90)) * S.LEAST)[: S.LEAST]])
+        core, named = set(), set()
+        for _ in range(3):
+            before = word(rnd.randint(0, 300))
+            codes = _codes(before + same + word(rnd.randint(0, 300)))
+            name, at = S.cores(codes, np.array([len(before)]))
+            core.add((int(name[0]), int(at[0]) - len(before)))
+            named.add(tuple(int(x[0]) for x in S.window_names(codes, np.array([len(before)]))))
+        assert len(core) == 1 and len(named) == 1 and 0 <= core.pop()[1] <= S.LEAST - S.CORE
+
+
+def test_different_windows_have_different_names():
+    rnd = random.Random(15)
+    for unit in ("ab", "abcdefghij", "a" * 30 + "b"):
+        text = "".join(rnd.choice(unit) for _ in range(3000)) + unit * 60
+        starts = np.arange(len(text) - S.LEAST + 1)
+        names = list(zip(*(x.tolist() for x in S.window_names(_codes(text), starts))))
+        assert len(set(names)) == len({text[i : i + S.LEAST] for i in starts})
+        assert len({text[i : i + S.LEAST] for i in starts}) == len(dict(zip(names, (text[i : i + S.LEAST] for i in starts))))
+
+
+def test_planted_periodic_pairs(spark):
+    """600 pairs of texts with a shared periodic run, each of an alphabet of its own."""
+    rnd = random.Random(14)
+    docs, want = [], set()
+    for k in range(600):
+        letters = [chr(0x4E00 + 12 * k + j) for j in range(12)]
+        word = lambda n: "".join(rnd.choice(letters[:8]) for _ in range(n))  # noqa: E731, B023
+        unit = "".join(rnd.choice(letters[8:]) for _ in range(rnd.randint(1, 8)))
+        for j, n in enumerate((rnd.choice([200, 220, 300, 3000]), rnd.choice([200, 207, 1000, 3000]))):
+            docs.append((2 * k + j, word(rnd.randint(0, 40)) + (unit * 3000)[:n] + word(rnd.randint(0, 40))))
+        want.add((2 * k, 2 * k + 1))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    copies, pairs, intervals = S.shared_spans(df)
+    assert {tuple(r) for r in S.expand_pairs(copies, pairs).collect()} == want
+    got = {r["doc_id"]: r["shared"] for r in S.shared_chars(df, copies, intervals).collect()}
+    text = dict(docs)
+    assert all(got[i] >= 200 for i in text)
+    for a, b in want:
+        if len(text[a]) > 3000 and len(text[b]) > 3000:
+            assert got[a] >= 3000 and got[b] >= 3000
+
+
+def test_a_phrase_in_all_documents_goes_to_all_tasks(spark, monkeypatch):
+    """Its rows beyond HOT_IN_TASK of each task are spread; all pairs are found nonetheless."""
+    rnd = random.Random(16)
+    word = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    phrase = word(260)
+    docs = [(i, word(300) + phrase + word(300)) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    keys = df.select(F.col("doc_id").alias("doc"), "text").mapInArrow(S._find_keys(S.LEAST), "key bigint, doc bigint, pos int, last int, hot boolean").collect()
+    per_key = Counter(r["key"] for r in keys if r["pos"] >= 0)
+    key, n = per_key.most_common(1)[0]
+    assert n == 120 and sum(r["hot"] for r in keys if r["key"] == key) >= 120 - 2 * S.HOT_IN_TASK
+    assert sum(r["key"] == key and r["pos"] < 0 for r in keys) == 2
+    copies, pairs, intervals = S.shared_spans(df)
+    assert S.expand_pairs(copies, pairs).count() == 120 * 119 // 2
+    assert {r["shared"] >= 260 for r in S.shared_chars(df, copies, intervals).collect()} == {True}
