@@ -5,13 +5,13 @@ Every text is a sequence of symbols, at first its characters. In each round, run
 for, so the same run or pair has one name all over the corpus without an exchange for each round.
 Which pairs are named is decided by one bit of each symbol (left or right), so equal substrings get
 equal interior symbols; only symbols at the rim of a substring may be named together with what
-stands around it. Only symbols of at most GROWTH^round characters are named further, so symbols
-grow evenly, at last to the scale of the span.
+stands around it. Only symbols within the LIMITS of a round are named further, so symbols grow
+evenly, at last to the scale of the span.
 
 Every window of LEAST characters is followed through the rounds. A symbol at its rim that might be
 named together with an outside one is taken off, whatever really stands outside; so what is left
 depends on the window alone, not on where it stands. The high-level symbols that still fill CORE
-characters, in the last round in which they do, are the window's core. Two records that share a
+characters, in the last round looked at in which they do, are the window's core. Two records that share a
 span of LEAST characters thus have a core in common, at the same place of the span. Neighbouring
 windows mostly have the same core: there is about one for every 30 characters.
 
@@ -38,9 +38,13 @@ from notegraph.session import cut
 LEAST = 200
 #: Characters that a core covers at least.
 CORE = 64
-ROUNDS, GROWTH, RUN_ROUNDS = 24, 1.2, (0, 6)
+#: Most characters of a symbol that is named further, by round; runs are named in RUN_ROUNDS.
+LIMITS = (1, 1, 2, 2, 3, *(int(4 * 1.2**i) for i in range(16)))
+RUN_ROUNDS = (0, 4)
+#: From this round on (and after runs) the windows are held against CORE; before, few characters are taken off.
+LOOK_ROUND = 8
 #: Characters named at a time; longer texts go alone.
-CHUNK = 1_000_000
+CHUNK = 250_000
 #: Rows of a key in one task from which on the further ones are spread over many tasks, and the
 #: counters by which a task knows (a collision only spreads a key that needn't be).
 HOT_IN_TASK = 8
@@ -49,7 +53,7 @@ COUNTERS = 1 << 22
 PAIRWISE = 32
 _SEP = np.uint32(0xFFFFFFFF)
 _WALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PAIR, _RUN, _SIDE, _BASE = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D))
+_PAIR, _RUN, _BASE = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x5851F42D4C957F2D))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,8 +82,7 @@ def _sequence_names(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
 
 def _steps() -> Iterator[tuple[int, int, bool]]:
     """(round, most characters of a symbol that is named further, whether runs are named)."""
-    for r in range(ROUNDS):
-        limit = max(1, int(GROWTH**r))
+    for r, limit in enumerate(LIMITS):
         if r in RUN_ROUNDS:
             yield r, limit, True
         yield r, limit, False
@@ -89,72 +92,65 @@ def symbols(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(name, start) of the characters; _SEP separates texts and is never named further."""
     name = _mix(codes.astype(np.uint64))
     name[codes == _SEP] = _WALL
-    return name, np.arange(len(codes) + 1)
+    return name, np.arange(len(codes) + 1, dtype=np.int32)
 
 
 def compress(name: np.ndarray, start: np.ndarray, r: int, limit: int, runs: bool):
-    """One step of a round: (name, start, first, loose_left, loose_right).
+    """One step of a round: (name, start, inner_lo, inner_hi).
 
-    start has the end of the last symbol, too. first: whether a symbol is the first of a new one.
-    loose_left, loose_right: whether a symbol might be named together with one before, after it.
+    start has the end of the last symbol, too. inner_lo[i], inner_hi[i]: where a window of old
+    symbols from i, up to i (not including it) begins and ends among the new ones, without the
+    symbol or run at its rim that might be named together with what stands around the window.
     """
-    active = (np.diff(start) <= limit) & (name != _WALL)
-    first = np.ones(len(name), bool)
+    active = (start[1:] - start[:-1] <= limit) & (name != _WALL)
+    first = np.ones(len(start), bool)
     if runs:
-        first[1:] = (name[1:] != name[:-1]) | ~active[1:]
-        new = name[first]
-        times = np.diff(np.append(np.flatnonzero(first), len(name)))
-        many = times > 1
-        new[many] = _mix(new[many] * _RUN + times[many].astype(np.uint64))
+        first[1:-1] = (name[1:] != name[:-1]) | ~active[1:]
         left = right = active
     else:
-        bit = (_mix(name + np.uint64(int(_SIDE) * (r + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(63)).astype(bool)
+        bit = (name.view(np.uint8)[r >> 3 :: 8] >> np.uint8(r & 7)) & 1 == 1
         left, right = active & bit, active & ~bit
-        at = np.flatnonzero(right[:-1] & left[1:])
-        first[at + 1] = False
-        new = name.copy()
-        new[at] = _mix(name[at] * _PAIR + _mix(name[at + 1] + np.uint64(r)))
-        new = new[first]
-    return new, np.append(start[:-1][first], start[-1]), first, left, right
-
-
-def _narrow(lo, hi, first, left, right, runs: bool):
-    """The windows [lo, hi) of old symbols as new ones, without what is loose at their rims."""
-    at = np.cumsum(first) - 1
-    if runs:  # the whole run at the rim
-        new_lo = at[lo] + left[lo]
-        new_hi = at[hi - 1] + ~right[hi - 1]
+        pair = np.flatnonzero(right[:-1] & left[1:])
+        first[pair + 1] = False
+    at = np.cumsum(first[:-1], dtype=np.int32)
+    new = name[first[:-1]]
+    if runs:
+        times = np.diff(np.flatnonzero(first))
+        many = times > 1
+        new[many] = _mix(new[many] * _RUN + times[many].astype(np.uint64))
     else:
-        inner_lo, inner_hi = lo + left[lo], hi - right[hi - 1]
-        gone = inner_lo >= inner_hi
-        new_lo = at[np.minimum(inner_lo, len(at) - 1)]
-        new_hi = np.where(gone, new_lo, at[np.maximum(inner_hi - 1, 0)] + 1)
-    return new_lo, np.maximum(new_hi, new_lo)
+        new[at[pair] - 1] = _mix(name[pair] * _PAIR + _mix(name[pair + 1] + np.uint64(r)))
+    # of what is loose at a rim, the next symbol is the first of a new one, and so is a loose one at the end
+    return new, start[first], at - 1 + left, np.append(np.int32(0), at - right)
 
 
 def cores(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(name, position) of the cores of the windows that begin at `begin` (ascending), repeats once."""
     name, start = symbols(codes)
-    lo, hi = begin.astype(np.int64), begin.astype(np.int64) + least
+    lo, hi = begin.astype(np.int32), begin.astype(np.int32) + np.int32(least)
     names, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-    def emit(lo: np.ndarray, hi: np.ndarray) -> None:
-        names.append(_sequence_names(name, lo, hi))
-        places.append(start[lo])
+    old = name, start, lo, hi  # as of the last look
 
     for r, limit, runs in _steps():
         if not len(lo):
             break
-        new, new_start, first, left, right = compress(name, start, r, limit, runs)
-        new_lo, new_hi = _narrow(lo, hi, first, left, right, runs)
-        lasts = new_start[new_hi] - new_start[new_lo] >= CORE
+        name, start, inner_lo, inner_hi = compress(name, start, r, limit, runs)
+        lo, hi = inner_lo[lo], inner_hi[hi]
+        if not runs and r < LOOK_ROUND:
+            continue
+        lasts = start[hi] - start[lo] >= CORE
         if not lasts.all():
-            emit(*_distinct(lo[~lasts], hi[~lasts]))
-        lo, hi = _distinct(new_lo[lasts], new_hi[lasts])
-        name, start = new, new_start
+            was, begins, a, b = old
+            a, b = _distinct(a[~lasts], b[~lasts])
+            names.append(_sequence_names(was, a, b))
+            places.append(begins[a])
+            lo, hi = lo[lasts], hi[lasts]
+        lo, hi = _distinct(lo, hi)
+        old = name, start, lo, hi
     if len(lo):
-        emit(lo, hi)
-    return np.concatenate(names), np.concatenate(places)
+        names.append(_sequence_names(name, lo, hi))
+        places.append(start[lo])
+    return np.concatenate(names), np.concatenate(places).astype(np.int64)
 
 
 def _distinct(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +163,7 @@ def _distinct(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def window_names(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Two names of each window: of what the rounds took off at its left and right, and of its core."""
     name, start = symbols(codes)
-    lo, hi, at = begin.astype(np.int64), begin.astype(np.int64) + least, np.arange(len(begin))
+    lo, hi, at = begin.astype(np.int32), begin.astype(np.int32) + np.int32(least), np.arange(len(begin))
     off = np.zeros((2, len(begin)), np.uint64)
     out = np.zeros((2, len(begin)), np.uint64)
 
@@ -178,8 +174,8 @@ def window_names(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tu
     for r, limit, runs in _steps():
         if not len(lo):
             break
-        new, new_start, first, left, right = compress(name, start, r, limit, runs)
-        new_lo, new_hi = _narrow(lo, hi, first, left, right, runs)
+        new, new_start, inner_lo, inner_hi = compress(name, start, r, limit, runs)
+        new_lo, new_hi = inner_lo[lo], inner_hi[hi]
         lasts = new_start[new_hi] - new_start[new_lo] >= CORE
         finish(at[~lasts], lo[~lasts], hi[~lasts], r)
         lo, hi, new_lo, new_hi, at = lo[lasts], hi[lasts], new_lo[lasts], new_hi[lasts], at[lasts]
@@ -188,7 +184,7 @@ def window_names(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tu
         for k, c in enumerate((_PAIR, _RUN)):
             off[k, at] = _mix(_mix(off[k, at] * c + taken[0]) * c + taken[1])
         lo, hi, name, start = new_lo, new_hi, new, new_start
-    finish(at, lo, hi, ROUNDS)
+    finish(at, lo, hi, len(LIMITS))
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
@@ -219,6 +215,8 @@ _KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())
 def _chains(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows to keep, their last position): three or more occurrences of a key that overlap or touch (a periodic text) become one row, from the first to the last."""
     order = np.lexsort((pos, key, doc))
+    again = (np.diff(doc[order]) == 0) & (key[order][1:] == key[order][:-1]) & (np.diff(pos[order]) == 0)
+    order = order[np.append(True, ~again)] if len(order) else order
     near = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1]) & (np.diff(pos[order]) <= least)
     first = np.flatnonzero(np.append(True, ~near)) if len(order) else order
     size = np.diff(np.append(first, len(order)))
@@ -359,20 +357,23 @@ def _windows(least: int, reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "hits"))):
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                pos, last = (np.array([h[c] for h in hits], np.int64) for c in ("pos", "last"))
-                lo, hi = np.maximum(pos - reach, 0), np.minimum(last, len(codes) - least) + 1
-                edges = np.zeros(len(codes) + 2, np.int64)
-                np.add.at(edges, lo[lo < hi], 1)
-                np.add.at(edges, hi[lo < hi], -1)
+            all_hits = dict(zip(batch.column("doc").to_pylist(), batch.column("hits").to_pylist()))
+            for codes, ids, firsts in _chunks(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), least):
+                hits = [all_hits[i] for i in ids.tolist()]
+                row = np.repeat(np.arange(len(ids)), [len(h) for h in hits])
+                pos, last = (np.array([h[c] for some in hits for h in some], np.int64) + firsts[row] for c in ("pos", "last"))
+                lo, hi = np.maximum(pos - reach, firsts[row]), np.minimum(last, firsts[row + 1] - 1 - least) + 1
+                edges = np.bincount(lo[lo < hi], minlength=len(codes) + 2) - np.bincount(hi[lo < hi], minlength=len(codes) + 2)
                 starts = np.flatnonzero(np.cumsum(edges))
                 g1, g2 = window_names(codes, starts, least)
-                order = np.lexsort((starts, g2, g1))
-                g1, g2, starts = g1[order], g2[order], starts[order]
-                first = np.flatnonzero(np.append(True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (np.diff(starts) > least))) if len(starts) else starts
+                doc = np.searchsorted(firsts, starts, side="right") - 1
+                order = np.lexsort((starts, g2, g1, doc))
+                g1, g2, starts, doc = g1[order], g2[order], starts[order], doc[order]
+                new = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(starts) > least)
+                first = np.flatnonzero(np.append(True, new)) if len(starts) else starts
                 stops = starts[np.append(first[1:], len(starts)) - 1] + least if len(starts) else starts
-                yield pa.RecordBatch.from_arrays([pa.array(g1[first]), pa.array(g2[first]), pa.array(np.full(len(first), doc)), pa.array(starts[first]), pa.array(stops)], names=["g1", "g2", "doc", "start", "stop"])
+                begin = firsts[doc[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g1[first], g2[first], ids[doc[first]], starts[first] - begin, stops - begin)], names=["g1", "g2", "doc", "start", "stop"])
 
     return run
 
