@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.operators.hierarchy import descendants, hierarchy, loops, nested_sets, part_of, subtree_sizes
+from notegraph.operators.hierarchy import descendants, hierarchy, loop_nodes, nested_sets, part_of, subtree_sizes, surplus_parents
 from notegraph.operators.references import broken_edges, orphan_report
+from notegraph.session import cut
 from notegraph.sources.tables import table
 
 
@@ -26,8 +27,8 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    _, loose = subtree_sizes(part_of(table(spark, d, "edge")))
-    return loops(loose).withColumnRenamed("id", "path")
+    """Notes on a loop of part_of links, through whichever of their parents."""
+    return loop_nodes(part_of(table(spark, d, "edge"))).withColumnRenamed("id", "path")
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -35,9 +36,28 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(part_of(table(spark, d, "edge")), notes).select("path", "parent", "root", "depth", F.array_join("chain", " > ").alias("chain"), "below", "loop_head")
 
 
+def p4_surplus(spark: SparkSession, d: str) -> DataFrame:
+    """The part_of links that the tree leaves out, as their notes have another parent, too."""
+    return surplus_parents(part_of(table(spark, d, "edge"))).withColumnRenamed("child", "path")
+
+
 def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The nested sets, and for each note how many notes lie in its range and what sets their parents' ranges apart.
+
+    Any order of siblings is right, so the SQL compares what the ranges must imply: below notes in
+    the range, the note's place inside that of its parent, and no overlap with a sibling.
+    """
     done, _ = subtree_sizes(part_of(table(spark, d, "edge")))
-    return nested_sets(done).withColumnRenamed("id", "path")
+    sets = cut(nested_sets(done))
+    up = sets.select(F.col("id").alias("parent"), F.col("lft").alias("u_lft"), F.col("rgt").alias("u_rgt"))
+    kids = sets.filter("parent IS NOT NULL").groupBy("parent").agg(
+        F.sum(F.col("rgt") - F.col("lft") + 1).alias("filled"), (F.max("rgt") - F.min("lft") + 1).alias("spanned"), F.count_distinct("lft").alias("kids")
+    ).withColumnRenamed("parent", "id")
+    nested = (F.col("lft") > F.col("u_lft")) & (F.col("rgt") <= F.col("u_rgt"))
+    return sets.join(up, "parent", "left").join(kids, "id", "left").select(
+        F.col("id").alias("path"), "parent", "root", "depth", "below", (F.col("rgt") - F.col("lft")).alias("width"), F.coalesce(nested, F.lit(True)).alias("in_parent"),
+        F.coalesce(F.col("filled") == F.col("spanned"), F.lit(True)).alias("kids_adjoin"), F.coalesce("kids", F.lit(0)).alias("kids"),
+    )
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +65,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(nested_sets(done)).withColumnRenamed("id", "path")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_paths, p4_found, p4_hierarchy, p4_ranges, p4_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_paths, p4_found, p4_hierarchy, p4_surplus, p4_ranges, p4_descendants)}
 
 _STATES = """
 states AS (SELECT path, bool_or(removed_at IS NULL) AS alive, min(seen_at) AS since FROM node WHERE path IS NOT NULL GROUP BY path),
@@ -53,8 +73,11 @@ refs AS (
   SELECT DISTINCT edge_id, 'src' AS field, src AS k, seen_at FROM edge WHERE src IS NOT NULL
   UNION SELECT DISTINCT edge_id, 'dst', dst, seen_at FROM edge WHERE dst IS NOT NULL)"""
 _TREE = """
-tree AS (SELECT src AS child, min(dst) AS parent FROM edge WHERE kind = 'part_of' AND dst IS NOT NULL AND src IS NOT NULL GROUP BY src),
-walk(id, up) AS (SELECT child, parent FROM tree UNION SELECT w.id, t.parent FROM walk w JOIN tree t ON w.up = t.child)"""
+links AS (SELECT DISTINCT src AS child, dst AS parent FROM edge WHERE kind = 'part_of' AND dst IS NOT NULL AND src IS NOT NULL),
+tree AS (SELECT child, min(parent) AS parent FROM links GROUP BY child),
+walk(id, up) AS (SELECT child, parent FROM tree UNION SELECT w.id, t.parent FROM walk w JOIN tree t ON w.up = t.child),
+walk_all(id, up) AS (SELECT child, parent FROM links UNION SELECT w.id, t.parent FROM walk_all w JOIN links t ON w.up = t.child),
+heads AS (SELECT w.id, min(w.up) AS loop_head FROM walk_all w JOIN walk_all back ON back.id = w.up AND back.up = w.id GROUP BY w.id)"""
 
 SQL = {
     "p3_paths": f"""
@@ -64,10 +87,22 @@ SELECT 'edge' AS "table", field, strftime(seen_at, '%Y-%m') AS month,
 FROM refs LEFT JOIN states ON k = path
 WHERE path IS NULL OR NOT alive OR since > seen_at
 GROUP BY ALL""",
-    "p4_found": f"""
+    "p4_found": f"WITH RECURSIVE {_TREE} SELECT id AS path, loop_head FROM heads",
+    "p4_surplus": f"WITH RECURSIVE {_TREE} SELECT l.child AS path, l.parent, t.parent AS chosen FROM links l JOIN tree t ON t.child = l.child WHERE l.parent <> t.parent",
+    "p4_ranges": f"""
 WITH RECURSIVE {_TREE},
-on_loop AS (SELECT id FROM walk WHERE id = up)
-SELECT w.id AS path, min(w.up) AS loop_head FROM walk w JOIN on_loop o ON w.id = o.id GROUP BY w.id""",
+ids AS (SELECT child AS id FROM tree UNION SELECT parent FROM tree),
+on_loop AS (SELECT id FROM walk WHERE id = up),
+loose AS (SELECT id FROM on_loop UNION SELECT id FROM walk WHERE up IN (SELECT id FROM on_loop)),
+ups AS (SELECT id, up FROM walk WHERE id NOT IN (SELECT id FROM loose)),
+depth AS (SELECT ids.id, count(up) AS depth FROM ids LEFT JOIN ups ON ups.id = ids.id GROUP BY ids.id),
+root AS (SELECT u.id, u.up AS root FROM ups u WHERE u.up NOT IN (SELECT child FROM tree)),
+below AS (SELECT up AS id, count(*) AS below FROM ups GROUP BY up),
+kids AS (SELECT parent AS id, count(*) AS kids FROM tree GROUP BY parent)
+SELECT ids.id AS path, t.parent, coalesce(r.root, ids.id) AS root, CAST(d.depth AS INTEGER) AS depth, coalesce(b.below, 0) AS below, coalesce(b.below, 0) AS width,
+       true AS in_parent, true AS kids_adjoin, coalesce(k.kids, 0) AS kids
+FROM ids JOIN depth d ON d.id = ids.id LEFT JOIN tree t ON t.child = ids.id LEFT JOIN root r ON r.id = ids.id LEFT JOIN below b ON b.id = ids.id LEFT JOIN kids k ON k.id = ids.id
+WHERE ids.id NOT IN (SELECT id FROM loose)""",
     "p4_descendants": f"""
 WITH RECURSIVE {_TREE},
 on_loop AS (SELECT id FROM walk WHERE id = up),
@@ -79,7 +114,6 @@ FROM ups u JOIN depth d ON d.id = u.id LEFT JOIN depth a ON a.id = u.up""",
     "p4_hierarchy": f"""
 WITH RECURSIVE {_TREE},
 on_loop AS (SELECT id FROM walk WHERE id = up),
-heads AS (SELECT w.id, min(w.up) AS loop_head FROM walk w JOIN on_loop o ON w.id = o.id GROUP BY w.id),
 loose AS (SELECT id FROM on_loop UNION SELECT id FROM walk WHERE up IN (SELECT id FROM on_loop)),
 ids AS (SELECT path AS id FROM node WHERE path IS NOT NULL UNION SELECT child FROM tree UNION SELECT parent FROM tree),
 ups AS (SELECT id, up FROM walk WHERE id NOT IN (SELECT id FROM loose)),

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from notegraph.operators.hierarchy import descendants, hierarchy, loops, nested_sets, subtree_sizes
+from notegraph.operators.hierarchy import descendants, hierarchy, loop_nodes, loops, nested_sets, strong_components, subtree_sizes, surplus_parents
 from notegraph.operators.skew import heavy_keys, prefix_sums, skew_join
 from pyspark.sql import functions as F
 
@@ -65,11 +65,55 @@ def test_descendants_and_loops(spark):
     assert {tuple(r) for r in loops(loose).collect()} == {("x", "x"), ("y", "x")}
 
 
+def brute_loops(pairs):
+    over = {}
+    for c, p in pairs:
+        if c is not None and p is not None:
+            over.setdefault(c, set()).add(p)
+    reach = {}
+    for n in over:
+        seen, todo = set(), [n]
+        while todo:
+            for p in over.get(todo.pop(), ()):
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        reach[n] = seen
+    return {(n, min(m for m in r if n in reach.get(m, ()))) for n, r in reach.items() if n in r}
+
+
+def test_loop_through_a_second_parent(spark):
+    pairs = [("a", "b"), ("a", "z"), ("z", "a"), ("b", "r"), (None, "a"), ("a", None), ("a", "b")]
+    df = links(spark, pairs).withColumn("kind", F.lit("clash")).withColumn("id", F.lit(1))
+    assert {tuple(r) for r in loop_nodes(df).collect()} == {("a", "a"), ("z", "a")}
+    assert {tuple(r) for r in surplus_parents(df).collect()} == {("a", "z", "b")}
+    got = {r["path"]: (r["depth"], r["loop_head"]) for r in hierarchy(df).collect()}
+    assert got == {"r": (0, None), "b": (1, None), "a": (2, "a"), "z": (3, "a")}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_loops_of_random_graphs(spark, seed):
+    """Children with several parents, chains between them, loops inside loops, loops of one."""
+    rnd = random.Random(seed)
+    n = rnd.choice([12, 30, 60])
+    pairs = [(f"n{rnd.randrange(n):02}", f"n{rnd.randrange(n):02}") for _ in range(rnd.choice([n // 2, n, n + n // 3]))]
+    pairs += [(f"c{i:02}", f"c{i + 1:02}") for i in range(11)] + [("c11", rnd.choice(["c03", "c00", "end"])), ("c05", "n01"), ("n02", "c01")]
+    pairs += [("l1", "l2"), ("l2", "l1"), ("below", "l1"), ("self", "self"), ("self", "n03"), ("on self", "self"), (None, "x"), ("x", None)]
+    assert {tuple(r) for r in loop_nodes(links(spark, pairs)).collect()} == brute_loops(pairs)
+
+
+def test_components_of_loops_that_meet(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("x", "x")], "src string, dst string")
+    assert {tuple(r) for r in strong_components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("x", "x")}
+    assert strong_components(edges.limit(0)).count() == 0
+
+
 def test_extra_and_empty(spark):
     extra = spark.createDataFrame([("alone",), (None,), ("b",)], "id string")
     got = {r["path"]: (r["depth"], r["chain"]) for r in hierarchy(links(spark, [("b", "a")]), extra).collect()}
     assert got == {"alone": (0, ["alone"]), "a": (0, ["a"]), "b": (1, ["a", "b"])}
     assert hierarchy(links(spark, [])).count() == 0
+    assert loop_nodes(links(spark, [])).count() == 0 and loop_nodes(links(spark, [("a", "b")])).count() == 0
 
 
 def test_skew_helpers(spark):
