@@ -442,7 +442,9 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, D
         sets = met.groupBy("g1", "g2").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 32)).alias("y"), F.count(F.lit(1)).alias("n"))
         chosen = sets.groupBy("x", "y", "n").agg(F.min(F.struct("g1", "g2")).alias("g")).select("g.g1", "g.g2")
         members = met.join(chosen, ["g1", "g2"]).groupBy("doc", "g1", "g2").agg(F.min("start").alias("start"))
-        texts = docs.join(members.groupBy("doc").agg(F.collect_list(F.struct("g1", "g2", "start")).alias("m")), "doc").select("doc", "text", F.explode("m").alias("m"))
+        members = cut(members.groupBy("doc").agg(F.collect_list(F.struct("g1", "g2", "start")).alias("m")))
+        asked = docs.filter(might_contain(docs, bloom_of(members, F.col("doc"), members.count()), F.col("doc")))
+        texts = asked.join(members, "doc").select("doc", "text", F.explode("m").alias("m"))
         shown = cut(texts.select("doc", "m.g1", "m.g2", F.sha2(F.substring("text", F.col("m.start").cast("int") + 1, F.lit(least)), 256).alias("window")))
         on = ["g1", "g2", "window"]
         more = shown.withColumnRenamed("doc", "value_a").join(shown.withColumnRenamed("doc", "value_b"), on).filter("value_a < value_b").select("value_a", "value_b")
