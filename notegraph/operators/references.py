@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.bloom import bloom_of, might_contain
 from notegraph.functions.looks import link_part, look_form
+from notegraph.operators.skew import heavy_keys, skew_join
 from notegraph.session import cut
 
 
@@ -16,25 +17,30 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     refs: ref_id, field, key, at. parents: key, since - one row for each key that is there, from
     `since` on. Result: the rows of `refs`, repeats once, with `since` of the parent (null: none).
 
-    A Bloom filter of the parent keys (bounded, see bloom.MAX_BITS) proves most orphans. Of the
-    others only the earliest reference of each key, a partial aggregate, is joined exactly with the
-    parents. That leaves suspect keys; they filter the references again, and the few positives are
-    verified by an exact join. A hot key thus never meets in one task and no reference is shuffled
-    that is not an orphan or a false positive. A null key references nothing and is no orphan; a
-    reference without a time is there whenever its parent is. Empty tables: no parents make every
-    reference an orphan, no references give no rows.
+    Bloom filters of the parent keys (as many as they need, within bloom.MAX_FILTERS) prove most
+    orphans. Of the others only the earliest reference of each key, a partial aggregate, is joined
+    exactly with the parents. That leaves suspect keys; a second filter picks their references, and
+    those are verified by an exact join, from which hot keys are split off. A hot key thus never
+    meets in one task, and no reference is shuffled that is not an orphan or a false positive, as
+    long as the keys fit the filters; beyond them the same joins take every reference. A null key
+    references nothing and is no orphan; a reference without a time is there whenever its parent is.
+    Empty tables: no parents make every reference an orphan, no references give no rows.
     """
-    refs = refs.filter(F.col("key").isNotNull())
-    items = parents.count()
-    maybe = refs.withColumn("_maybe", might_contain(refs, bloom_of(parents, F.col("key"), items), F.col("key")))
+    refs, parents = refs.select("ref_id", "field", "key", "at").filter(F.col("key").isNotNull()), parents.select("key", "since")
+    there = bloom_of(parents, F.col("key"), parents.count())
+    maybe = refs.withColumn("_maybe", might_contain(refs, there, F.col("key")))
     sure = maybe.filter(~F.col("_maybe")).drop("_maybe").withColumn("since", F.lit(None).cast("timestamp_ntz"))
     late = lambda at: F.col("since").isNull() | (F.col("since") > F.col(at))
     earliest = maybe.filter("_maybe").groupBy("key").agg(F.min("at").alias("_first"))
-    suspects = earliest.join(parents, "key", "left").filter(F.coalesce(late("_first"), F.lit(False))).select("key", "since")
-    again = refs.filter(might_contain(refs, bloom_of(suspects, F.col("key"), items), F.col("key")))
-    again = again.filter(might_contain(again, bloom_of(parents, F.col("key"), items), F.col("key")))
-    verified = again.join(suspects, "key").filter(F.coalesce(late("at"), F.lit(False)))
+    suspects = cut(earliest.join(parents, "key", "left").filter(F.coalesce(late("_first"), F.lit(False))).select("key", "since"))
+    n = suspects.count()
     columns = ["ref_id", "field", "key", "at", "since"]
+    if not n:
+        return sure.select(columns).distinct()
+    again = maybe.filter("_maybe").drop("_maybe")
+    again = cut(again.filter(might_contain(again, bloom_of(suspects, F.col("key"), n), F.col("key"))))
+    met = skew_join(again, suspects, "key", "inner", heavy_keys(again, "key", rows=again.count()))
+    verified = met.filter(F.coalesce(late("at"), F.lit(False)))
     return sure.select(columns).unionByName(verified.select(columns)).distinct()
 
 
@@ -76,7 +82,7 @@ def broken_edges(edge: DataFrame, node: DataFrame) -> DataFrame:
     ).select("ref_id", "r.field", "r.key", "at")
     by_path = orphan_references(paths, there.select(F.col("path").alias("key"), "since"))
     keys = _look_keys(there)
-    links = edge.filter(F.col("dst").isNull()).select(F.col("edge_id").alias("ref_id"), F.lit("raw").alias("field"), look_form(spark, link_part(F.col("raw"))).alias("key"), F.col("seen_at").alias("at"))
+    links = cut(edge.filter(F.col("dst").isNull()).select(F.col("edge_id").alias("ref_id"), F.lit("raw").alias("field"), look_form(spark, link_part(F.col("raw"))).alias("key"), F.col("seen_at").alias("at")))
     by_look = orphan_references(links, cut(keys.groupBy("key").agg(F.min("since").alias("since"))))
     return by_path.unionByName(by_look).withColumnRenamed("ref_id", "edge_id")
 

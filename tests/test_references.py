@@ -1,5 +1,9 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from notegraph.functions import bloom
+
 from notegraph.operators.references import broken_edges, orphan_references, orphan_report
 
 NODE = "node_id bigint, path string, name string, seen_at timestamp_ntz, removed_at timestamp_ntz, kind string"
@@ -61,3 +65,30 @@ def test_report_tells_deleted_links_by_looks(spark):
     orphans = broken_edges(edge, node)
     counts = {r["reason"]: r["n"] for r in orphan_report(orphans, node).filter("field = 'raw'").collect()}
     assert counts == {"deleted": 2, "missing": 1, "late": 1}
+
+
+def test_filters_keep_proving_orphans_as_keys_grow(spark, monkeypatch):
+    """100 million parents with filters of 8 MB, both scaled by 64: under 2 % of the orphans stay unproven."""
+    monkeypatch.setattr(bloom, "MAX_BITS", bloom.MAX_BITS // 64)
+    n = 100_000_000 // 64
+    parents = spark.range(n).selectExpr("concat('p', id) AS key")
+    filters = bloom.bloom_of(parents, F.col("key"), n)
+    assert len(filters.filters) == 18
+    orphans = spark.range(200_000).selectExpr("concat('o', id) AS key")
+    unproven = orphans.filter(bloom.might_contain(orphans, filters, F.col("key"))).count()
+    assert unproven < 0.02 * 200_000
+    some = parents.limit(100_000)
+    assert some.filter(~bloom.might_contain(some, filters, F.col("key"))).count() == 0
+
+
+def test_more_keys_than_the_filters_take(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "MAX_BITS", 1024)
+    monkeypatch.setattr(bloom, "MAX_FILTERS", 3)
+    node, edge = vault(spark)
+    for n in (100, 250, 300):  # one filter, several, none
+        parents = spark.range(n).selectExpr("concat('p', id) AS key", "timestamp_ntz'2024-01-05 00:00:00' AS since")
+        refs = spark.range(2 * n).selectExpr("id AS ref_id", "'f' AS field", "concat('p', id) AS key", "timestamp_ntz'2024-01-06 00:00:00' AS at", "id AS since")
+        late = refs.limit(1).selectExpr("-1L AS ref_id", "'f' AS field", "'p7' AS key", "timestamp_ntz'2024-01-04 00:00:00' AS at", "0L AS since")
+        got = {r["ref_id"] for r in orphan_references(refs.unionByName(late), parents).collect()}
+        assert got == {-1, *range(n, 2 * n)}
+        assert orphan_references(refs, parents.limit(0)).count() == 2 * n and orphan_references(refs.limit(0), parents).count() == 0
