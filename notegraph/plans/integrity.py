@@ -79,7 +79,54 @@ walk(id, up) AS (SELECT child, parent FROM tree UNION SELECT w.id, t.parent FROM
 walk_all(id, up) AS (SELECT child, parent FROM links UNION SELECT w.id, t.parent FROM walk_all w JOIN links t ON w.up = t.child),
 heads AS (SELECT w.id, min(w.up) AS loop_head FROM walk_all w JOIN walk_all back ON back.id = w.up AND back.up = w.id GROUP BY w.id)"""
 
+#: Look-alike letters and the Latin ones they read like; independent of the table that looks.py derives.
+_ALIKE = ("АВЕКМНОРСТУХЅІЈЁЇаеорсухѕіјһԁԛԝёїΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοսօɡ", "ABEKMHOPCTYXSIJËÏaeopcyxsijhdqwëïABEZHIKMNOPTYXvouog")
+_WIDE = ("".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)))
+
+
+def sql_looks(x: str) -> str:
+    """SQL for what a text shows: the steps of looks.py for the characters of the test tables."""
+    shown = f"translate(translate({x}, '{_WIDE[0]}', '{_WIDE[1].replace(chr(39), chr(39) * 2)}'), '{_ALIKE[0]}', '{_ALIKE[1]}')"
+    for pattern, to in (("[\u00ad\u200b-\u200d\u2060\ufeff]", ""), ("[\u00a0\u2000-\u200a\u202f\u205f\u3000]", " "), ("[\u2010-\u2013\u2212]", "-")):
+        shown = f"regexp_replace({shown}, '{pattern}', '{to}', 'g')"
+    for joined, to in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        shown = f"replace({shown}, '{joined}', '{to}')"
+    return f"trim(nfc_normalize({shown}))"
+
+
+def sql_link(x: str) -> str:
+    """SQL for the part of a link before its first alias, heading or block mark."""
+    return f"trim(regexp_extract({x}, '^((?s:.*?))(?:\\\\\\||\\||#|\\^|$)', 1))"
+
+
+_STEM = "regexp_replace(path, '\\.md$', '')"
+
+
+def _ends(states: str) -> str:
+    """SQL rows (k, since) of the looks by which a link finds one of `states`: name, path without .md, ends of that."""
+    parts = f"SELECT string_split({sql_looks(_STEM)}, '/') AS p, since FROM {states}"
+    return f"SELECT {sql_looks('name')} AS k, since FROM {states} WHERE name IS NOT NULL UNION ALL SELECT array_to_string(p[i:], '/'), since FROM (SELECT p, since, unnest(range(1, len(p) + 1)) AS i FROM ({parts}))"
+
+
+_BROKEN = f"""
+notes AS (SELECT path, max(name) AS name, bool_or(removed_at IS NULL) AS alive, min(seen_at) AS since FROM node WHERE path IS NOT NULL GROUP BY path),
+there AS (SELECT * FROM notes WHERE alive),
+path_refs AS (
+  SELECT DISTINCT edge_id, 'src' AS field, src AS k, seen_at FROM edge WHERE src IS NOT NULL
+  UNION SELECT DISTINCT edge_id, 'dst', dst, seen_at FROM edge WHERE dst IS NOT NULL),
+link_refs AS (SELECT DISTINCT edge_id, 'raw' AS field, {sql_looks(sql_link('raw'))} AS k, seen_at FROM edge WHERE dst IS NULL AND raw IS NOT NULL),
+there_ends AS (SELECT k, min(since) AS since FROM ({_ends('there')}) GROUP BY k),
+all_ends AS (SELECT DISTINCT k FROM ({_ends('notes')})),
+broken AS (
+  SELECT edge_id, field, k, seen_at, since FROM path_refs LEFT JOIN there ON k = path WHERE path IS NULL OR since > seen_at
+  UNION ALL SELECT edge_id, field, l.k, seen_at, since FROM link_refs l LEFT JOIN there_ends e ON l.k = e.k WHERE e.k IS NULL OR since > seen_at)"""
+
 SQL = {
+    "p3_found": f"WITH {_BROKEN} SELECT edge_id, field FROM broken",
+    "p3_report": f"""WITH {_BROKEN}
+SELECT 'edge' AS "table", field, strftime(seen_at, '%Y-%m') AS month,
+       CASE WHEN b.since IS NOT NULL THEN 'late' WHEN (field = 'raw' AND a.k IS NOT NULL) OR (field <> 'raw' AND n.path IS NOT NULL) THEN 'deleted' ELSE 'missing' END AS reason, count(*) AS n
+FROM broken b LEFT JOIN notes n ON n.path = b.k LEFT JOIN all_ends a ON a.k = b.k GROUP BY ALL""",
     "p3_paths": f"""
 WITH {_STATES}
 SELECT 'edge' AS "table", field, strftime(seen_at, '%Y-%m') AS month,
