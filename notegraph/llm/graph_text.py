@@ -11,6 +11,7 @@ from notegraph.llm.cooccurrence import cooccurrence
 from notegraph.llm.lookalikes import consistent_forms, differing_spellings, expand
 from notegraph.llm.tags import tag_form
 from notegraph.llm.term_counts import marks, term_counts
+from notegraph.plans.integrity import sql_link, sql_looks
 from notegraph.session import cut
 from notegraph.sources.tables import table
 
@@ -120,6 +121,11 @@ _COUNTS = f"""
 WITH t AS (SELECT DISTINCT path, tag AS raw, lower({_TAG}) AS tag, seen_at FROM tag WHERE tag IS NOT NULL),
 c AS (SELECT tag, count(*) AS n_rows, count(DISTINCT path) AS n_notes FROM t GROUP BY tag),
 m AS (SELECT *, CASE WHEN n_notes < 3 THEN 'rare' WHEN n_notes > 0.04 * (SELECT count(DISTINCT path) FROM t) THEN 'common' END AS mark FROM c)"""
+_SPELLINGS = f"""
+WITH names AS (SELECT DISTINCT node_id AS id, name AS v, {sql_looks('name')} AS f FROM node WHERE name IS NOT NULL),
+paths AS (SELECT DISTINCT node_id AS id, path AS v, {sql_looks('path')} AS f FROM node WHERE path IS NOT NULL),
+stems AS (SELECT id, regexp_replace(v, '\\.md$', '') AS v, regexp_replace(f, '\\.md$', '') AS f FROM paths),
+links AS (SELECT DISTINCT edge_id AS id, v, {sql_looks('v')} AS f FROM (SELECT edge_id, {sql_link('raw')} AS v FROM edge WHERE raw IS NOT NULL))"""
 _TERM = "CASE WHEN {0} > 0 THEN {0} * ln({0} / ({1})) ELSE 0 END"
 _N = "big"
 SQL = {
@@ -129,6 +135,10 @@ SQL = {
 SELECT tag_a, tag_b, n, n_a, n_b, round(n * big / (n_a * n_b), 6) AS lift, round(score, 4) AS llr, score >= 3.84 AS significant FROM scored""",
     "p2_found": f"{_SLIPS} SELECT DISTINCT node_id, type_name FROM node JOIN best ON type = value",
     "p2_values": f"{_SLIPS} SELECT value, type_name, slips FROM best",
+    "p5_found": f"""{_SPELLINGS}, found AS (
+  SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.f = b.f AND a.v <> b.v AND a.id <> b.id UNION SELECT a.id, b.id FROM paths a JOIN paths b ON a.f = b.f AND a.v <> b.v AND a.id <> b.id
+  UNION SELECT n.id, l.id FROM names n JOIN links l ON n.f = l.f AND n.v <> l.v AND NOT contains(l.v, '/') UNION SELECT n.id, l.id FROM stems n JOIN links l ON n.f = l.f AND n.v <> l.v AND contains(l.v, '/'))
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM found""",
     "p6_found": f"{_COUNTS} SELECT tag, mark FROM m WHERE mark IS NOT NULL",
     "p6_counts": f"{_COUNTS} SELECT tag, n_rows, n_notes, mark FROM m",
 }
