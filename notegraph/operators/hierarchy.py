@@ -189,7 +189,7 @@ def nested_sets(done: DataFrame, chains: bool = False) -> DataFrame:
     """
     chain = ["chain"] if chains else []
     own = [F.array("id").alias("chain")] if chains else []
-    kids = prefix_sums(done.filter(F.col("parent").isNotNull()), ["parent"], [F.col("id")], "size", "before")
+    kids = prefix_sums(done.filter(F.col("parent").isNotNull()), ["parent"], [F.col("id")], "size", "before", rows=done.count())
     active = cut(kids.select("id", "parent", "size", F.col("parent").alias("up"), (F.col("before") + 1).alias("lft"), F.lit(1).alias("depth"), F.col("parent").alias("root"), *own))
     roots = done.filter(F.col("parent").isNull())
     placed = roots.select("id", "parent", "size", F.lit(None).cast("string").alias("up"), F.lit(0).cast("bigint").alias("lft"), F.lit(0).alias("depth"), F.col("id").alias("root"), *own)

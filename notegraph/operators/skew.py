@@ -10,6 +10,9 @@ HOT_SHARE = 1 / 64
 #: So many rows fit in one task, whatever their keys; a caller that knows its rows skips the sketch.
 SMALL_ROWS = 200_000
 
+#: Rows of a bucket that one window sorts.
+PREFIX_ROWS = 500_000
+
 
 def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE, tracked: int = 4096, rows: int | None = None) -> list:
     """Keys that hold at least `share` of the non-null rows: at most 1/share of them, by construction.
@@ -41,13 +44,15 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: list)
     return cold.unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how))
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, salts: int = 64) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, rows: int | None = None) -> DataFrame:
     """Sum of `value` over the rows of the same group that come before, without one task per group.
 
     Rows lie in `salts` buckets by hash; the order is bucket, then `order`. The sum of a bucket's
     predecessors is taken over at most `salts` rows for each group, that inside a bucket over the
-    bucket, so that a group with a third of all rows is spread over `salts` tasks.
+    bucket, so that a group with a third of all rows is spread over `salts` tasks. rows: of `df`, if
+    known; there are as many buckets as keep one under PREFIX_ROWS even if all rows are one group's.
     """
+    salts = max(64, -(-(df.count() if rows is None else rows) // PREFIX_ROWS))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sums = salted.groupBy(*group, "_salt").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
