@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.operators.skew import prefix_sums
 from notegraph.session import cut
 
-#: Slots of a schedule, and so the rows that are broadcast, are at most this many.
+#: Tokens of a block, unless the caller says otherwise.
+BLOCK = 4096
+#: Slots of a schedule, and so the rows that are broadcast, are at most this many. A selection of more
+#: than BLOCK * MAX_SLOTS tokens has larger blocks: the grain of the interleaving is a 100,000th of it.
 MAX_SLOTS = 100_000
 #: A target list is a configuration; it is read by the driver and may not be longer.
 MAX_SOURCES = 10_000
@@ -44,15 +47,23 @@ def schedule(quotas: list[int], block: int) -> list[tuple[int, int]]:
     return out
 
 
-def largest_lag(quotas: list[int], order: list[tuple[int, int]]) -> list[float]:
-    """For each source, how many blocks it was away from its share at most, over all slots."""
-    total, got, worst = sum(quotas), [0] * len(quotas), [0.0] * len(quotas)
-    for t, (s, _) in enumerate(order, 1):
-        got[s] += 1
-        for k, q in enumerate(quotas):
-            if total:
-                worst[k] = max(worst[k], abs(q * t / total - got[k]))
-    return worst
+def emitted_lags(selection: DataFrame, quotas: DataFrame, block: int) -> DataFrame:
+    """source, lag: by how many blocks the tokens really emitted of a source are away from its share at most.
+
+    quotas: source, quota. Between two of its own slots a source only falls behind, so it is enough
+    to look before and after each of them, and at the end. A slot is one source's, so the running
+    total goes over at most MAX_SLOTS rows, and one for each source.
+    """
+    own = selection.groupBy("slot", "source").agg(F.sum("size").alias("n"))
+    whole = quotas.agg(F.sum("quota").alias("all"))
+    end = quotas.select(F.lit(None).cast("bigint").alias("slot"), "source", F.lit(0).cast("bigint").alias("n"))
+    order = F.col("slot").asc_nulls_last()
+    run = own.unionByName(end).withColumn("total", F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("got", F.sum("n").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    share = F.when(F.col("all") > 0, F.col("quota") / F.col("all")).otherwise(F.lit(0.0))
+    off = run.join(F.broadcast(quotas), "source").crossJoin(F.broadcast(whole)).withColumn("share", share)
+    after, before = F.abs(F.col("share") * F.col("total") - F.col("got")), F.abs(F.col("share") * (F.col("total") - F.col("n")) - (F.col("got") - F.col("n")))
+    return off.groupBy("source").agg((F.max(F.greatest(after, before)) / block).alias("lag"))
 
 
 def plan(totals: dict[str, int], targets: list[tuple[str, float, int]], size: int | None = None) -> list[dict]:
@@ -74,7 +85,7 @@ def plan(totals: dict[str, int], targets: list[tuple[str, float, int]], size: in
     return rows
 
 
-def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(selection, shares).
 
     documents: doc_id, source, size. targets: source, weight, max_repeat. Both may be empty, which
@@ -84,9 +95,14 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, block
     selection: slot, source, doc_id, pass, size - the documents in the order of the schedule; pass
     numbers the uses of a document from 0. Each source is a stream of its documents in hash order,
     repeated at most max_repeat times and cut after the last document of which at least half lies
-    in the quota, so a source misses its quota by half a document at most. The stream lies in blocks of `block`; the schedule interleaves
-    them. shares: source, weight, target, size, share, documents, uses, short (target - size),
-    lag (blocks).
+    in the quota, so a source misses its quota by half a document at most. The stream lies in blocks
+    of `block` tokens, or of a MAX_SLOTS-th of the selection if that is more; the schedule interleaves
+    the blocks, and a document comes with the block in which it starts. size: tokens of the whole
+    selection; None: as many as possible without a source falling short.
+
+    shares: source, weight, target, size, share, documents, uses, short (target - size), lag. lag is
+    measured on what is emitted, in blocks: the schedule keeps it under one, and documents that
+    reach over the end of their block add their overhang.
     """
     spark = documents.sparkSession
     listed = targets.filter("source IS NOT NULL").groupBy("source").agg(F.max(F.struct("weight", "max_repeat")).alias("t")).select("source", "t.*")
@@ -98,11 +114,11 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, block
     totals = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # at most MAX_SOURCES rows
     rows = plan(totals, wanted, size)
     quotas = [x["quota"] for x in rows]
-    block = max(1, block or 4096, -(-sum(quotas) // MAX_SLOTS))
+    block = max(1, block, -(-sum(quotas) // MAX_SLOTS))
     order = schedule(quotas, block)
     slots = spark.createDataFrame([(rows[s]["source"], j, t) for t, (s, j) in enumerate(order)], "source string, block bigint, slot bigint")
     limits = spark.createDataFrame([(x["source"], x["quota"], x["available"], x["max_repeat"]) for x in rows], "source string, quota bigint, available bigint, max_repeat int")
-    placed = prefix_sums(docs, ["source"], [F.xxhash64("doc_id"), F.col("doc_id")], "size", "start").join(F.broadcast(limits), "source")
+    placed = prefix_sums(docs, ["source"], [F.xxhash64("doc_id"), F.col("doc_id")], "size", "start", rows=docs.count()).join(F.broadcast(limits), "source")
     half = F.floor((F.col("size") + 1) / 2)
     passes = F.least(F.floor((F.col("quota") - F.col("start") - half) / F.col("available")), F.col("max_repeat") - 1).cast("int")
     uses = placed.filter(F.col("start") + half <= F.col("quota")).withColumn("pass", F.explode(F.sequence(F.lit(0), passes)))
@@ -110,12 +126,12 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, block
     last = F.floor((F.col("quota") - 1) / block)
     selection = uses.withColumn("block", F.least(F.floor(F.col("at") / block), last)).join(F.broadcast(slots), ["source", "block"])
     selection = cut(selection.select("slot", "source", "doc_id", "pass", "size", "at"))
-    lag = largest_lag(quotas, order)
-    info = spark.createDataFrame([(x["source"], x["weight"], x["target"], lag[i]) for i, x in enumerate(rows)], "source string, weight double, target bigint, lag double")
+    lags = emitted_lags(selection, limits.select("source", "quota"), block)
+    info = spark.createDataFrame([(x["source"], x["weight"], x["target"]) for x in rows], "source string, weight double, target bigint")
     got = selection.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.when(F.col("pass") == 0, 1)).alias("documents"), F.count(F.lit(1)).alias("uses"))
     whole = got.agg(F.sum("size").alias("whole"))
-    shares = info.join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(whole)).select(
+    shares = info.join(F.broadcast(got), "source", "left").join(F.broadcast(lags), "source", "left").crossJoin(F.broadcast(whole)).select(
         "source", "weight", "target", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce(F.col("size") / F.col("whole"), F.lit(0.0)).alias("share"),
-        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"), (F.col("target") - F.coalesce("size", F.lit(0))).alias("short"), "lag",
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("uses", F.lit(0)).alias("uses"), (F.col("target") - F.coalesce("size", F.lit(0))).alias("short"), F.coalesce("lag", F.lit(0.0)).alias("lag"),
     )
     return selection, shares

@@ -34,7 +34,8 @@ def test_token_counts_are_those_of_the_tokenizer(spark):
 def test_pack(seed):
     rnd = random.Random(seed)
     sizes = [rnd.choice([0, rnd.randint(1, 100), rnd.randint(30, 60)]) for _ in range(rnd.choice([0, 1, 7, 60, 400]))]
-    bins = P.pack(sizes, 100)
+    bins, limited = P.pack(sizes, 100)
+    assert not limited
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
     assert len([b for b in bins if any(sizes[i] for i in b)]) <= len(P.best_fit([s for s in sizes if s], 100))
@@ -42,7 +43,8 @@ def test_pack(seed):
 
 @pytest.mark.parametrize("sizes", [[1] * 20_000, [1] * 15_000 + [2] * 5_000, [3] * 9_000 + list(range(4, 400))])
 def test_pack_many_tiny_items(sizes):
-    bins = P.pack(sizes, 4096)
+    bins, limited = P.pack(sizes, 4096)
+    assert not limited
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 4096 for b in bins)
     assert len(bins) == -(-sum(sizes) // 4096)
@@ -72,23 +74,48 @@ def least_bins(sizes, capacity):
 def test_branch_and_bound_is_optimal_on_small_inputs(seed):
     rnd = random.Random(seed)
     sizes = sorted((rnd.randint(15, 70) for _ in range(11)), reverse=True)
-    assert len(P.branch_and_bound(sizes, 100)) == least_bins(sizes, 100)
+    bins, limited = P.branch_and_bound(sizes, 100)
+    assert len(bins) == least_bins(sizes, 100) and not limited
+
+
+@pytest.mark.parametrize("capacity", [100, 1000, 4096])
+def test_triplets_are_packed_into_full_containers(capacity):
+    """60 items that fill 20 containers exactly, three by three: hard for any greedy packing."""
+    for seed in range(20):
+        rnd = random.Random(seed)
+        sizes = []
+        for _ in range(20):
+            a = rnd.randint(capacity * 38 // 100, capacity * 49 // 100)
+            b = rnd.randint((capacity - a) // 2 - (capacity - a) // 8, (capacity - a) // 2)
+            sizes += [a, b, capacity - a - b]
+        rnd.shuffle(sizes)
+        bins, limited = P.pack(sizes, capacity)
+        assert len(bins) == 20 and not limited and sorted(i for b in bins for i in b) == list(range(60))
+
+
+def test_a_search_that_is_cut_short_says_so():
+    sizes = [51, 27, 26, 23] * 12 + [35, 34, 33] * 7
+    bins, limited = P.branch_and_bound(sizes, 100, nodes=0)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
+    assert limited or len(bins) == -(-sum(sizes) // 100)
 
 
 def test_all_undominated_fillings_come_fullest_first():
     from itertools import combinations
 
     rest, first, capacity = [29, 27, 26, 25, 23, 22, 20, 19, 17, 16, 14, 13, 11, 7, 5], 20, 120
-    want = set()
+    want, space = set(), capacity - first
     for n in range(len(rest) + 1):
-        for taken in combinations(range(len(rest)), n):
-            left = capacity - first - sum(rest[i] for i in taken)
-            out = [rest[i] for i in range(len(rest)) if i not in taken]
-            if left >= 0 and not any(o <= left for o in out) and not any(rest[t] < o <= rest[t] + left for t in taken for o in out):
-                want.add(taken)
-    got = [tuple(f) for f in P.undominated(first, rest, capacity)]
-    sums = [sum(rest[i] for i in f) for f in got]
-    assert len(want) > 64 and set(got) == want and len(got) == len(want) and sums == sorted(sums, reverse=True)
+        for taken in combinations(rest, n):
+            left, out = space - sum(taken), [o for o in rest if o not in taken]
+            sums = [*taken, *(a + b for a, b in combinations(taken, 2))]
+            same = lambda s, o: o == s and s in taken  # noqa: E731, B023
+            if left >= 0 and not any(o <= left for o in out) and not any(s <= o <= s + left and not same(s, o) for s in sums for o in out):
+                want.add(tuple(sorted(taken)))
+    values = sorted(rest)
+    got = [tuple(sorted(f)) for f in P.undominated(space, values, dict.fromkeys(values, 1))]
+    sums = [sum(f) for f in got]
+    assert len(want) > 50 and set(got) == want and len(got) == len(want) and sums == sorted(sums, reverse=True)
 
 
 def test_containers(spark):
@@ -156,6 +183,29 @@ def test_mix(spark):
     assert mix(docs, targets.limit(0))[1].count() == 0
 
 
+def test_lag_is_that_of_the_emitted_documents(spark):
+    """Documents longer than a block: the lag counts their overhang, as a plain walk over the rows does."""
+    rnd = random.Random(18)
+    rows = [(i, "ab"[i % 2], rnd.randint(1, 200)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 2), ("gone", 0.2, 1)], "source string, weight double, max_repeat int")
+    selection, shares = mix(docs, targets, block=50)
+    by = {r["source"]: r for r in shares.collect()}
+    per_slot = Counter()
+    for r in selection.collect():
+        per_slot[(r["slot"], r["source"])] += r["size"]
+    quota = {"a": by["a"]["target"], "b": by["b"]["target"]}
+    total, got, worst = 0, Counter(), Counter()
+    for (_, s), n in sorted(per_slot.items()):
+        total += n
+        got[s] += n
+        for k, q in quota.items():
+            worst[k] = max(worst[k], abs(total * q / sum(quota.values()) - got[k]) / 50)
+    for k in quota:
+        assert by[k]["lag"] == pytest.approx(worst[k]) and 1 < by[k]["lag"] < 2 + 200 / 50
+    assert by["gone"]["lag"] == 0
+
+
 def test_mix_of_all_tokens(spark, tmp_path):
     texts = [(i, "large" if i else "small", " ".join(f"word{i}" for _ in range(20))) for i in range(60)]
     spark.createDataFrame(texts, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
