@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,11 @@ MAX_BASKET = 2000
 MERGE_ROWS = 1_000_000
 #: A list of at most so many frequent items is broadcast; the bound follows from the support.
 BROADCAST_ITEMS = 100_000
-_SCHEMA = "item string, neighbours array<string>, counts array<bigint>"
-_ARROW = pa.schema([("item", pa.string()), ("neighbours", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+#: Cells of a stripe from which on it travels in parts, by the hash of the neighbour; and how many parts
+#: at least. There are more where the frequent items are many, so that a part has PART_CELLS cells at most.
+LONG_STRIPE, LEAST_PARTS, PART_CELLS = 1_000, 64, 100_000
+_SCHEMA = "item string, part int, neighbours array<string>, counts array<bigint>"
+_ARROW = pa.schema([("item", pa.string()), ("part", pa.int32()), ("neighbours", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def _merge(parts: list[pa.Table]) -> pa.Table:
@@ -57,46 +62,78 @@ def _pairs(batch: pa.RecordBatch) -> pa.Table:
     return pa.table({"a": words.take(pa.array(code // max(base, 1))), "b": words.take(pa.array(code % max(base, 1))), "n": pa.array(n, pa.int64())})
 
 
-def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In-mapper combining: one stripe for each item and task (or as often as memory asks)."""
-    held: list[pa.Table] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        t = _merge(held).sort_by("a").combine_chunks()
-        held.clear()
-        if t.num_rows:
-            a = t["a"].combine_chunks().dictionary_encode()
-            starts = np.concatenate([[0], np.nonzero(np.diff(a.indices.to_numpy()))[0] + 1, [t.num_rows]]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(starts), t[c].combine_chunks()) for c in ("b", "n")]
-            yield pa.RecordBatch.from_arrays([a.dictionary.take(pa.array(a.indices.to_numpy()[starts[:-1]])), *lists], schema=_ARROW)
-
-    for batch in batches:
-        held.append(_pairs(batch))
-        if sum(t.num_rows for t in held) > MERGE_ROWS:
-            held[:] = [_merge(held)]
-            if held[0].num_rows > MERGE_ROWS // 2:
-                yield from flush()
-    if held:
-        yield from flush()
+def _parts(neighbours: pa.Array, parts: int) -> np.ndarray:
+    """The part of each neighbour, the same in every process."""
+    own = neighbours.dictionary_encode()
+    of = np.array([zlib.crc32(w.encode()) % parts for w in own.dictionary.to_pylist()], np.int32)
+    return of[own.indices.to_numpy()] if len(of) else np.zeros(0, np.int32)
+
+
+def _stripes(parts: int):
+    """In-mapper combining: one stripe for each item and task (or as often as memory asks), a long one in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = _merge(held).combine_chunks()
+            held.clear()
+            if t.num_rows:
+                a = t["a"].combine_chunks().dictionary_encode()
+                item = a.indices.to_numpy()
+                part = np.where(np.bincount(item)[item] > LONG_STRIPE, _parts(t["b"].combine_chunks(), parts), 0).astype(np.int32)
+                order = np.lexsort((part, item))
+                item, part = item[order], part[order]
+                t = t.take(pa.array(order)).combine_chunks()
+                firsts = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (part[1:] != part[:-1])))
+                starts = pa.array(np.append(firsts, len(item)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(starts, t[c].combine_chunks()) for c in ("b", "n")]
+                whole = pa.RecordBatch.from_arrays([a.dictionary.take(pa.array(item[firsts])), pa.array(part[firsts]), *lists], schema=_ARROW)
+                for k in range(0, whole.num_rows, 10_000):
+                    yield whole.slice(k, 10_000)
+
+        for batch in batches:
+            held.append(_pairs(batch))
+            if sum(t.num_rows for t in held) > MERGE_ROWS:
+                held[:] = [_merge(held)]
+                if held[0].num_rows > MERGE_ROWS // 2:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge stripes that follow each other by item; only one item's stripe is held over a batch's end."""
+    """Merge stripes that follow each other by item and part; only one part of one stripe is held over a batch's end."""
     rest: pa.Table | None = None
+    key = None
     for batch in batches:
         if not batch.num_rows:
             continue
         items, lists = batch.column("item"), batch.column("neighbours")
         rows = pa.array(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)))
         t = pa.table({"a": items.take(rows), "b": lists.flatten(), "n": batch.column("counts").flatten()})
-        t = _merge([t] if rest is None else [rest, t])
-        last = pa.compute.equal(t["a"], items[-1])
-        rest, done = t.filter(last), t.filter(pa.compute.invert(last))
-        yield from done.combine_chunks().to_batches()
+        parts = batch.column("part").to_numpy()
+        done = int(np.searchsorted(rows.to_numpy(), _tail_start(items, parts)))
+        last = (items[-1].as_py(), int(parts[-1]))
+        if rest is not None and (done or last != key):
+            yield from _merge([rest, t.slice(0, done)]).combine_chunks().to_batches()
+            rest = None
+        elif done:
+            yield from _merge([t.slice(0, done)]).combine_chunks().to_batches()
+        rest, key = _merge([t.slice(done)] if rest is None else [rest, t.slice(done)]), last
     if rest is not None:
         yield from rest.combine_chunks().to_batches()
 
 
+def _tail_start(items: pa.Array, parts: np.ndarray) -> int:
+    """The first row of the last item and part of a batch."""
+    same = pa.compute.equal(items, items[-1]).to_numpy(zero_copy_only=False) & (parts == parts[-1])
+    other = np.flatnonzero(~same)
+    return int(other[-1]) + 1 if len(other) else 0
+
+
 def baskets(pairs: DataFrame, max_basket: int = MAX_BASKET) -> DataFrame:
     """left, right: the items of each record; a record of more than `max_basket` items in blocks.
 
@@ -131,8 +168,11 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_count: int = 1, min_
     that count can't be in one, so they are dropped before pairing.
 
     Stripes: each task merges the pairs of its records into one array of neighbours and counts per
-    item; the arrays are shuffled by item and merged, one item at a time. Null records and items
-    are ignored, repeats count once, the empty string is an item like others; no rows give no rows.
+    item; the arrays are shuffled by item and merged, one at a time. A long array travels in parts by
+    the hash of the neighbour, so the stripe of an item that stands in every record is spread over
+    many tasks; the counts of a pair that came in a short and in a long array are added last. Null
+    records and items are ignored, repeats count once, the empty string is an item like others; no
+    rows give no rows.
     """
     pairs = cut(df.select(F.col(record).cast("string").alias("record"), F.col(item).cast("string").alias("item")).filter("record IS NOT NULL AND item IS NOT NULL").distinct())
     size = pairs.agg(F.count_distinct("record").alias("records"), F.count(F.lit(1)).alias("rows")).first()
@@ -146,9 +186,10 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_count: int = 1, min_
             kept = pairs.join(F.broadcast(frequent.select("item")), "item", "left_semi")
         else:
             kept = skew_join(pairs, frequent.select("item"), "item", "inner", heavy_keys(pairs, "item"))
-    stripes = baskets(kept).mapInArrow(_stripes, _SCHEMA)
-    merged = stripes.repartition("item").sortWithinPartitions("item").mapInArrow(_merged, "a string, b string, n bigint").filter(F.col("n") >= least)
-    merged = cut(merged)
+    parts = max(LEAST_PARTS, -(-frequent.count() // PART_CELLS))
+    stripes = baskets(kept).mapInArrow(_stripes(parts), _SCHEMA)
+    merged = stripes.repartition("item", "part").sortWithinPartitions("item", "part").mapInArrow(_merged, "a string, b string, n bigint")
+    merged = cut(merged.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     for side in ("a", "b"):
         own = frequent.select(F.col("item").alias(side), F.col("n").alias(f"n_{side}"))
         if least > 1 and rows / least <= BROADCAST_ITEMS:

@@ -2,107 +2,177 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notegraph.operators.skew import heavy_keys
 from notegraph.session import cut, release, work_folder
 
-#: Rows of a partition that one DuckDB aggregates; larger ones are split further.
+#: Rows, and bytes, of a partition that one DuckDB aggregates; larger ones are split further.
 LEAF_ROWS = 500_000
-#: Hash bits taken at each further level.
-BITS = 4
+LEAF_BYTES = 64 << 20
+#: Hash bits of each level below the first, and the bits there are.
+BITS, ALL_BITS = 4, 32
+#: Rows of a task, and terms at most whose rows are spread over all tasks.
+TASK_ROWS = 2_000_000
+HOT_TERMS = 16_384
 MEMORY = "256MB"
-
-
-def _local(folder: str) -> str | None:
-    """The path of a folder on a shared file system that is mounted, else None."""
-    if folder.startswith("file:"):
-        return folder[5:] if not folder.startswith("file://") else folder[7:]
-    return folder if folder.startswith("/") else None
-
-
-def _aggregate(memory: str):
+_ROWS = pa.schema([("term", pa.string()), ("record", pa.string()), ("raw", pa.string()), ("at", pa.string()), ("term_bits", pa.int32()), ("record_bits", pa.int32()), ("row_bits", pa.int32())])
+_COUNTS = pa.schema([("term", pa.string()), ("n_rows", pa.int64()), ("n_records", pa.int64())])
+#: Which bits split at the levels: the term's and the record's in turn, then those of the whole row.
+_KINDS = [kind for i in range(ALL_BITS // BITS) for kind in ("term_bits", "record_bits")] + ["row_bits"] * (ALL_BITS // BITS)
+
+
+def _file_system(folder: str):
+    """(file system, path) of a shared folder."""
+    import pyarrow.fs as pafs
+
+    folder = folder.removeprefix("file://").removeprefix("file:")
+    return (pafs.LocalFileSystem(), folder) if folder.startswith("/") else pafs.FileSystem.from_uri(folder)
+
+
+class _Spill:
+    """One partition on its way: held in memory while it is a leaf, else one file for each value of its next bits."""
+
+    def __init__(self, fs, folder: str, level: int, kinds: list[str], leaf_rows: int) -> None:
+        self.fs, self.folder, self.level, self.kinds, self.leaf_rows = fs, folder, level, kinds, leaf_rows
+        self.held: list[pa.RecordBatch] = []
+        self.rows = self.bytes = 0
+        self.files: dict[int, pa.ipc.RecordBatchFileWriter] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
+            return
+        if self.files:
+            self._write(batch)
+            return
+        self._hold([batch])
+        if self._full():  # full repeats count once
+            once = pa.Table.from_batches(self.held).group_by(_ROWS.names).aggregate([]).select(_ROWS.names).cast(_ROWS)
+            self.held, self.rows, self.bytes = [], 0, 0
+            self._hold(once.combine_chunks().to_batches(max_chunksize=100_000))
+            if self._full(2) and self.level < len(self.kinds):
+                for b in self.held:
+                    self._write(b)
+                self.held = []
+
+    def _hold(self, batches: list[pa.RecordBatch]) -> None:
+        self.held += batches
+        self.rows += sum(b.num_rows for b in batches)
+        self.bytes += sum(b.nbytes for b in batches)
+
+    def _full(self, times: int = 1) -> bool:
+        return self.rows > 1 and (self.rows * times > self.leaf_rows or self.bytes * times > LEAF_BYTES)
+
+    def _write(self, batch: pa.RecordBatch) -> None:
+        used = BITS * sum(k == self.kinds[self.level] for k in self.kinds[: self.level])
+        bits = batch.column(self.kinds[self.level]).to_numpy().view("uint32")
+        radix = (bits << used & 0xFFFFFFFF) >> (ALL_BITS - BITS)
+        for r in set(radix.tolist()):
+            if r not in self.files:
+                if not self.files:
+                    self.fs.create_dir(self.folder, recursive=True)
+                self.files[r] = pa.ipc.new_stream(self.fs.open_output_stream(f"{self.folder}/{r}.arrow"), _ROWS)
+            self.files[r].write_batch(batch.filter(pa.array(radix == r)))
+
+    def leaves(self) -> Iterator[tuple[list[pa.RecordBatch], bool]]:
+        """(rows of a leaf, whether its rows may be of a (term, record) that other leaves have, too)."""
+        if not self.files:
+            if self.held:
+                yield self.held, self.level > len(self.kinds) - ALL_BITS // BITS
+            return
+        for r, writer in sorted(self.files.items()):
+            writer.close()
+            part = _Spill(self.fs, f"{self.folder}/{r}", self.level + 1, self.kinds, self.leaf_rows)
+            path = f"{self.folder}/{r}.arrow"
+            with self.fs.open_input_stream(path) as source:
+                for batch in pa.ipc.open_stream(source):
+                    part.add(batch)
+            self.fs.delete_file(path)
+            yield from part.leaves()
+
+
+def _aggregate(folder: str, leaf_rows: int, memory: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import shutil
-
         import duckdb
-        import pyarrow.dataset as ds
-        import pyarrow.fs as pafs
-
-        for batch in batches:
-            for leaf in batch.column("leaf").to_pylist():
-                local = _local(leaf)
-                fs, path = (pafs.LocalFileSystem(), local) if local else pafs.FileSystem.from_uri(leaf)
-                rows = ds.dataset(path, filesystem=fs, format="parquet", exclude_invalid_files=True)
-                con = duckdb.connect(config={"threads": 1, "memory_limit": memory} | ({"temp_directory": f"{local}.spill"} if local else {}))
-                con.register("leaf", rows)
+
+        fs, path = _file_system(folder)
+        own = f"{path}/{uuid.uuid4().hex}"  # an attempt's files are its own
+        top = _Spill(fs, own, 0, _KINDS, leaf_rows)
+        try:
+            for batch in batches:
+                top.add(pa.RecordBatch.from_arrays([batch.column(n) for n in _ROWS.names], schema=_ROWS))
+            seen: set = set()
+            for rows, shared in top.leaves():
+                local = own if path.startswith("/") else None
+                if local:
+                    os.makedirs(local, exist_ok=True)
+                con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": f"{local}/duckdb" if local else ""})
+                con.register("leaf", pa.Table.from_batches(rows))
                 # only full repeats of a row count once
                 got = con.sql(
                     "SELECT term, count(*)::BIGINT AS n_rows, count(DISTINCT record)::BIGINT AS n_records "
                     "FROM (SELECT DISTINCT term, record, raw, \"at\" FROM leaf) GROUP BY term"
-                ).to_arrow_table()
+                ).to_arrow_table().cast(_COUNTS)
                 con.close()
-                if local:
-                    shutil.rmtree(f"{local}.spill", ignore_errors=True)
-                yield from got.cast(pa.schema([("term", pa.string()), ("n_rows", pa.int64()), ("n_records", pa.int64())])).combine_chunks().to_batches()
+                if shared:  # rows of one term in one record, split by their own hash: the record counts once
+                    pairs = pa.Table.from_batches(rows).group_by(["term", "record"]).aggregate([]).to_pylist()
+                    met = [(x["term"], x["record"]) for x in pairs if x["record"] is not None]
+                    again = Counter(t for t, r in met if (t, r) in seen)
+                    seen.update(met)
+                    less = pa.array([again[t] for t in got["term"].to_pylist()], pa.int64())
+                    got = got.set_column(2, "n_records", pc.subtract(got["n_records"], less))
+                yield from got.combine_chunks().to_batches()
+        finally:
+            if fs.get_file_info(own).type.name == "Directory":
+                fs.delete_dir(own)
 
     return run
 
 
-def term_counts(rows: DataFrame, leaf_rows: int = LEAF_ROWS, memory: str = MEMORY) -> DataFrame:
+def _routed(base: DataFrame, tasks: int, total: int) -> DataFrame:
+    """`base` with the bits of its hashes, a partition for each task."""
+    most = min(HOT_TERMS, 2 * tasks)
+    hot = heavy_keys(base, "term", 1 / most, 4 * most, rows=total)
+    bits = lambda *c: F.shiftright(F.xxhash64(*c), 32).cast("int")
+    hashed = base.select("*", bits("term").alias("term_bits"), bits(F.lit(1), "record").alias("record_bits"), bits(F.lit(2), "raw", "at").alias("row_bits"))
+    salt = F.when(F.col("term").isin(hot), F.xxhash64(F.lit(3), "record")) if hot else F.lit(None).cast("bigint")
+    return hashed.repartition(tasks, F.xxhash64(F.lit(4), "term"), salt)
+
+
+def term_counts(rows: DataFrame, leaf_rows: int = LEAF_ROWS, memory: str = MEMORY, task_rows: int = TASK_ROWS) -> DataFrame:
     """term, n_rows, n_records for every distinct term.
 
     rows: record, term, raw, at - rows equal in all four count once; null terms are ignored, null
-    records count as rows but as no record. The rows are written to the shared folder, partitioned
-    by the leading bits of the term's hash. A partition of more than `leaf_rows` rows is written
-    again by the next bits of the term's hash and of the record's hash in turn; the latter split a
-    single hot term, and counts of disjoint sets of records add up. Each leaf is then aggregated by
-    one DuckDB in a task, with bounded memory, spilling to the shared folder. Leaves are files, so
-    a lost executor costs its tasks only. Empty input gives no rows.
+    records count as rows but as no record. Empty input gives no rows.
+
+    The first radix level is the exchange: by the term's hash, and for the terms that hold more than
+    half a task's share of all rows (a sketch finds HOT_TERMS of them at most) by the record's, too,
+    so no task gets much more than another; counts of disjoint sets of records add up. A task keeps
+    its partition in memory while that is a leaf. Otherwise it writes it to the shared folder, one
+    file for each value of the next hash bits, of the term and of the record in turn, and splits
+    files that are still too large again. Each leaf is aggregated by DuckDB with bounded memory; it
+    may spill to the shared folder where that is mounted, else leaves are all it may hold. Rows of
+    one term in one record, however many, are split by their own hash. Nothing of this passes the
+    driver; a lost executor costs its tasks only, and their files are removed at the end.
     """
     spark = rows.sparkSession
-    folder = work_folder(spark, "radix")
-    base = rows.filter(F.col("term").isNotNull()).select("term", F.col("record").cast("string").alias("record"), "raw", "at")
-    by_term, by_record = F.xxhash64("term"), F.xxhash64(F.lit(1), "record")
+    base = rows.filter(F.col("term").isNotNull()).select("term", F.col("record").cast("string").alias("record"), F.col("raw").cast("string").alias("raw"), F.col("at").cast("string").alias("at"))
     total = base.count()
-    bits = min(12, max(BITS, (total // leaf_rows).bit_length()))
-    taken = {"term": 0, "record": 0}
-    leaves: list[str] = []
-
-    def spill(df: DataFrame, level: int, key: Column, kind: str, n_bits: int) -> list[tuple[str, int]]:
-        """Write one level; the sizes of its partitions (at most 2^n_bits for each oversized parent)."""
-        radix = F.shiftrightunsigned(F.shiftleft(key, taken[kind]), 64 - n_bits).cast("int")
-        out = df.withColumn("radix", radix).withColumn("spread", F.pmod(F.xxhash64("record", "raw", "at"), F.lit(8)))
-        out = out.repartition("parent", "radix", "spread").drop("spread")
-        out.write.partitionBy("parent", "radix").parquet(f"{folder}/level{level}")
-        taken[kind] += n_bits
-        one = (F.min("term") == F.max("term")) & (F.min("record") == F.max("record"))
-        sizes = spark.read.parquet(f"{folder}/level{level}").groupBy("parent", "radix").agg(F.count(F.lit(1)).alias("n"), F.coalesce(one, F.lit(True)).alias("one")).collect()
-        # the rows of one term in one record can't be split; DuckDB spills them
-        return [(f"{folder}/level{level}/parent={r['parent']}/radix={r['radix']}", min(r["n"], leaf_rows) if r["one"] else r["n"]) for r in sizes]
-
-    level, todo = 0, spill(base.withColumn("parent", F.lit("0")), 0, by_term, "term", bits) if total else []
-    while todo:
-        spent = taken["term"] >= 60 and taken["record"] >= 60
-        leaves += [p for p, n in todo if n <= leaf_rows or spent]
-        over = [p for p, n in todo if n > leaf_rows and not spent]
-        if not over:
-            break
-        level += 1
-        kind = "term" if level % 2 and taken["term"] < 60 or taken["record"] >= 60 else "record"
-        df = spark.read.option("basePath", f"{folder}/level{level - 1}").parquet(*over)
-        df = df.withColumn("parent", F.concat_ws("_", F.col("parent").cast("string"), F.col("radix").cast("string"))).drop("radix")
-        todo = spill(df, level, by_term if kind == "term" else by_record, kind, BITS)
-    if not leaves:
-        return spark.createDataFrame([], "term string, n_rows bigint, n_records bigint")
-    jobs = spark.createDataFrame([(p,) for p in leaves], "leaf string").repartition(len(leaves), "leaf")
-    parts = jobs.mapInArrow(_aggregate(memory), "term string, n_rows bigint, n_records bigint")
-    counts = cut(parts.groupBy("term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records")))
-    release(spark, folder)
-    return counts
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_rows))
+    folder = work_folder(spark, "radix")
+    try:
+        parts = _routed(base, tasks, total).mapInArrow(_aggregate(folder, leaf_rows, memory), "term string, n_rows bigint, n_records bigint")
+        return cut(parts.groupBy("term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records")))
+    finally:
+        release(spark, folder)
 
 
 def marks(counts: DataFrame, total: int, rare: int = 3, common: float = 0.04) -> DataFrame:

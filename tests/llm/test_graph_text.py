@@ -15,6 +15,7 @@ from notegraph.llm.canonical import canonical_rows, canonical_values
 from notegraph.llm.graph_text import p5_found
 from notegraph.llm.lookalikes import consistent_forms
 from notegraph.llm.tags import tag_form
+from notegraph.llm import term_counts as T
 from notegraph.llm.term_counts import marks, term_counts
 
 
@@ -43,6 +44,24 @@ def test_pairs(spark, max_basket, min_count, monkeypatch):
         assert r["llr"] >= -1e-9
 
 
+def test_long_stripes_travel_in_parts(spark, monkeypatch):
+    """An item in every record: no task gets more than a part of its cells, and the counts stay right."""
+    monkeypatch.setattr(C, "LONG_STRIPE", 20)
+    monkeypatch.setattr(C, "LEAST_PARTS", 16)
+    rnd = random.Random(4)
+    rows = [(f"r{k}", i) for k in range(150) for i in {"hub", *(f"t{rnd.randrange(300)}" for _ in range(8))}]
+    want, _, _ = pair_counts(rows)
+    df = spark.createDataFrame(rows, "r string, i string").repartition(3)
+    got = {(r["item_a"], r["item_b"]): r["n"] for r in C.cooccurrence(df, "r", "i").collect()}
+    assert got == dict(want)
+    stripes = C.baskets(df.select(F.col("r").alias("record"), F.col("i").alias("item"))).mapInArrow(C._stripes(16), C._SCHEMA).collect()
+    cells = Counter()
+    for r in stripes:
+        cells[(r["item"], r["part"])] += len(r["neighbours"])
+    hub = [n for (i, _), n in cells.items() if i == "hub"]
+    assert len(hub) == 16 and max(hub) < 0.2 * sum(hub)
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "r string, i string")
     assert C.cooccurrence(df, "r", "i").count() == 0
@@ -167,6 +186,28 @@ def test_term_counts(spark, leaf_rows):
     assert marked["hot"] == "common" and marked["lost"] == "rare"
 
 
+def test_a_hot_term_is_spread_over_the_tasks(spark, monkeypatch):
+    """A term with half of all rows: no task gets more than twice the median, and the counts stay right."""
+    monkeypatch.setattr("notegraph.operators.skew.SMALL_ROWS", 100)
+    df = spark.range(20_000).selectExpr("concat('r', id % 7000) AS record", "if(id % 2 = 0, 'hot', concat('t', id % 500)) AS term", "'x' AS raw", "timestamp_ntz'2024-01-01 00:00:00' AS at")
+    rows = {(r["record"], r["term"]) for r in df.collect()}
+    got = {r["term"]: (r["n_rows"], r["n_records"]) for r in term_counts(df, leaf_rows=700).collect()}
+    n = Counter(t for _, t in rows)
+    assert got == {t: (k, k) for t, k in n.items()}
+    keys = T._routed(df.withColumn("at", F.col("at").cast("string")), 8, 20_000)
+    per_task = sorted(r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect())
+    assert per_task[-1] <= 2 * per_task[len(per_task) // 2]
+
+
+def test_one_term_in_one_record_and_full_repeats(spark):
+    """Rows that neither the term's nor the record's hash can split are split by their own."""
+    rows = spark.range(6_000).selectExpr("'r' AS record", "'t' AS term", "concat('raw', id % 3000) AS raw", "cast(null as timestamp_ntz) AS at")
+    rows = rows.unionByName(spark.range(50).selectExpr("if(id = 0, null, concat('r', id)) AS record", "'t' AS term", "'x' AS raw", "cast(null as timestamp_ntz) AS at"))
+    assert [tuple(r) for r in term_counts(rows, leaf_rows=300).collect()] == [("t", 3050, 50)]
+    same = spark.range(5_000).selectExpr("'r' AS record", "'t' AS term", "'x' AS raw", "cast(null as timestamp_ntz) AS at")
+    assert [tuple(r) for r in term_counts(same, leaf_rows=300).collect()] == [("t", 1, 1)]
+
+
 def test_no_terms(spark):
     df = spark.createDataFrame([("r", None, "x", None)], "record string, term string, raw string, at timestamp_ntz")
     assert term_counts(df).count() == 0
