@@ -1,38 +1,47 @@
-"""One consistent form for text that reads the same on screen.
+"""One key for text that reads the same on screen.
 
-Two values have the same form when they differ only in the width of letters, in how accents are
-stored, in invisible characters, in the kind of blank or hyphen, in joined letters, or in the script
-that a look-alike letter is taken from. Letter case, the presence of an accent, superscripts and
-circled figures are kept. Blanks at either end don't show and are dropped.
+Two values have the same key when they differ only in the width of letters, in how accents are
+stored, in invisible characters, in the kind of blank, hyphen or apostrophe, in joined letters, or
+in the script that a look-alike letter is taken from. Letter case, the presence of an accent,
+superscripts and circled figures are kept. Blanks at either end don't show and are dropped.
 
 The table of look-alikes is not written down here: it is derived from the Unicode confusables that
-ICU, a library in every Spark distribution, holds (UTS 39 skeletons).
+ICU, a library in every Spark distribution, holds (UTS 39 skeletons). Comparing links by looks needs
+no more; which script a text is best spelled in is not decided here.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Letters that ICU lists as confusable but that read differently in usual fonts.
-NOT_ALIKE = frozenset("гσαγιβδεωҽծզցքառգЬьӏ")
+#: Letters that ICU lists as confusable, with what they read like instead.
+NOT_ALIKE = {
+    "г": "a corner, not the r it is listed for", "σ": "a closed ring with a bar, not o", "α": "a loop with open ends, not a", "γ": "a fork below the line, not y",
+    "ι": "has no dot, not i", "β": "has no gap at the foot, not ß", "ε": "two bows, not a barred c", "δ": "an own shape of its script", "ω": "an own shape of its script",
+    "Ь": "a capital, listed for the small b", "ь": "a low bowl, not the tone sign it is listed for", "ҽ": "hooked, not e", "ӏ": "has no dot, not i",
+    "ծ": "an own shape of its script", "գ": "its bar sticks out, not q", "զ": "its tail turns right, not q", "ց": "its bowl is open, not g", "ք": "crossed below the line, not f",
+    "ռ": "its left stem reaches down, not n", "ա": "its last stem reaches down, not w",
+}
 #: Look-alikes inside the Latin script.
 LATIN_ALIKE = {"ɡ": "g"}
-#: Scripts preferred, in this order, when a token can be spelled in several.
-PREFERRED = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+#: What a single upright bar is depends on the reader (I, l, 1, |), so caseless letters listed for l are left alone.
+BAR = "l"
 #: Kinds of compatibility decomposition that change only width, joining or breaking.
 WIDTH = frozenset(("<wide>", "<narrow>", "<noBreak>"))
-_LETTERS = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _ascii = re.compile(r"[\x20-\x7e]*\Z").match
 
 
-def script(ch: str) -> str:
-    """The script of a letter, by its Unicode name."""
-    return unicodedata.name(ch, "UNKNOWN").split()[0]
+def _latin(ch: str) -> bool:
+    return unicodedata.name(ch, "").startswith("LATIN ")
+
+
+def _part_of_syllable(ch: str) -> bool:
+    """Conjoining letters are parts of a syllable block, not letters that stand for themselves."""
+    return 0x1100 <= ord(ch) <= 0x11FF or 0xA960 <= ord(ch) <= 0xA97F or 0xD7B0 <= ord(ch) <= 0xD7FF
 
 
 def lookalikes(spark: SparkSession) -> tuple[dict[int, str], set[int]]:
@@ -44,17 +53,26 @@ def lookalikes(spark: SparkSession) -> tuple[dict[int, str], set[int]]:
     letters = [
         ch
         for ch in map(chr, range(0x80, 0x20000))
-        if unicodedata.category(ch) in ("Lu", "Ll") and not unicodedata.decomposition(ch)
+        if unicodedata.category(ch) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(ch) and not _latin(ch) and not _part_of_syllable(ch)
     ]
     prototypes = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
     alike = {ord(a): b for a, b in LATIN_ALIKE.items()}
     for ch, proto in zip(letters, prototypes):
-        if ch in NOT_ALIKE or script(ch) == "LATIN" or proto == ch or len(proto) != 1:
+        if ch in NOT_ALIKE or proto == ch or len(proto) != 1:
+            continue
+        kind, to = unicodedata.category(ch), unicodedata.category(proto)
+        if kind == "Lo":
+            if to in ("Lu", "Ll", "Lo") and proto != BAR and not _part_of_syllable(proto):
+                alike[ord(ch)] = proto
             continue
-        if proto == "l" and unicodedata.category(ch) == "Lu":
+        if proto == BAR and kind == "Lu":
             proto = "I"
-        if unicodedata.category(proto) == unicodedata.category(ch) and script(proto) != script(ch):
+        if unicodedata.category(proto) == kind and unicodedata.name(proto).split()[0] != unicodedata.name(ch).split()[0]:
             alike[ord(ch)] = proto
+    for a, b in list(alike.items()):  # a representative is its own
+        while ord(b) in alike:
+            b = alike[ord(b)]
+        alike[a] = b
     unseen = jvm.com.ibm.icu.text.UnicodeSet("[[:DI:][:Cf:]-[:White_Space:]-[:Prepended_Concatenation_Mark:]]")
     invisible = {cp for i in range(unseen.getRangeCount()) for cp in range(unseen.getRangeStart(i), min(unseen.getRangeEnd(i), 0xE0FFF) + 1)}
     return alike, invisible
@@ -73,7 +91,9 @@ class _Fold(dict):
             to = " "
         elif cp in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212, 0xFE58, 0xFE63, 0xFF0D):
             to = "-"
-        elif decomposed[0] in WIDTH or (decomposed[0] == "<compat>" and kind in ("Lu", "Ll", "Lt", "Lo")):
+        elif cp in (0x2019, 0x02BC):
+            to = "'"
+        elif decomposed[0] in WIDTH or (decomposed[0] == "<compat>" and (kind in ("Lu", "Ll", "Lt", "Lo", "Nl") or "RADICAL" in unicodedata.name(ch, ""))):
             to = "".join(self[int(x, 16)] for x in decomposed[2].split())
         else:
             to = ch
@@ -82,55 +102,26 @@ class _Fold(dict):
 
 
 class Looks:
-    """Brings values to their consistent form; picklable, one for each Python worker."""
+    """Brings values to their key; picklable, one for each Python worker."""
 
     def __init__(self, alike: dict[int, str], invisible: set[int]) -> None:
         self.alike, self.invisible = alike, invisible
-        self._ready()
-
-    def _ready(self) -> None:
-        self.fold = _Fold(self.invisible)
-        self.spell: dict[str, dict[str, str]] = {}
-        for cp, to in sorted(self.alike.items()):
-            self.spell.setdefault(to, {script(to): to}).setdefault(script(chr(cp)), chr(cp))
-        self._token = lru_cache(65536)(self._respell)
+        self.fold = _Fold(invisible)
 
     def __getstate__(self):
         return self.alike, self.invisible
 
     def __setstate__(self, state) -> None:
-        self.alike, self.invisible = state
-        self._ready()
-
-    def _scripts(self, token: str) -> list[set[str]]:
-        return [set(self.spell.get(ch, {script(ch): ch})) for ch in token if not unicodedata.combining(ch)]
+        self.__init__(*state)
 
-    def _respell(self, token: str) -> str:
-        """Spell a token of representatives in the one script that all its letters share."""
-        common = set.intersection(*self._scripts(token))
-        if not common or "LATIN" in common:
-            return token
-        to = min(common, key=lambda s: (PREFERRED.index(s) if s in PREFERRED else len(PREFERRED), s))
-        return "".join(ch if unicodedata.combining(ch) else self.spell.get(ch, {}).get(to, ch) for ch in token)
+    def decomposed(self, text: str) -> str:
+        """The characters that show, in one width each, with their accents apart."""
+        return unicodedata.normalize("NFD", text.translate(self.fold))
 
     def form(self, text: str) -> str:
         if _ascii(text):
             return text.strip(" ")
-        shown = unicodedata.normalize("NFD", text.translate(self.fold)).translate(self.alike)
-        return unicodedata.normalize("NFC", _LETTERS.sub(lambda m: self._token(m[0]), shown)).strip(" ")
-
-    def confusable(self, text: str) -> str:
-        """none, mixed-script or whole-script: how the letters of the worst token were disguised."""
-        worst = "none"
-        for token in _LETTERS.findall(unicodedata.normalize("NFD", text.translate(self.fold))):
-            letters = [c for c in token if not unicodedata.combining(c)]
-            own = set.intersection(*({script(c)} for c in letters))
-            if self._token(token.translate(self.alike)) == token:
-                continue
-            if not own:
-                return "mixed-script"
-            worst = "whole-script"
-        return worst
+        return unicodedata.normalize("NFC", self.decomposed(text).translate(self.alike)).strip(" ")
 
 
 _cache: dict[str, Looks] = {}
@@ -144,41 +135,28 @@ def looks(spark: SparkSession) -> Looks:
     return _cache[app]
 
 
-def _udf(spark: SparkSession, method: str):
+def text_udf(apply_of):
+    """An Arrow UDF on text: `apply_of()` gives the function, once for each batch; equal values of a batch are mapped once."""
     import pyarrow as pa
 
-    state = spark.sparkContext.broadcast(looks(spark))  # some hundreds of letters, see lookalikes
-
     def run(values: pa.Array) -> pa.Array:
-        apply = getattr(state.value, method)
-        seen: dict[str, str] = {}
-        out = []
-        for v in values.to_pylist():
-            if v is not None:
-                to = seen.get(v)
-                if to is None:
-                    to = seen[v] = apply(v)
-                v = to
-            out.append(v)
-        return pa.array(out, pa.string())
+        apply = apply_of()
+        own = values.dictionary_encode() if not pa.types.is_dictionary(values.type) else values
+        to = pa.array([None if v is None else apply(v) for v in own.dictionary.to_pylist()], pa.string())
+        return to.take(own.indices)
 
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "string")
 
 
 def look_form(spark: SparkSession, text: Column) -> Column:
-    """The consistent form of a column; null stays null.
+    """The key of a column: equal for values that read the same; null stays null.
 
     Plain ASCII never leaves the JVM: the Python side gets nulls for it.
     """
+    state = spark.sparkContext.broadcast(looks(spark))  # a few thousand letters at most, see lookalikes
     plain = text.rlike(r"\A[\x20-\x7e]*\z")
-    return F.when(plain, F.trim(text)).otherwise(_udf(spark, "form")(F.when(~plain, text)))
-
-
-def confusable_kind(spark: SparkSession, text: Column) -> Column:
-    """none, mixed-script or whole-script; null for null."""
-    plain = text.rlike(r"\A[\x20-\x7e]*\z")
-    return F.when(plain, F.lit("none")).otherwise(_udf(spark, "confusable")(F.when(~plain, text)))
+    return F.when(plain, F.trim(text)).otherwise(text_udf(lambda: state.value.form)(F.when(~plain, text)))
 
 
 def link_part(raw: Column) -> Column:
