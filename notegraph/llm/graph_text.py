@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.functions.looks import link_part, look_form
+from notegraph.functions.looks import link_part
 from notegraph.llm.canonical import canonical_rows, canonical_values
 from notegraph.llm.cooccurrence import cooccurrence
-from notegraph.llm.lookalikes import consistent_forms, differing_spellings, expand
+from notegraph.llm.lookalikes import consistent_form, consistent_forms, differing_spellings, expand
 from notegraph.llm.tags import tag_form
 from notegraph.llm.term_counts import marks, term_counts
 from notegraph.plans.integrity import sql_link, sql_looks
@@ -59,7 +59,7 @@ def _forms(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     names = node.select(F.col("node_id").alias("id"), F.col("name").alias("value")).filter("value IS NOT NULL").distinct()
     paths = node.select(F.col("node_id").alias("id"), F.col("path").alias("value")).filter("value IS NOT NULL").distinct()
     links = edge.select(F.col("edge_id").alias("id"), link_part(F.col("raw")).alias("value")).filter("value IS NOT NULL").distinct()
-    form = lambda df: cut(df.select("value").distinct().withColumn("form", look_form(spark, F.col("value"))))
+    form = lambda df: cut(df.select("value").distinct().withColumn("form", consistent_form(spark, F.col("value"))))
     return names, paths, links, form(names), form(paths), form(links)
 
 
