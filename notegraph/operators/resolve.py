@@ -23,19 +23,19 @@ def link_keys(targets: DataFrame) -> DataFrame:
     return targets.select("path").filter(path.isNotNull()).distinct().select(F.explode(keys).alias("key"), "path")
 
 
-def resolve(links: DataFrame, targets: DataFrame) -> DataFrame:
+def resolve(links: DataFrame, targets: DataFrame, rows: int | None = None) -> DataFrame:
     """`links` (src, target and more) with landed: the path each target means, or null.
 
     Of several files the first by path below the folder of `src` is meant, else the first at all;
     a link from the root prefers none. Distinct pairs of target and folder are resolved, so popular
     targets are joined once for each folder they are linked from. A target with C candidates
-    costs C rows for each such folder.
+    costs C rows for each such folder. rows: of `links`, if known; few need no search for hot keys.
     """
     targets = cut(targets.select("path").filter("path IS NOT NULL").distinct())
     keyed = links.withColumn("_key", nfc(F.col("target"))).withColumn("_dir", path_dir(F.col("src")))
     asked = keyed.select("_key", "_dir").distinct()
     keys = link_keys(targets).groupBy("key").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n"))
-    known = skew_join(asked, keys.withColumnRenamed("key", "_key"), "_key", "inner", heavy_keys(asked, "_key"))
+    known = skew_join(asked, keys.withColumnRenamed("key", "_key"), "_key", "inner", heavy_keys(asked, "_key", rows=rows))
     # only ambiguous names ask for the folder: its ends are matched with the folders of the candidates
     doubtful = known.filter("n > 1 AND _dir <> ''").select("_key", "_dir")
     asked_keys = doubtful.select(F.col("_key").alias("key")).distinct()
@@ -48,7 +48,7 @@ def resolve(links: DataFrame, targets: DataFrame) -> DataFrame:
     pair = F.concat_ws("\0", "_key", "_dir")
     one = answers.withColumn("_pair", pair).select("_pair", "landed")
     asked_rows = keyed.withColumn("_pair", pair)
-    return skew_join(asked_rows, one, "_pair", "left", heavy_keys(asked_rows, "_pair")).drop("_pair", "_key", "_dir")
+    return skew_join(asked_rows, one, "_pair", "left", heavy_keys(asked_rows, "_pair", rows=rows)).drop("_pair", "_key", "_dir")
 
 
 def duplicate_names(targets: DataFrame, notes_only: bool = False) -> DataFrame:

@@ -18,6 +18,10 @@ EXCLUDED_ZONES = ["800 TRPG", "900 Archive"]
 EXCLUDED_FILES = ["CLAUDE.md"]
 
 
+#: Ids of superseded documents that are broadcast at most (8 MB).
+SUPERSEDED = 1_000_000
+
+
 @dataclass(frozen=True)
 class Graph:
     node: DataFrame
@@ -91,12 +95,14 @@ def build(notes: DataFrame, targets: DataFrame, bytes_column: str | None = None)
     parsed = cut(parse(inside.select("path", "text", "bytes")).drop("text", "fm", "body"))
     path = F.col("path")
     node = parsed.select("path", T.path_name(path).alias("name"), T.path_zone(path).alias("zone"), T.path_dir(path).alias("dir"), "type", "summary", "created", "bytes")
-    landed = cut(resolve(named_links(parsed), targets))
+    named = named_links(parsed)
+    rows = named.count()
+    landed = cut(resolve(named, targets, rows))
     attached = (F.col("kind") == "links_to") & F.col("landed").isNotNull() & ~T.is_note(F.col("landed"))
     inside_dst = F.when(in_graph(F.col("landed")) & T.is_note(F.col("landed")), F.col("landed"))
     known = node.select(F.col("path").alias("dst"), F.lit(True).alias("is_node"))
     edges = landed.filter(~F.coalesce(attached, F.lit(False))).select("src", inside_dst.alias("dst"), F.col("target").alias("raw"), "kind")
-    edges = skew_join(edges, known, "dst", "left", heavy_keys(edges, "dst")).select("src", F.when(F.col("is_node"), F.col("dst")).alias("dst"), "raw", "kind")
+    edges = skew_join(edges, known, "dst", "left", heavy_keys(edges, "dst", rows=rows)).select("src", F.when(F.col("is_node"), F.col("dst")).alias("dst"), "raw", "kind")
     tag = parsed.select("path", F.explode("tags").alias("tag"))
     return Graph(node, cut(edges.unionByName(folder_notes(node))), tag)
 
@@ -105,13 +111,19 @@ def vault_notes(spark: SparkSession, d: str) -> DataFrame:
     """path, text: the texts of `documents` as files; of several of one path the one captured last."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL")
     path = F.coalesce("path", F.concat(F.lit("inbox/doc"), F.col("doc_id").cast("string"), F.lit(".md")))
-    last = docs.select(path.alias("path"), "doc_id", "captured_at", "text")
-    return last.groupBy("path").agg(F.max_by("text", F.struct("captured_at", "doc_id")).alias("text"))
+    docs = docs.select(path.alias("path"), "doc_id", "captured_at", "text")
+    # only ids and times are shuffled, not the texts: few documents have a later one of their path
+    last = docs.groupBy("path").agg(F.max(F.struct("captured_at", "doc_id"))["doc_id"].alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    older = cut(docs.select("path", "doc_id").join(last, "path").filter("doc_id <> last").select("doc_id"))
+    small = older.count() <= SUPERSEDED
+    return docs.join(F.broadcast(older) if small else older, "doc_id", "left_anti").select("path", "text")
 
 
 def vault_targets(spark: SparkSession, d: str) -> DataFrame:
     """path: all files a link may mean."""
-    return table(spark, d, "node").select("path").union(vault_notes(spark, d).select("path")).distinct()
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    path = F.coalesce("path", F.concat(F.lit("inbox/doc"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return table(spark, d, "node").select("path").union(docs.select(path.alias("path"))).distinct()
 
 
 def vault_graph(spark: SparkSession, d: str) -> Graph:

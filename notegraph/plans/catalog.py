@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import nfc
@@ -120,11 +120,12 @@ def unresolved_by_target(g: Graph, excluded: DataFrame) -> DataFrame:
 def latest(spark: SparkSession, d: str) -> Graph:
     """The graph of the tables: the latest row of each note that is not removed; edges and tags once."""
     node = table(spark, d, "node")
-    w = Window.partitionBy("path").orderBy(F.desc("seen_at"), F.desc("loaded_at"))
-    now = node.withColumn("_n", F.row_number().over(w)).filter("_n = 1 AND removed_at IS NULL")
+    kept = ["path", "name", "zone", "dir", "type", "summary", "created", "bytes"]
+    last = node.groupBy("path").agg(F.max_by(F.struct("removed_at", *kept[1:]), F.struct("seen_at", "loaded_at")).alias("r"))
+    now = last.select("path", "r.*").filter("removed_at IS NULL")
     edge = table(spark, d, "edge").select("edge_id", "src", "dst", "raw", "kind").distinct()
     tag = table(spark, d, "tag").filter("tag IS NOT NULL").select("path", "tag").distinct()
-    return Graph(now.select("path", "name", "zone", "dir", "type", "summary", "created", "bytes"), edge.select("src", "dst", "raw", "kind"), tag)
+    return Graph(now.select(kept), edge.select("src", "dst", "raw", "kind"), tag)
 
 
 HUB = "000 Landing/Atlas.md"

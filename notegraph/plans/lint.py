@@ -83,7 +83,8 @@ def lint(notes: DataFrame, targets: DataFrame, rules: Rules = Rules()) -> DataFr
     links = unresolved(sources, "links", 2, "link unresolved")
     if rules.skip_unresolved_to:
         links = links.filter(~F.col("target").isin(rules.skip_unresolved_to))
-    dead = resolve(cut(wanted.unionByName(links)), targets).filter("landed IS NULL")
+    asked = cut(wanted.unionByName(links))
+    dead = resolve(asked, targets, asked.count()).filter("landed IS NULL")
     every = own.unionByName(dead.select(F.col("src").alias("path"), "part", "pos", "code", F.col("target").alias("detail")))
     listed = every.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "code", "detail"))).alias("l"))
     return listed.select("path", F.posexplode("l").alias("seq", "x")).select("path", "x.code", "x.detail", "seq")

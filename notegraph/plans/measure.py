@@ -83,7 +83,8 @@ def resolution(notes: DataFrame, targets: DataFrame) -> DataFrame:
     """scope, measure, n: links and frontmatter edges, and how many resolve nowhere."""
     from notegraph.plans.build import named_links
 
-    r = resolve(cut(named_links(parse(notes))), targets)
+    named = cut(named_links(parse(notes)))
+    r = resolve(named, targets, named.count())
     body, dead = (F.col("kind") == "links_to").cast("int"), F.col("landed").isNull().cast("int")
     return _scopes(r, {"links": body, "unresolved": body * dead, "edges": 1 - body, "edges unresolved": (1 - body) * dead}, "src")
 
@@ -92,7 +93,8 @@ def unresolved_targets(notes: DataFrame, targets: DataFrame, top: int = 20) -> D
     """target, n: the most frequent unresolved targets (a report; ties by text)."""
     from notegraph.plans.build import named_links
 
-    r = resolve(cut(named_links(parse(notes))), targets).filter("landed IS NULL")
+    named = cut(named_links(parse(notes)))
+    r = resolve(named, targets, named.count()).filter("landed IS NULL")
     return r.groupBy("target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target").limit(top)
 
 

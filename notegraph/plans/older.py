@@ -76,7 +76,7 @@ def lint(notes: DataFrame, targets: DataFrame, sources: list[str] = IGNORED_SOUR
         links = links.filter(~exempt)
     asked = cut(ups.select("path", "part", "pos", "code", "detail", L.link_target(F.col("detail")).alias("key")).unionByName(links.select("path", "part", "pos", "code", "detail", F.col("detail").alias("key"))))
     known = known_keys(targets).withColumn("known", F.lit(True))
-    dead = skew_join(asked, known, "key", "left", heavy_keys(asked, "key")).filter("known IS NULL").select("path", "part", "pos", "code", "detail")
+    dead = skew_join(asked, known, "key", "left", heavy_keys(asked, "key", rows=asked.count())).filter("known IS NULL").select("path", "part", "pos", "code", "detail")
     every = own.unionByName(junk).unionByName(dead)
     listed = every.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "pos", "code", "detail"))).alias("l"))
     return listed.select("path", F.posexplode("l").alias("seq", "x")).select("path", "x.code", "x.detail", "seq")
@@ -108,9 +108,10 @@ def build(notes: DataFrame, excluded: list[str] = EXCLUDED) -> tuple[Graph, Data
     asked = listed("builds_on", "builds_on").unionByName(listed("supersedes", "supersedes")).unionByName(listed("links_to", "raw_links"))
     asked = cut(asked.withColumn("end", L.link_target(F.col("raw"))).filter("kind <> 'links_to' OR end <> ''"))
     asked = asked.withColumn("key", F.when(F.col("end").contains("/"), T.path_name(F.col("end"))).otherwise(F.col("end")))
-    found = skew_join(asked, live, "key", "left", heavy_keys(asked, "key"))
+    rows = asked.count()
+    found = skew_join(asked, live, "key", "left", heavy_keys(asked, "key", rows=rows))
     paths = found.withColumn("end", F.when(F.col("end").contains("/"), F.col("end")))
-    found = skew_join(paths, by_end, "end", "left", heavy_keys(paths, "end"))
+    found = skew_join(paths, by_end, "end", "left", heavy_keys(paths, "end", rows=rows))
     edge = found.select("src", F.coalesce("by_end", "by_name").alias("dst"), "raw", "kind")
     folders = node.filter("dir <> ''").select(path.alias("src"), F.element_at(F.split("dir", "/"), -1).alias("raw")).withColumn("key", T.nfc(F.col("raw")))
     part_of = folders.join(live, "key").filter("by_name <> src").select("src", F.col("by_name").alias("dst"), "raw", F.lit("part_of").alias("kind"))
