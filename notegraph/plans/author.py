@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from notegraph.functions import legacy
 from notegraph.operators.resolve import link_keys
 from notegraph.plans.lint import TYPES, lint
+from notegraph.session import cut
 from notegraph.sources.tables import table
 from notegraph.sources.vault import read_vault
 
@@ -141,14 +142,48 @@ def rendered(spark: SparkSession, d: str) -> DataFrame:
     return g.node.join(up, "path", "left").select("path", fm.alias("fm"))
 
 
-QUERIES = {f.__name__: f for f in (template_list, routing, rendered)}
+def create_gate(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks against writing a note for each link that landed nowhere, in the folder of its source.
 
-from notegraph.plans.build import PARSED  # noqa: E402
+    The link's text is the title, its kind the type; links of kind builds_on come with an empty body.
+    Folders are those of notes named like their zone's first, so that some are missing.
+    """
+    edge, node = table(spark, d, "edge"), table(spark, d, "node")
+    dir_ = lambda p: F.regexp_extract(p, r"\A((?s:.*))/[^/]*\z", 1)
+    wanted = edge.filter("dst IS NULL AND src IS NOT NULL").select(dir_("src").alias("dir"), F.regexp_replace("raw", "/", " ").alias("title"), "kind").filter("title <> ''")
+    wanted = wanted.groupBy("dir", "title").agg(F.min("kind").alias("kind"))
+    path = F.concat(F.when(F.col("dir") != "", F.concat("dir", F.lit("/"))).otherwise(F.lit("")), "title", F.lit(".md"))
+    fm = frontmatter_column(F.col("kind"), F.col("title"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.lit("2024-02-30"))
+    body = F.when(F.col("kind") == "builds_on", F.lit("")).otherwise(F.lit("Written for a link."))
+    new = cut(wanted.select(path.alias("path"), body.alias("body"), F.concat(F.lit("---\n"), fm, F.lit("\n---\n\n"), body).alias("text")))
+    targets = node.select("path").filter("path IS NOT NULL").distinct()
+    folders = targets.select(dir_("path").alias("folder")).filter("folder LIKE '%a%'").distinct()
+    return creation_findings(new, targets, folders)
+
+
+QUERIES = {f.__name__: f for f in (template_list, routing, rendered, create_gate)}
+
+from notegraph.plans.build import _DIR, PARSED  # noqa: E402
 from notegraph.plans.catalog import _G  # noqa: E402
 
 SQL = {
     "template_list": f"WITH {PARSED} SELECT path, coalesce(summary, '') AS summary, coalesce(regexp_matches(fm, '(?m)^type:\\s*template\\s*$'), false) AS by_type FROM parsed WHERE regexp_matches(fm, '(?m)^type:\\s*template\\s*$') OR regexp_matches(path, '(^|/)(Templates|_Template)/|(^|/)_template\\.md$')",
     "routing": f"WITH {_G} SELECT path, type, zone AS place FROM gn WHERE (zone = '300 Reading' AND type NOT IN ('source-note', 'hub', 'reference')) OR (zone = '000 Landing' AND type NOT IN ('log', 'reflection'))",
+    "create_gate": f"""
+WITH wanted AS (SELECT {_DIR.replace('path', 'src')} AS dir, replace(raw, '/', ' ') AS title, min(kind) AS kind FROM edge WHERE dst IS NULL AND src IS NOT NULL AND raw <> '' GROUP BY ALL),
+new AS (SELECT *, CASE WHEN dir <> '' THEN dir || '/' ELSE '' END || title || '.md' AS path FROM wanted),
+t AS (SELECT DISTINCT path FROM node WHERE path IS NOT NULL),
+folders AS (SELECT DISTINCT {_DIR} AS folder FROM t),
+parts AS (SELECT path, string_split(regexp_replace(path, '\\.md$', ''), '/') AS p FROM t WHERE path LIKE '%.md'),
+keys AS (SELECT string_split(path, '/')[-1] AS k, path FROM t UNION SELECT array_to_string(p[i:], '/'), path FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM parts))
+SELECT path, 'type unknown' AS code, kind AS detail FROM new
+UNION ALL SELECT path, 'summary too long', length(trim(title)) || '자' FROM new WHERE length(trim(title)) > 80
+UNION ALL SELECT path, 'created invalid', '2024-02-30' FROM new
+UNION ALL SELECT path, 'bad file name', title FROM new WHERE regexp_matches(title, '[`\\[\\]|#^\\\\/:*?"<>]')
+UNION ALL SELECT path, 'empty body', '' FROM new WHERE kind = 'builds_on'
+UNION ALL SELECT path, 'no such folder', dir FROM new WHERE dir <> '' AND dir NOT IN (SELECT folder FROM folders WHERE folder LIKE '%a%')
+UNION ALL SELECT path, 'file exists', '' FROM new WHERE path IN (SELECT path FROM t)
+UNION ALL SELECT n.path, 'name in use', min(k.path) FROM new n JOIN keys k ON k.k = n.title WHERE k.path <> n.path GROUP BY n.path""",
     "rendered": f"""WITH {_G}, ups AS (SELECT src AS path, string_agg(raw, chr(10) ORDER BY raw) AS u FROM (SELECT DISTINCT src, '  - "' || CASE WHEN starts_with(trim(raw), '[[') AND ends_with(trim(raw), ']]') THEN trim(raw) ELSE '[[' || trim(raw) || ']]' END || '"' AS raw FROM ge WHERE kind = 'builds_on') GROUP BY src)
 SELECT path, 'type: ' || coalesce(type, '') || CASE WHEN summary <> '' THEN chr(10) || 'summary: ' || summary ELSE '' END || coalesce(chr(10) || 'builds_on:' || chr(10) || u, '') || chr(10) || 'created: ' || coalesce(created, '') AS fm FROM gn LEFT JOIN ups USING (path)""",
 }

@@ -175,6 +175,9 @@ def _list(key: str) -> str:
 
 
 _TARGET = _TRIM.format("regexp_extract({}, '^((?s:.*?))(?:\\\\\\||\\||#|\\^|$)', 1)")
+#: The targets of the links in a text without code.
+LINKS = f"""list_filter(list_transform(list_filter(regexp_extract_all({{}}, '(\\\\?)!?\\[\\[[^\\[\\]]+\\]\\]', 0), lambda x: NOT starts_with(x, chr(92))),
+    lambda x: {_TARGET.format("regexp_extract(x, '!?\\[\\[([^\\[\\]]+)\\]\\]', 1)")}), lambda x: x <> '')"""
 #: The notes of the test tables, parsed in SQL. Code is found by a running sum over lines.
 PARSED = f"""
 files AS (SELECT coalesce(path, 'inbox/doc' || doc_id || '.md') AS path, arg_max(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), (captured_at, doc_id)) AS text
@@ -187,8 +190,7 @@ fenced AS (SELECT *, regexp_matches(line, '^[ \\t]*(```|~~~)') AS fence, sum(CAS
 clean AS (SELECT path, string_agg(CASE WHEN fence OR n % 2 = 1 THEN '' ELSE regexp_replace(line, '`[^`]*`', '', 'g') END, chr(10) ORDER BY pos) AS code_free FROM fenced GROUP BY path),
 parsed AS (SELECT h.path, h.text, has_fm, fm, body, code_free, {_get('type')} AS type, {_get('summary')} AS summary, {_get('created')} AS created,
   {_list('builds_on')} AS builds_on, {_list('supersedes')} AS supersedes, {_list('tags')} AS tags,
-  list_filter(list_transform(list_filter(regexp_extract_all(code_free, '(\\\\?)!?\\[\\[[^\\[\\]]+\\]\\]', 0), lambda x: NOT starts_with(x, chr(92))),
-    lambda x: {_TARGET.format("regexp_extract(x, '!?\\[\\[([^\\[\\]]+)\\]\\]', 1)")}), lambda x: x <> '') AS links,
+  {LINKS.format('code_free')} AS links,
   list_filter(list_transform(regexp_extract_all(code_free, '(?:^|\\s)#([\\p{{L}}\\p{{N}}_/-]+)', 1), lambda x: x), lambda x: regexp_matches(x, '\\p{{L}}')) AS body_tags
   FROM halves h JOIN clean c ON c.path = h.path)"""
 _BASE = "string_split({}, '/')[-1]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
 from notegraph.operators.resolve import case_collisions, duplicate_names, resolve
-from notegraph.plans.build import EXCLUDED_ZONES, PARSED, RESOLVED, parse, vault_notes, vault_targets
+from notegraph.plans.build import _TARGET, EXCLUDED_ZONES, LINKS, PARSED, RESOLVED, parse, vault_notes, vault_targets
 from notegraph.plans.lint import SUMMARY_MAX, TYPES
 from notegraph.session import cut
 
@@ -72,10 +72,9 @@ def links(notes: DataFrame) -> DataFrame:
     cut_items = F.filter(F.concat("builds_on", "supersedes"), lambda x: T.link_target(x) != x)
     has = lambda pattern: F.col("text").rlike(pattern).cast("int")
     return _scopes(p, {
-        "files": F.lit(1), "links": F.size("links"), "files with a link": (F.size("links") > 0).cast("int"),
-        "frontmatter edges": F.size("builds_on") + F.size("supersedes"), "frontmatter edge holds a separator": F.size(cut_items),
-        "file name holds a separator": T.path_name(F.col("path")).rlike(r"[|#^]").cast("int"), "tilde fence": has(TILDE_FENCE), "fence of four or more": has(LONG_FENCE),
-        "double backtick": has(DOUBLE_TICK), "frontmatter would double count": (F.size(T.links(F.col("text"))) != F.size("links")).cast("int"),
+        "notes": F.lit(1), "links": F.size("links"), "linking notes": (F.size("links") > 0).cast("int"), "listed edges": F.size("builds_on") + F.size("supersedes"),
+        "listed edges that are cut": F.size(cut_items), "names that would be cut": T.path_name(F.col("path")).rlike(r"[|#^]").cast("int"), "notes with ~~~": has(TILDE_FENCE),
+        "notes with longer fences": has(LONG_FENCE), "notes with double ticks": has(DOUBLE_TICK), "notes with links above the body": (F.size(T.links(F.col("text"))) != F.size("links")).cast("int"),
     })
 
 
@@ -139,6 +138,16 @@ SQL = {
     "measure_summary": f"""WITH {PARSED}, l AS (SELECT list_sort(list(length(summary))) AS x FROM parsed WHERE summary <> '')
 SELECT CAST(x[1] AS INTEGER) AS least, CAST(x[CAST(floor(len(x) / 2) AS BIGINT) + 1] AS INTEGER) AS median, CAST(x[CAST(floor(len(x) * 0.95) AS BIGINT) + 1] AS INTEGER) AS p95, CAST(x[-1] AS INTEGER) AS most, len(list_filter(x, lambda v: v > {SUMMARY_MAX})) AS "over" FROM l""",
     "measure_types": f"WITH {PARSED} SELECT type, count(*) AS n, type IN ({', '.join(repr(t) for t in TYPES)}) AS known FROM parsed WHERE type <> '' GROUP BY type",
+    "measure_links": _measures("measured", "path", {
+        "notes": "1", "links": "len(links)", "linking notes": "len(links) > 0", "listed edges": "len(builds_on) + len(supersedes)",
+        "listed edges that are cut": f"len(list_filter(list_concat(builds_on, supersedes), lambda x: {_TARGET.format('x')} <> x))",
+        "names that would be cut": "regexp_matches(regexp_replace(string_split(path, '/')[-1], '\\.md$', ''), '[|#^]')",
+        "notes with ~~~": "regexp_matches(text, '(?m)^[ \\t]*~~~')", "notes with longer fences": "regexp_matches(text, '(?m)^[ \\t]*(`{4,}|~{4,})')",
+        "notes with double ticks": "regexp_matches(text, '(?:^|[^`])``(?:[^`]|$)')", "notes with links above the body": "len(whole_links) <> len(links)"}, f"""{PARSED},
+  all_lines AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM halves),
+  all_fenced AS (SELECT *, regexp_matches(line, '^[ \\t]*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^[ \\t]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS n FROM all_lines),
+  all_clean AS (SELECT path, string_agg(CASE WHEN fence OR n % 2 = 1 THEN '' ELSE regexp_replace(line, '`[^`]*`', '', 'g') END, chr(10) ORDER BY pos) AS t FROM all_fenced GROUP BY path),
+  measured AS (SELECT p.*, {LINKS.format('t')} AS whole_links FROM parsed p JOIN all_clean c ON c.path = p.path)"""),
     "measure_resolution": _measures("landed", "src", {"links": "kind = 'links_to'", "unresolved": "kind = 'links_to' AND landed IS NULL", "edges": "kind <> 'links_to'", "edges unresolved": "kind <> 'links_to' AND landed IS NULL"}, f"{PARSED}, {RESOLVED}"),
     "measure_unresolved": f"WITH {PARSED}, {RESOLVED} SELECT target, count(*) AS n FROM landed WHERE landed IS NULL GROUP BY target ORDER BY n DESC, target LIMIT 20",
     "measure_names": f"""WITH {_NAMES} SELECT 'duplicate names' AS measure, count(*) AS n FROM dup UNION ALL SELECT 'duplicate files', CAST(coalesce(sum(n), 0) AS BIGINT) FROM dup

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from notegraph.functions import legacy as L
 from notegraph.functions import text as T
 from notegraph.operators.skew import heavy_keys, skew_join
-from notegraph.plans.build import Graph, vault_notes, vault_targets
-from notegraph.plans.lint import BUILDS_ON_MAX, SUMMARY_MAX, TYPES
+from notegraph.plans.build import _DIR, _TRIM, PARSED, Graph, vault_notes, vault_targets
+from notegraph.plans.lint import _ISO, BUILDS_ON_MAX, SUMMARY_MAX, TYPES
 from notegraph.session import cut
+from notegraph.sources.tables import table
 
 #: What the older tool exempts, by bare prefix.
 EXCLUDED = ["800 TRPG", "900 Archive", ".claude", ".trash", ".obsidian"]
@@ -129,9 +130,76 @@ def older_edge(spark: SparkSession, d: str) -> DataFrame:
     return build(vault_notes(spark, d))[0].edge.groupBy("src", "dst", "raw", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tag_notes(spark: SparkSession, d: str) -> DataFrame:
+    """path, text: a note for each path of the tag table whose body holds its tags, one on a line, as the older tool wanted them."""
+    word = F.regexp_replace(F.regexp_replace("tag", r"(?U)^[\s#]+|\s+$", ""), r"(?U)\s+", "-")
+    tags = table(spark, d, "tag").filter("path IS NOT NULL AND tag IS NOT NULL").groupBy("path").agg(F.array_sort(F.collect_set(word)).alias("tags"))
+    return tags.select("path", F.concat(F.lit("# tags\n"), F.array_join(F.transform("tags", lambda x: F.concat(F.lit("see #"), x)), "\n")).alias("text"))
+
+
 def older_tag(spark: SparkSession, d: str) -> DataFrame:
-    return build(vault_notes(spark, d))[0].tag.groupBy("path", "tag").agg(F.count(F.lit(1)).alias("n"))
+    """The nested tags in the bodies of the documents and of notes made of the tag table."""
+    notes = vault_notes(spark, d).unionByName(tag_notes(spark, d))
+    return build(notes)[0].tag.groupBy("path", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (older_lint, older_edge, older_tag)}
-SQL: dict[str, str] = {}
+
+_BASE = "string_split({}, '/')[-1]"
+_CUT = f"nfc_normalize({_TRIM.format('''regexp_replace(regexp_extract({}, '^((?s:.*?))(?:\\\\\\||\\||#|\\^|$)', 1), '\\\\+$', '')''')})"
+
+
+def _listed(key: str) -> str:
+    block = f"regexp_extract(coalesce(fm, '') || chr(10), '(?m)^{key}:\\n((?:[ \\t]+- .*\\n)+)', 1)"
+    item = f"regexp_replace(trim({_TRIM.format('substr(' + _TRIM.format('x') + ', 3)')}, chr(34) || chr(39)), '^\\[\\[|\\]\\]$', '', 'g')"
+    return f"list_transform(list_filter(string_split({block}, chr(10)), lambda x: x <> ''), lambda x: {item})"
+
+
+def _prefixed(path: str, prefixes: list[str]) -> str:
+    return "(" + " OR ".join(f"starts_with({path}, '{p}')" for p in prefixes) + ")"
+
+
+#: The older reading in SQL. In the test tables a fence closes with its own marker, so code is found as in PARSED.
+_OLD = f"""{PARSED},
+old AS (SELECT path, text, fm, code_free, {_listed('builds_on')} AS ups, {_listed('supersedes')} AS instead,
+  list_transform(list_filter(regexp_extract_all(code_free, '(\\\\?)\\[\\[[^\\[\\]\\n]+\\]\\]', 0), lambda x: NOT starts_with(x, chr(92))), lambda x: substr(x, 3, length(x) - 4)) AS raws FROM parsed)"""
+_OLD_EDGES = f"""{_OLD},
+live AS (SELECT *, nfc_normalize(regexp_replace({_BASE.format('path')}, '\\.md$', '')) AS name, {_DIR} AS dir, string_split(path, '/') AS p FROM old WHERE NOT {_prefixed('path', EXCLUDED)} AND path NOT IN ('CLAUDE.md')),
+names AS (SELECT name AS k, min(path) AS dst FROM live GROUP BY name),
+tails AS (SELECT path, array_to_string(p[i:], '/') AS e FROM (SELECT path, p, unnest(range(2, len(p))) AS i FROM live WHERE len(p) > 2)),
+ends AS (SELECT e, min(path) AS dst FROM (SELECT path, path AS e FROM live UNION SELECT path, e FROM tails UNION SELECT path, regexp_replace(e, '\\.md$', '') FROM tails) GROUP BY e),
+asked AS (SELECT src, kind, raw, {_CUT.format('raw')} AS e FROM (
+  SELECT path AS src, 'builds_on' AS kind, unnest(ups) AS raw FROM live UNION ALL SELECT path, 'supersedes', unnest(instead) FROM live UNION ALL SELECT path, 'links_to', unnest(raws) FROM live)),
+joined AS (SELECT src, coalesce(CASE WHEN contains(a.e, '/') THEN x.dst END, n.dst) AS dst, raw, kind FROM asked a
+  LEFT JOIN names n ON n.k = CASE WHEN contains(a.e, '/') THEN regexp_replace({_BASE.format('a.e')}, '\\.md$', '') ELSE a.e END LEFT JOIN ends x ON x.e = a.e WHERE kind <> 'links_to' OR a.e <> ''
+  UNION ALL SELECT path, n.dst, {_BASE.format('dir')}, 'part_of' FROM live l JOIN names n ON n.k = nfc_normalize({_BASE.format('dir')}) WHERE dir <> '' AND n.dst <> path)"""
+_IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_SHOWN = "regexp_replace(regexp_replace(x, '\\]\\([^)]*\\)', ']()', 'g'), 'https?://\\S+', '', 'g')"
+_JUNK = f"""flatten(list_transform(list_transform(string_split(code_free, chr(10)), lambda x: {_SHOWN}), lambda x: CASE WHEN {_TRIM.format("regexp_replace(x, '#[0-9a-zA-Z_/-]+', '', 'g')")} = '' THEN [] ELSE
+  list_transform(list_filter(regexp_extract_all(x, '(?:^|[^\\p{{L}}\\p{{N}}_`\\\\])#([0-9a-zA-Z_-]{{2,}}/?)', 1), lambda y: NOT ends_with(y, '/') AND regexp_matches(y, '^[\\p{{L}}\\p{{N}}_]*[a-zA-Z]')), lambda y: '#' || y) END))"""
+_FIELD = "CASE WHEN regexp_matches(fm, '(?m)^{0}:\\s*(\\S+)\\s*$') THEN regexp_extract(fm, '(?m)^{0}:\\s*(\\S+)\\s*$', 1) END"
+_OLD_LINT = f"""{_OLD},
+fields AS (SELECT *, {_FIELD.format('type')} AS t, {_FIELD.format('created')} AS created,
+  CASE WHEN regexp_matches(fm, '(?m)^summary:[ \\t]*(.+)$') THEN trim({_TRIM.format("regexp_extract(fm, '(?m)^summary:[ \\t]*(.+)$', 1)")}, chr(34) || chr(39)) END AS s, {_prefixed('path', IGNORED_SOURCES)} AS skip FROM old),
+checked AS (SELECT * FROM fields WHERE NOT skip),
+targets AS (SELECT path FROM node WHERE path IS NOT NULL UNION SELECT path FROM files),
+tails AS (SELECT array_to_string(p[i:], '/') AS k FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT string_split(path, '/') AS p FROM targets))),
+known AS (SELECT k FROM tails UNION SELECT regexp_replace(k, '\\.md$', '') FROM tails WHERE k LIKE '%.md'),
+found AS (
+  SELECT path, 0 AS part, 0 AS pos, 'frontmatter 없음' AS code, '' AS detail FROM checked WHERE fm IS NULL
+  UNION ALL SELECT path, 0, 1, 'type 없음', '' FROM checked WHERE fm IS NOT NULL AND t IS NULL UNION ALL SELECT path, 0, 2, 'type가 13값 밖', t FROM checked WHERE t NOT IN ({_IN(TYPES)})
+  UNION ALL SELECT path, 0, 3, 'summary ' || length(s) || '자 (상한 {SUMMARY_MAX})', substr(s, 1, 40) || '…' FROM checked WHERE length(s) > {SUMMARY_MAX}
+  UNION ALL SELECT path, 0, 4, 'created 없음', '' FROM checked WHERE fm IS NOT NULL AND created IS NULL UNION ALL SELECT path, 0, 5, 'created 형식 오류', created FROM checked WHERE created IS NOT NULL AND NOT {_ISO}
+  UNION ALL SELECT path, 0, 6, 'builds_on ' || len(ups) || '개 (상한 {BUILDS_ON_MAX})', '' FROM checked WHERE len(ups) > {BUILDS_ON_MAX}
+  UNION ALL SELECT path, 1, pos, 'builds_on 미해결', raw FROM (SELECT path, generate_subscripts(ups, 1) AS pos, unnest(ups) AS raw FROM checked) WHERE {_CUT.format('raw')} NOT IN (SELECT k FROM known)
+  UNION ALL SELECT path, 2, pos, '의도치 않은 태그', j FROM (SELECT path, generate_subscripts(junk, 1) AS pos, unnest(junk) AS j FROM (SELECT path, {_JUNK} AS junk FROM checked WHERE fm IS NOT NULL))
+  UNION ALL SELECT path, 3, pos, 'link', e FROM (SELECT path, pos, {_CUT.format('raw')} AS e FROM (SELECT path, generate_subscripts(raws, 1) AS pos, unnest(raws) AS raw FROM checked))
+    WHERE e <> '' AND e NOT IN ({_IN(IGNORED_TARGETS)}) AND NOT regexp_matches(e, '{L.PLACEHOLDER}') AND e NOT IN (SELECT k FROM known))"""
+SQL = {
+    "older_edge": f"WITH {_OLD_EDGES} SELECT src, dst, raw, kind, count(*) AS n FROM joined GROUP BY ALL",
+    "older_tag": f"""WITH {_OLD}, words AS (SELECT DISTINCT path, regexp_replace(regexp_replace(tag, '^[\\s#]+|\\s+$', '', 'g'), '\\s+', '-', 'g') AS w FROM tag WHERE path IS NOT NULL AND tag IS NOT NULL),
+bodies AS (SELECT path, code_free AS body FROM parsed UNION ALL SELECT path, ' #' || w FROM words),
+nested AS (SELECT path, unnest(regexp_extract_all(body, '(?:^|[^\\p{{L}}\\p{{N}}_`\\\\])#([A-Za-z가-힣][0-9a-zA-Z가-힣_-]*(?:/[0-9a-zA-Z가-힣_-]+)+)', 1)) AS tag FROM bodies WHERE NOT {_prefixed('path', EXCLUDED)} AND path <> 'CLAUDE.md')
+SELECT path, tag, count(*) AS n FROM nested GROUP BY ALL""",
+    "older_lint": f"WITH {_OLD_LINT} SELECT path, code, detail, CAST(row_number() OVER (PARTITION BY path ORDER BY part, pos) - 1 AS INTEGER) AS seq FROM found",
+}
