@@ -105,6 +105,20 @@ def report_json(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(F.col("path").alias("file"), F.col("code").alias("kind"), "detail")).alias("value"))
 
 
+def write_report(findings: DataFrame, path: str) -> None:
+    """One JSON file with two sections: findings on frontmatter (file, kind, detail) and on links (src, target)."""
+    link = F.col("code").isin("link unresolved", "link")
+    own = findings.filter(~link).orderBy("path", "seq").select(F.to_json(F.struct(F.col("path").alias("file"), F.col("code").alias("kind"), "detail")))
+    links = findings.filter(link).orderBy("path", "seq").select(F.to_json(F.struct(F.col("path").alias("src"), F.col("detail").alias("target"))))
+    with open(path, "w", encoding="utf-8") as f:
+        for name, rows, end in (("frontmatter", own, ",\n"), ("links", links, "\n")):
+            f.write(("{\n" if name == "frontmatter" else "") + f' "{name}": [')
+            for n, r in enumerate(rows.toLocalIterator()):
+                f.write(("," if n else "") + "\n  " + r[0])
+            f.write("]" + end)
+        f.write("}\n")
+
+
 def exit_code(findings: DataFrame) -> int:
     return 0 if findings.isEmpty() else 1
 

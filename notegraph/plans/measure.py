@@ -97,6 +97,19 @@ def unresolved_targets(notes: DataFrame, targets: DataFrame, top: int = 20) -> D
     return r.groupBy("target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target").limit(top)
 
 
+#: What examples of links are called.
+PLACEHOLDERS = ["...", "참조", "파일명", "제목", "경로", "예시"]
+
+
+def unresolved_summary(notes: DataFrame, targets: DataFrame) -> DataFrame:
+    """measure, n: different unresolved targets, how often they are written, and how often as a placeholder."""
+    from notegraph.plans.build import named_links
+
+    named = cut(named_links(parse(notes)))
+    r = resolve(named, targets, named.count()).filter("landed IS NULL").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return _long(r.agg(F.count(F.lit(1)).alias("targets"), F.sum("n").alias("hits"), F.sum(F.when(F.col("target").isin(PLACEHOLDERS), F.col("n"))).alias("placeholders")), "").drop("scope")
+
+
 def names(targets: DataFrame) -> DataFrame:
     """measure, n: names of several files, their files, groups that differ in case, names not in NFC."""
     d = duplicate_names(targets).agg(F.count(F.lit(1)).alias("duplicate names"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate files"))
@@ -113,6 +126,7 @@ QUERIES = {
     "measure_links": lambda s, d: links(vault_notes(s, d)),
     "measure_resolution": lambda s, d: resolution(vault_notes(s, d), vault_targets(s, d)),
     "measure_unresolved": lambda s, d: unresolved_targets(vault_notes(s, d), vault_targets(s, d)),
+    "measure_unresolved_summary": lambda s, d: unresolved_summary(vault_notes(s, d), vault_targets(s, d)),
     "measure_names": lambda s, d: names(vault_targets(s, d)),
     "duplicate_names": lambda s, d: duplicate_names(vault_targets(s, d)).withColumn("paths", F.array_join("paths", "|")),
     "case_collisions": lambda s, d: case_collisions(vault_targets(s, d)).withColumn("names", F.array_join("names", "|")),
@@ -150,6 +164,8 @@ SELECT CAST(x[1] AS INTEGER) AS least, CAST(x[CAST(floor(len(x) / 2) AS BIGINT)
   measured AS (SELECT p.*, {LINKS.format('t')} AS whole_links FROM parsed p JOIN all_clean c ON c.path = p.path)"""),
     "measure_resolution": _measures("landed", "src", {"links": "kind = 'links_to'", "unresolved": "kind = 'links_to' AND landed IS NULL", "edges": "kind <> 'links_to'", "edges unresolved": "kind <> 'links_to' AND landed IS NULL"}, f"{PARSED}, {RESOLVED}"),
     "measure_unresolved": f"WITH {PARSED}, {RESOLVED} SELECT target, count(*) AS n FROM landed WHERE landed IS NULL GROUP BY target ORDER BY n DESC, target LIMIT 20",
+    "measure_unresolved_summary": f"""WITH {PARSED}, {RESOLVED}, u AS (SELECT target FROM landed WHERE landed IS NULL)
+SELECT 'targets' AS measure, count(DISTINCT target) AS n FROM u UNION ALL SELECT 'hits', count(*) FROM u UNION ALL SELECT 'placeholders', count(*) FROM u WHERE target IN ({', '.join(repr(x) for x in PLACEHOLDERS)})""",
     "measure_names": f"""WITH {_NAMES} SELECT 'duplicate names' AS measure, count(*) AS n FROM dup UNION ALL SELECT 'duplicate files', CAST(coalesce(sum(n), 0) AS BIGINT) FROM dup
 UNION ALL SELECT 'case collisions', count(*) FROM (SELECT lower(key) FROM k GROUP BY lower(key) HAVING count(DISTINCT key) > 1)
 UNION ALL SELECT 'names not in NFC', count(*) FROM t WHERE path LIKE '%.md' AND string_split(path, '/')[-1] <> nfc_normalize(string_split(path, '/')[-1])""",

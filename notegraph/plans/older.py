@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field, fields
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,24 @@ IGNORED_SOURCES = ["300 Runtime/301 Day Notes", "100 Private Log/102 Monthly Dia
 IGNORED_TARGETS = ["...", "참조", "파일명", "제목", "경로", "예시"]
 
 
+CONFIG_NAME = ".vault-lint.json"
+
+
+@dataclass(frozen=True)
+class Ignores:
+    """What the older lint exempts; keys missing from the file beside the notes keep these."""
+
+    sources: list[str] = field(default_factory=lambda: list(IGNORED_SOURCES))
+    targets: list[str] = field(default_factory=lambda: list(IGNORED_TARGETS))
+    files: list[str] = field(default_factory=list)
+
+
+def load_ignores(root: str) -> Ignores:
+    path = Path(root) / CONFIG_NAME
+    given = json.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+    return Ignores(**{f.name: given[f.name] for f in fields(Ignores) if f.name in given})
+
+
 def prefixed(path: F.Column, prefixes: list[str]) -> F.Column:
     out = F.lit(False)
     for p in prefixes:
@@ -83,6 +105,34 @@ def lint(notes: DataFrame, targets: DataFrame, sources: list[str] = IGNORED_SOUR
     return listed.select("path", F.posexplode("l").alias("seq", "x")).select("path", "x.code", "x.detail", "seq")
 
 
+def link_totals(notes: DataFrame, targets: DataFrame, ignores: Ignores = Ignores(), skills: list[str] = (), show_all: bool = False) -> DataFrame:
+    """measure, n: links in bodies, those that resolve nowhere, and those of them that are exempt."""
+    p = _parsed(notes).select("path", F.explode("raw_links").alias("raw")).select("path", L.link_target(F.col("raw")).alias("key")).filter("key <> ''")
+    asked = cut(p.groupBy("path", "key").agg(F.count(F.lit(1)).alias("times")))
+    known = known_keys(targets).withColumn("known", F.lit(True))
+    found = skew_join(asked, known, "key", "left", heavy_keys(asked, "key", rows=asked.count()))
+    path, key = F.col("path"), F.col("key")
+    exempt = F.lit(False)
+    if not show_all:
+        exempt = prefixed(path, ignores.sources) | path.isin(ignores.files) | key.isin(ignores.targets) | L.is_placeholder(key)
+        if skills:
+            exempt = exempt | L.is_skill_ref(key, list(skills))
+    dead = F.col("known").isNull()
+    sums = {"links": F.lit(True), "broken": dead & ~exempt, "exempt": dead & exempt}
+    one = found.agg(*[F.coalesce(F.sum(F.when(v, F.col("times"))), F.lit(0)).alias(k) for k, v in sums.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in sums])).alias("r")).select("r.*")
+
+
+def write_store(graph: Graph, meta: DataFrame, folder: str) -> None:
+    """The graph and the row about its making, anew."""
+    graph.write(folder)
+    meta.write.mode("overwrite").parquet(f"{folder}/meta")
+
+
+def open_meta(spark: SparkSession, folder: str) -> dict[str, str]:
+    return {r["k"]: r["v"] for r in spark.read.parquet(f"{folder}/meta").collect()}  # two rows
+
+
 def build(notes: DataFrame, excluded: list[str] = EXCLUDED) -> tuple[Graph, DataFrame]:
     """(graph, meta) of `notes`: links keep their whole text as raw, tags come from the body.
 
@@ -126,6 +176,10 @@ def older_lint(spark: SparkSession, d: str) -> DataFrame:
     return lint(vault_notes(spark, d), vault_targets(spark, d))
 
 
+def older_totals(spark: SparkSession, d: str) -> DataFrame:
+    return link_totals(vault_notes(spark, d), vault_targets(spark, d))
+
+
 def older_edge(spark: SparkSession, d: str) -> DataFrame:
     return build(vault_notes(spark, d))[0].edge.groupBy("src", "dst", "raw", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -143,7 +197,7 @@ def older_tag(spark: SparkSession, d: str) -> DataFrame:
     return build(notes)[0].tag.groupBy("path", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (older_lint, older_edge, older_tag)}
+QUERIES = {f.__name__: f for f in (older_lint, older_totals, older_edge, older_tag)}
 
 _BASE = "string_split({}, '/')[-1]"
 _CUT = f"nfc_normalize({_TRIM.format('''regexp_replace(regexp_extract({}, '^((?s:.*?))(?:\\\\\\||\\||#|\\^|$)', 1), '\\\\+$', '')''')})"
@@ -201,5 +255,9 @@ SQL = {
 bodies AS (SELECT path, code_free AS body FROM parsed UNION ALL SELECT path, ' #' || w FROM words),
 nested AS (SELECT path, unnest(regexp_extract_all(body, '(?:^|[^\\p{{L}}\\p{{N}}_`\\\\])#([A-Za-z가-힣][0-9a-zA-Z가-힣_-]*(?:/[0-9a-zA-Z가-힣_-]+)+)', 1)) AS tag FROM bodies WHERE NOT {_prefixed('path', EXCLUDED)} AND path <> 'CLAUDE.md')
 SELECT path, tag, count(*) AS n FROM nested GROUP BY ALL""",
+    "older_totals": f"""WITH {_OLD_LINT.split('found AS (')[0].rstrip().rstrip(',')},
+asked AS (SELECT path, skip, {_CUT.format('raw')} AS e FROM (SELECT path, skip, unnest(raws) AS raw FROM fields)),
+judged AS (SELECT e NOT IN (SELECT k FROM known) AS dead, skip OR e IN ({_IN(IGNORED_TARGETS)}) OR regexp_matches(e, '{L.PLACEHOLDER}') AS exempt FROM asked WHERE e <> '')
+SELECT 'links' AS measure, count(*) AS n FROM judged UNION ALL SELECT 'broken', count(*) FROM judged WHERE dead AND NOT exempt UNION ALL SELECT 'exempt', count(*) FROM judged WHERE dead AND exempt""",
     "older_lint": f"WITH {_OLD_LINT} SELECT path, code, detail, CAST(row_number() OVER (PARTITION BY path ORDER BY part, pos) - 1 AS INTEGER) AS seq FROM found",
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import nfc
-from notegraph.operators.closure import all_pairs
+from notegraph.operators.closure import all_pairs, reach
 from notegraph.plans.build import Graph
-from notegraph.plans.catalog import latest
+from notegraph.plans.catalog import _start, by_tag, by_type, latest, learning_path, near, orphans
 from notegraph.session import cut
 
 #: Namespaces and predicates of the public vocabularies and of the vault.
@@ -251,9 +253,45 @@ def rdf_inferred_vault(spark: SparkSession, d: str) -> DataFrame:
     return inference_report(cut(triples(latest(spark, d))))
 
 
-QUERIES = {f.__name__: f for f in (rdf_triples, rdf_pattern, rdf_orphans, rdf_paths, rdf_inferred, rdf_inferred_vault)}
+def parity(g: Graph, type_: str, tag: str, path: str) -> DataFrame:
+    """query, graph, triples, differing: answers of the graph's queries and of the same asked of its triples.
 
-from notegraph.plans.catalog import _G  # noqa: E402
+    path, near, orphans, type and tag compare the notes by IRI, stats the edges of each kind once.
+    """
+    t = cut(triples(g))
+    note = lambda df: df.select(iri("note", F.col("path")).alias("s")).distinct()
+    of = lambda p: t.filter(F.col("p") == p)
+    start = g.node.sparkSession.range(1).select(iri("note", F.lit(path)).alias("s")).first()["s"]
+    ups, edges = of(f"{VAULT}builds_on"), t.filter(F.col("p").isin([VAULT + k for k in ("links_to", "builds_on", "supersedes", "part_of")]))
+    reached = reach(ups.select(F.col("s").alias("src"), F.col("o").alias("dst")), start).select(F.col("path").alias("s"))
+    ends = edges.filter(F.col("s") == start).select(F.col("o").alias("s")).unionByName(edges.filter(F.col("o") == start).select("s")).distinct()
+    shared = of(f"{VAULT}tag").join(of(f"{VAULT}tag").filter(F.col("s") == start).select("o"), "o").select("s").filter(F.col("s") != start).distinct().join(ends, "s", "left_anti")
+    below = iri("tag", F.lit(tag))
+    typed = of(RDF_TYPE).select("s").distinct()
+    kinds = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws(" ", "p", "n").alias("s"))
+    nfc_edges = g.edge.filter("dst IS NOT NULL").select(iri("note", F.col("src")).alias("a"), iri("note", F.col("dst")).alias("b"), F.concat(F.lit(VAULT), "kind").alias("p")).distinct()
+    answers = {
+        "path": (note(learning_path(g, path)), reached),
+        "near": (note(near(g, path)), ends.unionByName(shared).distinct()),
+        "orphans": (note(orphans(g)).join(typed, "s", "left_semi"), typed.join(edges.select(F.col("o").alias("s")), "s", "left_anti")),
+        "type": (note(by_type(g, type_)), of(RDF_TYPE).filter(F.col("o") == iri("type", F.lit(type_))).select("s")),
+        "tag": (note(by_tag(g, tag)), of(f"{VAULT}tag").filter((F.col("o") == below) | F.col("o").startswith(F.concat(below, F.lit("/")))).select("s").distinct()),
+        "stats": (nfc_edges.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws(" ", "p", "n").alias("s")), kinds),
+    }
+    sides = [df.select(F.lit(q).alias("query"), "s", F.lit(k).alias("side")) for q, both in answers.items() for k, df in enumerate(both)]
+    rows = reduce(DataFrame.unionByName, sides).groupBy("query", "s").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    count = lambda when: F.count_if(when)
+    return rows.groupBy("query").agg(count(F.col("lo") == 0).alias("graph"), count(F.col("hi") == 1).alias("triples"), count(F.col("lo") == F.col("hi")).alias("differing"))
+
+
+def rdf_parity(spark: SparkSession, d: str) -> DataFrame:
+    g = latest(spark, d)
+    return parity(g, "concept", "Stack", _start(g))
+
+
+QUERIES = {f.__name__: f for f in (rdf_triples, rdf_parity, rdf_pattern, rdf_orphans, rdf_paths, rdf_inferred, rdf_inferred_vault)}
+
+from notegraph.plans.catalog import _CHAIN, _G, LIMIT  # noqa: E402
 
 _ENC = "replace(replace(replace(replace(url_encode(nfc_normalize({0})), '%2F', '/'), '~', '%7E'), '%2A', '*'), '+', '%20')"
 _TAGS = "up AS (SELECT DISTINCT array_to_string(x[:i], '/') AS child, array_to_string(x[:i - 1], '/') AS parent FROM (SELECT x, unnest(range(2, len(x) + 1)) AS i FROM (SELECT DISTINCT string_split(tag, '/') AS x FROM gt)))"
@@ -261,6 +299,13 @@ _TREE = "tree(child, anc) AS (SELECT child, parent FROM up UNION SELECT t.child,
 _NOTE = f"'{VAULT}note/' || {_ENC}"
 _TAG = f"'{VAULT}tag/' || {_ENC}"
 SQL = {
+    "rdf_parity": f"""{_CHAIN.format(LIMIT)},
+ends AS (SELECT dst AS path FROM ge WHERE src = (SELECT s FROM start) AND dst IS NOT NULL UNION SELECT src FROM ge WHERE dst = (SELECT s FROM start)),
+shared AS (SELECT DISTINCT path FROM gt WHERE tag IN (SELECT tag FROM gt WHERE path = (SELECT s FROM start)) AND path <> (SELECT s FROM start) AND path NOT IN (SELECT path FROM ends)),
+n AS (SELECT 'path' AS query, count(DISTINCT id) AS n FROM chain WHERE id <> (SELECT s FROM start) UNION ALL SELECT 'near', count(*) FROM (SELECT path FROM ends UNION SELECT path FROM shared)
+  UNION ALL SELECT 'orphans', count(*) FROM gn WHERE type <> '' AND path NOT IN (SELECT dst FROM ge WHERE dst IS NOT NULL) UNION ALL SELECT 'type', count(*) FROM gn WHERE type = 'concept'
+  UNION ALL SELECT 'tag', count(DISTINCT path) FROM gt WHERE tag = 'Stack' OR starts_with(tag, 'Stack/') UNION ALL SELECT 'stats', count(DISTINCT kind) FROM ge WHERE dst IS NOT NULL)
+SELECT query, n AS graph, n AS triples, 0::BIGINT AS differing FROM n""",
     "rdf_pattern": f"""WITH {_G}, hit AS (SELECT DISTINCT e.src AS a, e.dst AS b FROM ge e JOIN gn x ON nfc_normalize(x.path) = nfc_normalize(e.src) AND x.type = 'concept' JOIN gn y ON nfc_normalize(y.path) = nfc_normalize(e.dst) AND y.type = 'decision' WHERE e.kind = 'builds_on')
 SELECT DISTINCT {_NOTE.format('a')} AS a, {_NOTE.format('b')} AS b, {_TAG.format('t.tag')} AS tag FROM hit LEFT JOIN gt t ON nfc_normalize(t.path) = nfc_normalize(hit.a)""",
     "rdf_orphans": f"""WITH {_G} SELECT DISTINCT {_NOTE.format('path')} AS note FROM gn WHERE type <> ''

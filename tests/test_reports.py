@@ -1,14 +1,16 @@
 """Lint, measurements, snapshots, triples, the source and the command line."""
 
 import io
+import json
 import os
 import re
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from notegraph import cli
-from notegraph.plans import author, lint, measure, rdf, snapshot
+from notegraph.plans import author, lint, measure, older, rdf, snapshot
 from notegraph.plans.build import Graph
 from notegraph.sources.vault import decoded, folder_names, read_vault
 from notegraph.streaming.relint import stream_findings
@@ -64,7 +66,7 @@ def test_measures(spark):
     assert (f["all", "files"], f["zone", "files"], f["all", "summary"], f["all", "builds_on items"], f["all", "blank line in a block"]) == (3, 2, 3, 1, 1)
     assert tuple(measure.summary_lengths(notes).first()) == (1, 3, 5, 5, 0)
     m = {(s, k): n for s, k, n in lines(measure.links(notes), "scope", "measure", "n")}
-    assert (m["all", "links"], m["all", "frontmatter edge holds a separator"], m["all", "double backtick"], m["all", "tilde fence"], m["all", "fence of four or more"]) == (2, 1, 1, 1, 1)
+    assert (m["all", "links"], m["all", "listed edges that are cut"], m["all", "notes with double ticks"], m["all", "notes with ~~~"], m["all", "notes with longer fences"]) == (2, 1, 1, 1, 1)
     r = {(s, k): n for s, k, n in lines(measure.resolution(notes, targets), "scope", "measure", "n")}
     assert (r["all", "links"], r["all", "unresolved"], r["all", "edges"], r["all", "edges unresolved"]) == (2, 1, 1, 0)
     assert lines(measure.unresolved_targets(notes, targets), "target", "n") == [("none", 1)]
@@ -172,6 +174,58 @@ def test_command_line(spark, files, monkeypatch, capsys):
     assert cli.main(["doctor", files, "--vault", files]) == 0
 
 
+def test_git_states_hook_and_restore(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    root = str(tmp_path)
+    git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    assert cli.main(["doctor", "--vault", root]) == 2 and cli.main(["install-hook", "--vault", root]) == 2
+    git("init")
+    for name, n in (("é.md", 20), ("b.md", 20), ("c.txt", 20)):
+        (tmp_path / name).write_text("x\n" * n)
+    git("add", "-A")
+    git("commit", "-m", "one")
+    assert cli.main(["doctor", "--vault", root]) == 0 and cli.main(["pre-commit", "--vault", root]) == 0
+    (tmp_path / "b.md").write_text("x\n" * 5)
+    os.remove(tmp_path / "é.md")
+    capsys.readouterr()
+    assert cli.main(["doctor", "--vault", root]) == 1
+    assert capsys.readouterr().out.splitlines() == ["missing  é.md  ", "shrunk  b.md  20 -> 5"]
+    git("add", "-A")
+    assert cli.main(["pre-commit", "--vault", root]) == 1 and capsys.readouterr().out.splitlines() == ["deleted  é.md", "shrunk  b.md"]
+    monkeypatch.setenv("NOTEGRAPH_ALLOW_LOSS", "1")
+    assert cli.main(["pre-commit", "--vault", root]) == 0
+    git("reset")
+    assert cli.main(["doctor", "--restore", "--vault", root]) == 1 and (tmp_path / "é.md").exists()
+    hook = tmp_path / ".git/hooks/pre-commit"
+    hook.write_text("echo mine")
+    assert cli.main(["install-hook", "--vault", root]) == 0 and cli.main(["install-hook", "--vault", root]) == 0
+    assert os.access(hook, os.X_OK) and "notegraph.cli pre-commit" in hook.read_text() and (tmp_path / ".git/hooks/pre-commit.bak").read_text() == "echo mine"
+
+
+def test_older_lint_and_store_from_the_command_line(spark, files, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    run = lambda *a: cli.main([*a, "--vault", files])
+    report = str(tmp_path / "report.json")
+    with open(f"{files}/bare.md", "w") as f:
+        f.write("no frontmatter")
+    assert run("lint", "--older", "--json", report) == 1
+    assert capsys.readouterr().out.splitlines()[0].startswith("links  ")
+    with open(report) as f:
+        told = json.load(f)
+    assert list(told) == ["frontmatter", "links"] and {"src": "a/x.md", "target": "gone"} in told["links"] and {"file", "kind", "detail"} == set(told["frontmatter"][0])
+    with open(f"{files}/.vault-lint.json", "w") as f:
+        json.dump({"targets": ["gone"]}, f)
+    assert older.load_ignores(files) == older.Ignores(targets=["gone"])
+    run("lint", "--older")
+    assert "exempt  1" in capsys.readouterr().out
+    os.remove(f"{files}/.vault-lint.json")
+    assert run("build", "--older") == 0
+    meta = older.open_meta(spark, f"{files}/.notegraph")
+    assert set(meta) == {"built", "excluded"} and meta["excluded"].startswith("800")
+    assert run("lint", "--json", report) == 1
+    assert "at most 80" in author.template("hub", "2024-01-01") and author.template("hub", "2024-01-01", bare=True) == "---\ntype: hub\nsummary: \ncreated: 2024-01-01\n---\n\n# Title\n\n\n"
+
+
 def test_author(spark):
     with pytest.raises(ValueError):
         author.template("nope")
