@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.operators.skew import heavy_keys, skew_join
+from notegraph.session import cut
 
 _BLANK = r"(?U)^\\s*$"
 
@@ -72,19 +73,19 @@ def canonical_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     values unmatched; entries that are null are skipped. A very long value has no candidate, as
     candidates differ by two letters in length at most.
 
-    SQL only: segments of the names are equi-joined with substrings of the values at the same
+    SQL only, each part written once: segments of the names are equi-joined with substrings of the values at the same
     place (give or take the slips), candidates are verified with the built-in levenshtein, and
     unmatched values come from an anti join.
     """
     spark = values.sparkSession
     ref = reference.select("entry", "also").filter("entry IS NOT NULL")
-    typed = spark.sql(
+    typed = cut(spark.sql(
         f"SELECT DISTINCT value, {_form('value')} AS v FROM {{values}} t WHERE value IS NOT NULL AND NOT value RLIKE '{_BLANK}' "
         "AND NOT EXISTS (SELECT 1 FROM {ref} r WHERE r.entry = t.value)",
         values=values.select("value"), ref=ref,
-    )
-    seg = spark.sql(_SEGMENTS, ref=ref)
-    matched = spark.sql(_MATCHES, seg=seg, forms=typed.select("v").distinct())
+    ))
+    seg = cut(spark.sql(_SEGMENTS, ref=ref))
+    matched = cut(spark.sql(_MATCHES, seg=seg, forms=typed.select("v").distinct()))
     return spark.sql(
         "SELECT t.value, m.entry, m.slips FROM {typed} t JOIN {matched} m ON t.v = m.v UNION ALL "
         "SELECT t.value, '?', CAST(NULL AS INT) FROM {typed} t LEFT ANTI JOIN {matched} m ON t.v = m.v",
@@ -99,4 +100,4 @@ def canonical_rows(rows: DataFrame, row_id: str, value: str, reference: DataFram
     """
     ids = rows.select(rows[row_id].alias("_id"), rows[value].alias("value")).distinct()
     mapped = canonical_values(ids, reference).select("value", "entry")
-    return skew_join(ids, mapped, "value", "inner", heavy_keys(ids, "value")).select(F.col("_id").alias(row_id), "entry")
+    return skew_join(ids, mapped, "value", "inner", heavy_keys(ids, "value", rows=rows.count())).select(F.col("_id").alias(row_id), "entry")

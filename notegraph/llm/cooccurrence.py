@@ -134,7 +134,7 @@ def _tail_start(items: pa.Array, parts: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def baskets(pairs: DataFrame, max_basket: int = MAX_BASKET) -> DataFrame:
+def baskets(pairs: DataFrame, max_basket: int = MAX_BASKET, rows: int | None = None) -> DataFrame:
     """left, right: the items of each record; a record of more than `max_basket` items in blocks.
 
     The blocks of a large record meet two by two in different tasks, so no record is collected
@@ -145,7 +145,7 @@ def baskets(pairs: DataFrame, max_basket: int = MAX_BASKET) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     if large.isEmpty():
         return pairs.groupBy("record").agg(F.collect_list("item").alias("left")).filter(F.size("left") > 1).select("left", none.alias("right"))
-    hot = heavy_keys(pairs, "record")
+    hot = heavy_keys(pairs, "record", rows=rows)
     small = skew_join(pairs, large.withColumn("is_large", F.lit(True)), "record", "left", hot).filter("is_large IS NULL")
     small = small.groupBy("record").agg(F.collect_list("item").alias("left")).filter(F.size("left") > 1).select("left", none.alias("right"))
     big = skew_join(pairs, large, "record", "inner", hot).withColumn("blocks", F.ceil(F.col("size") * 2 / max_basket).cast("int"))
@@ -185,17 +185,18 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_count: int = 1, min_
         if rows / least <= BROADCAST_ITEMS:  # there can't be more items of this count
             kept = pairs.join(F.broadcast(frequent.select("item")), "item", "left_semi")
         else:
-            kept = skew_join(pairs, frequent.select("item"), "item", "inner", heavy_keys(pairs, "item"))
+            kept = skew_join(pairs, frequent.select("item"), "item", "inner", heavy_keys(pairs, "item", rows=rows))
     parts = max(LEAST_PARTS, -(-frequent.count() // PART_CELLS))
-    stripes = baskets(kept).mapInArrow(_stripes(parts), _SCHEMA)
+    stripes = baskets(kept, rows=rows).mapInArrow(_stripes(parts), _SCHEMA)
     merged = stripes.repartition("item", "part").sortWithinPartitions("item", "part").mapInArrow(_merged, "a string, b string, n bigint")
     merged = cut(merged.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    found = merged.count()
     for side in ("a", "b"):
         own = frequent.select(F.col("item").alias(side), F.col("n").alias(f"n_{side}"))
         if least > 1 and rows / least <= BROADCAST_ITEMS:
             merged = merged.join(F.broadcast(own), side)
         else:
-            merged = skew_join(merged, own, side, "inner", heavy_keys(merged, side))
+            merged = skew_join(merged, own, side, "inner", heavy_keys(merged, side, rows=found))
     n, na, nb, tot = (F.col(c).cast("double") for c in ("n", "n_a", "n_b", "total"))
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
     llr = 2 * (part(n, na * nb / tot) + part(na - n, na * (tot - nb) / tot) + part(nb - n, (tot - na) * nb / tot) + part(tot - na - nb + n, (tot - na) * (tot - nb) / tot))

@@ -69,13 +69,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     stems = paths.select("id", stem("value").alias("value"))
     stem_f = path_f.select(stem("value").alias("value"), stem("form").alias("form"))
     slash = F.col("value").contains("/")
-    found = []
+    rows, found = table(spark, d, "edge").count() + table(spark, d, "node").count(), []
     for ids, forms in ((names, name_f), (paths, path_f)):
         pairs = differing_spellings(forms, forms).filter("value_a < value_b")
-        found.append(expand(pairs, ids, ids).filter("a <> b"))
+        found.append(expand(pairs, ids, ids, rows).filter("a <> b"))
     for ids, forms, which in ((names, name_f, ~slash), (stems, stem_f, slash)):
         pairs = differing_spellings(forms, link_f.filter(which))
-        found.append(expand(pairs, ids, links.filter(which)))
+        found.append(expand(pairs, ids, links.filter(which), rows))
     out = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
     return out.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 

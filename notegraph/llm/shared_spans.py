@@ -458,10 +458,25 @@ def expand_pairs(copies: DataFrame, pairs: DataFrame) -> DataFrame:
     alone = pairs.select(F.col("value_a").alias("id")).union(pairs.select("value_b")).distinct().withColumn("value", F.col("id"))
     members = alone.unionByName(copies.select(F.col("doc").alias("id"), F.col("rep").alias("value"))).distinct()
     reps = copies.select(F.col("rep").alias("value_a"), F.col("rep").alias("value_b")).distinct()
-    both = expand(pairs.unionByName(reps), members, members).filter("a <> b")
+    members = cut(members)
+    both = expand(pairs.unionByName(reps), members, members, members.count()).filter("a <> b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def shared_classes(documents: DataFrame, copies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, class_id, links: for each document its class of the very same text, and how many others it shares a stretch with.
+
+    class_id is the smallest id of the class; copies in a class share all of their text. The links
+    are counted over classes, so they are never written out pair by pair.
+    """
+    sizes = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    sides = pairs.select(F.col("value_a").alias("rep"), F.col("value_b").alias("other")).unionByName(pairs.select(F.col("value_b").alias("rep"), F.col("value_a").alias("other")))
+    others = sides.join(sizes.withColumnRenamed("rep", "other"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linked"))
+    docs = documents.select(F.col("doc_id").alias("doc")).join(copies, "doc", "left").withColumn("rep", F.coalesce("rep", "doc"))
+    known = docs.join(sizes, "rep", "left").join(others, "rep", "left")
+    return known.select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("links"))
+
+
 def shared_chars(documents: DataFrame, copies: DataFrame, intervals: DataFrame) -> DataFrame:
     """doc_id, n_chars, shared: for each document how many of its characters stand elsewhere, too."""
     from pyspark.sql import Window

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notegraph.llm.mixing import mix
 from notegraph.llm.packing import fill_containers, fill_report
-from notegraph.llm.shared_spans import expand_pairs, shared_chars, shared_spans
+from notegraph.llm.shared_spans import expand_pairs, shared_chars, shared_classes, shared_spans
 from notegraph.llm.tokens import token_count
 from notegraph.session import cut
 from notegraph.sources.tables import table
@@ -113,7 +113,14 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_chars(docs, copies, intervals)
 
 
-QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p7_rules, p8_mix, p8_shares, p8_rules, p8_all_mix, p8_all_tokens, p9_found, p9_shared)}
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document the class of the very same text, and how many others it shares a stretch with."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    copies, pairs, _ = shared_spans(docs)
+    return shared_classes(docs, copies, pairs)
+
+
+QUERIES = {f.__name__: f for f in (p7_containers, p7_report, p7_rules, p8_mix, p8_shares, p8_rules, p8_all_mix, p8_all_tokens, p9_found, p9_shared, p9_classes)}
 
 #: Every window of 200 characters by its md5: brute force, which small tables allow.
 _WINDOWS = """
@@ -126,6 +133,9 @@ SQL = {
     "p8_rules": """SELECT 'listed sources' AS rule, count(DISTINCT source) AS n FROM mix_target
 UNION ALL SELECT unnest(['used more than max_repeat times or not listed', 'used twice in one pass', 'foreign or of another size', 'off its target by more than a document']), 0""",
     "p9_found": f"{_WINDOWS}, k AS (SELECT DISTINCT doc_id, h FROM hits) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_classes": f"""{_WINDOWS}, k AS (SELECT DISTINCT doc_id, h FROM hits), l AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n FROM k a JOIN k b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id),
+same AS (SELECT text, min(doc_id) AS rep FROM documents WHERE length(text) >= 200 GROUP BY text)
+SELECT d.doc_id, coalesce(rep, d.doc_id) AS class_id, coalesce(n, 0) AS links FROM documents d LEFT JOIN same s ON s.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id""",
     "p9_shared": f"""{_WINDOWS}, steps AS (SELECT doc_id, least(200, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 200)) AS n FROM hits),
 sums AS (SELECT doc_id, sum(n) AS n FROM steps GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id""",

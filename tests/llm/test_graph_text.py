@@ -30,7 +30,7 @@ def pair_counts(rows):
 @pytest.mark.parametrize("max_basket,min_count", [(2000, 1), (8, 1), (8, 4)])
 def test_pairs(spark, max_basket, min_count, monkeypatch):
     monkeypatch.setattr(C, "MAX_BASKET", max_basket)
-    monkeypatch.setattr(C.baskets, "__defaults__", (max_basket,))
+    monkeypatch.setattr(C.baskets, "__defaults__", (max_basket, None))
     rnd = random.Random(3)
     rows = [(f"r{rnd.randrange(60)}", f"t{min(rnd.randrange(40), rnd.randrange(40))}") for _ in range(600)]
     rows += [("big", f"t{i}") for i in range(40)] + [(None, "x"), ("r1", None), ("r1", ""), ("r1", "한")] + rows[:20]

@@ -264,6 +264,9 @@ def test_shared_spans(spark, seed, alphabet, monkeypatch):
     assert {tuple(r) for r in S.expand_pairs(copies, pairs).collect()} == want
     got = {r["doc_id"]: r["shared"] for r in S.shared_chars(df, copies, intervals).collect()}
     assert got == cover
+    links = {r["doc_id"]: (r["class_id"], r["links"]) for r in S.shared_classes(df, copies, pairs).collect()}
+    first = {t: min(i for i, u in docs if u == t) for _, t in docs}
+    assert links == {i: (first[t] if t and len(t) >= 200 else i, sum(i in p for p in want)) for i, t in docs}
 
 
 def test_hot_groups_are_split_by_grams(spark, monkeypatch):
