@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.looks import link_part
 
+#: How frontmatter, fences, inline code, links and tags are written.
 _ASCII = r"\A\p{ASCII}*\z"
 _FM = r"\A---\n(?s:(.*?))\n---\n?"
 _HAS_FM = r"\A---\n(?s:.*?)\n---"

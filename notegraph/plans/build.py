@@ -13,7 +13,7 @@ from notegraph.operators.skew import heavy_keys, skew_join
 from notegraph.session import cut
 from notegraph.sources.tables import table
 
-#: Zones and files that are no part of the graph; links into them stay unresolved.
+#: Configuration: zones and files that are no part of the graph unless `build` is told others; links into them stay unresolved.
 EXCLUDED_ZONES = ["800 TRPG", "900 Archive"]
 EXCLUDED_FILES = ["CLAUDE.md"]
 
@@ -58,8 +58,8 @@ def parse(notes: DataFrame) -> DataFrame:
     )
 
 
-def in_graph(path) -> F.Column:
-    return ~path.isin(EXCLUDED_FILES) & ~T.under(path, EXCLUDED_ZONES)
+def in_graph(path, zones: list[str] = EXCLUDED_ZONES, files: list[str] = EXCLUDED_FILES) -> F.Column:
+    return ~path.isin(list(files)) & ~T.under(path, list(zones))
 
 
 def named_links(parsed: DataFrame) -> DataFrame:
@@ -83,15 +83,15 @@ def folder_notes(node: DataFrame) -> DataFrame:
     return joined.filter(F.size("c") > 0).select(F.col("path").alias("src"), F.col("c")[0]["dst"].alias("dst"), F.col("name").alias("raw"), F.lit("part_of").alias("kind"))
 
 
-def build(notes: DataFrame, targets: DataFrame, bytes_column: str | None = None) -> Graph:
-    """The graph of `notes` (path unique, text).
+def build(notes: DataFrame, targets: DataFrame, bytes_column: str | None = None, zones: list[str] = EXCLUDED_ZONES, files: list[str] = EXCLUDED_FILES) -> Graph:
+    """The graph of `notes` (path unique, text) but for those of the excluded `zones` and `files`.
 
     targets: path of every file a link may mean, notes and attachments, also those outside the
     graph. An unresolved link keeps its text as raw and has no dst; a link to an attachment is
     none. Null paths and texts are no notes.
     """
     size = F.col(bytes_column) if bytes_column else F.octet_length("text")
-    inside = notes.filter(F.col("path").isNotNull() & F.col("text").isNotNull() & in_graph(F.col("path"))).withColumn("bytes", size.cast("bigint"))
+    inside = notes.filter(F.col("path").isNotNull() & F.col("text").isNotNull() & in_graph(F.col("path"), zones, files)).withColumn("bytes", size.cast("bigint"))
     parsed = cut(parse(inside.select("path", "text", "bytes")).drop("text", "fm", "body"))
     path = F.col("path")
     node = parsed.select("path", T.path_name(path).alias("name"), T.path_zone(path).alias("zone"), T.path_dir(path).alias("dir"), "type", "summary", "created", "bytes")
@@ -99,7 +99,7 @@ def build(notes: DataFrame, targets: DataFrame, bytes_column: str | None = None)
     rows = named.count()
     landed = cut(resolve(named, targets, rows))
     attached = (F.col("kind") == "links_to") & F.col("landed").isNotNull() & ~T.is_note(F.col("landed"))
-    inside_dst = F.when(in_graph(F.col("landed")) & T.is_note(F.col("landed")), F.col("landed"))
+    inside_dst = F.when(in_graph(F.col("landed"), zones, files) & T.is_note(F.col("landed")), F.col("landed"))
     known = node.select(F.col("path").alias("dst"), F.lit(True).alias("is_node"))
     edges = landed.filter(~F.coalesce(attached, F.lit(False))).select("src", inside_dst.alias("dst"), F.col("target").alias("raw"), "kind")
     edges = skew_join(edges, known, "dst", "left", heavy_keys(edges, "dst", rows=rows)).select("src", F.when(F.col("is_node"), F.col("dst")).alias("dst"), "raw", "kind")

@@ -133,38 +133,48 @@ def infer(t: DataFrame) -> DataFrame:
     """`t` with all that its schema triples entail, until nothing is added.
 
     subClassOf (transitive, and types inherited), domain, range, inverseOf (both ways), and
-    transitive and symmetric properties. The closure may be far larger than `t`.
+    transitive and symmetric properties. Semi-naive: a round joins only what the one before added
+    with what is known, unless that added to the schema, and writes only what is new. A transitive
+    property is joined with itself, so each round doubles the length of the chains known. The
+    closure may be far larger than `t`.
     """
-    known = cut(t.select(*COLUMNS).distinct())
     none = F.lit(None).cast("string")
-
-    def made(df: DataFrame, s: str, p: str | Column, o: str) -> DataFrame:
-        return df.select(F.col(s).alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o"), F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("lang"))
-
-    n = known.count()
+    whole = cut(t.select(*COLUMNS).distinct())
+    iris = whole.filter("o_kind = 'iri'").select("s", "p", "o")
+    literals = whole.filter("o_kind <> 'iri'").select("s", "p").distinct()
+    parts, delta, fresh_schema = [iris], iris, True
+    made = lambda df, s, p, o: df.select(F.col(s).alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), F.col(o).alias("o"))
     while True:
-        of = lambda p: known.filter(F.col("p") == p).select("s", "o")  # noqa: E731, B023
-        things = known.filter("o_kind = 'iri'")
-        types, above = of(RDF_TYPE), of(SUB_CLASS)
-        # transitive properties, subClassOf among them: each round doubles the length of the chains known
-        trans = types.filter(F.col("o") == TRANSITIVE).select(F.col("s").alias("p")).union(known.sparkSession.createDataFrame([(SUB_CLASS,)], "p string")).distinct()
-        steps = things.join(trans, "p").select("p", "s", "o")
-        chained = steps.withColumnRenamed("o", "via").join(steps.select("p", F.col("s").alias("via"), "o"), ["p", "via"])
-        new = [made(chained, "s", F.col("p"), "o")]
-        new.append(made(types.withColumnRenamed("o", "via").join(above.select(F.col("s").alias("via"), "o"), "via"), "s", RDF_TYPE, "o"))
-        for schema, end, source in ((DOMAIN, "s", known), (RANGE, "o", things)):
-            rule = of(schema).select(F.col("s").alias("rule_p"), F.col("o").alias("cls"))
-            new.append(made(source.join(rule, source["p"] == rule["rule_p"]).select(F.col(end).alias("x"), "cls"), "x", RDF_TYPE, "cls"))
+        known = reduce(DataFrame.unionByName, parts)
+        data = known if fresh_schema else delta
+        of = lambda p, df=known: df.filter(F.col("p") == p).select("s", "o")
+        flagged = lambda kind: of(RDF_TYPE).filter(F.col("o") == kind).select(F.col("s").alias("p"))  # noqa: E731, B023
+        trans = flagged(TRANSITIVE).union(t.sparkSession.createDataFrame([(SUB_CLASS,)], "p string")).distinct()
+        chains = lambda df: df.join(trans, "p").select("p", "s", "o")  # noqa: E731, B023
+        before, after = lambda df: chains(df).withColumnRenamed("o", "via"), lambda df: chains(df).select("p", F.col("s").alias("via"), "o")  # noqa: E731, B023
+        new = [made(before(data).join(after(known), ["p", "via"]), "s", F.col("p"), "o")]
+        if not fresh_schema:
+            new.append(made(before(known).join(after(data), ["p", "via"]), "s", F.col("p"), "o"))
+        new.append(made(of(RDF_TYPE, data).withColumnRenamed("o", "via").join(of(SUB_CLASS).select(F.col("s").alias("via"), "o"), "via"), "s", RDF_TYPE, "o"))
+        for schema, end in ((DOMAIN, "s"), (RANGE, "o")):
+            rule = of(schema).select(F.col("s").alias("p"), F.col("o").alias("cls"))
+            new.append(made(data.join(rule, "p").select(F.col(end).alias("x"), "cls"), "x", RDF_TYPE, "cls"))
+            if schema == DOMAIN and fresh_schema:
+                new.append(made(literals.join(rule, "p"), "s", RDF_TYPE, "cls"))
         inv = of(INVERSE)
-        both = inv.union(inv.select("o", "s")).select(F.col("s").alias("a"), F.col("o").alias("b"))
-        new.append(made(things.join(both, things["p"] == both["a"]), "o", F.col("b"), "s"))
-        sym = types.filter(F.col("o") == SYMMETRIC).select(F.col("s").alias("a"))
-        new.append(made(things.join(sym, things["p"] == sym["a"]), "o", F.col("p"), "s"))
-        known = cut(merge(known, *new))
-        more = known.count()
-        if more == n:
-            return known
-        n = more
+        both = inv.union(inv.select("o", "s")).select(F.col("s").alias("p"), F.col("o").alias("b"))
+        new.append(made(data.join(both, "p"), "o", F.col("b"), "s"))
+        new.append(made(data.join(flagged(SYMMETRIC), "p"), "o", F.col("p"), "s"))
+        delta = cut(reduce(DataFrame.unionByName, new).distinct().join(known, ["s", "p", "o"], "left_anti"))
+        if delta.isEmpty():
+            break
+        parts.append(delta)
+        rules = F.col("p").isin([SUB_CLASS, DOMAIN, RANGE, INVERSE]) | ((F.col("p") == RDF_TYPE) & F.col("o").isin([TRANSITIVE, SYMMETRIC]))
+        fresh_schema = not delta.filter(rules).isEmpty()
+    added = parts[1:]
+    if not added:
+        return whole
+    return whole.unionByName(reduce(DataFrame.unionByName, added).select("s", "p", "o", F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("lang")))
 
 
 def explosion(before: DataFrame, after: DataFrame) -> DataFrame:

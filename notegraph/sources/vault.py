@@ -6,7 +6,8 @@
 Options: hidden = skip (default; any part of the path that starts with a dot), git (only .git) or
 all; content = true (default) or false, which lists paths and sizes without reading a file.
 Columns: path (NFC, relative, with slashes), bytes, content (binary, null for other files than
-notes). The driver lists names, tasks read the files.
+notes). The driver lists only the upper folders, until there are enough of them; tasks walk and
+read what lies below.
 """
 
 from __future__ import annotations
@@ -14,28 +15,43 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FILES_IN_TASK = 500
+#: Folders that the driver hands out at least, if there are so many within DEPTH levels.
+FOLDERS, DEPTH = 64, 4
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, str]]) -> None:
-        self.files = files
+class _Part(InputPartition):
+    """Some files, and a folder with all below it."""
 
+    def __init__(self, files: list[str], folder: str | None = None) -> None:
+        self.files, self.folder = files, folder
 
-def _listed(root: str, hidden: str) -> Iterator[tuple[str, str]]:
+
+def _split(folder: str, hidden: str) -> tuple[list[str], list[str]]:
+    """(folders, files) right below a folder."""
     skip = {"skip": lambda n: n.startswith("."), "git": lambda n: n == ".git", "all": lambda n: False}[hidden]
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not skip(d))
-        for n in names:
-            if hidden != "skip" or not n.startswith("."):
-                real = os.path.join(folder, n)
-                if os.path.isfile(real):
-                    yield unicodedata.normalize("NFC", os.path.relpath(real, root).replace(os.sep, "/")), real
+    folders, files = [], []
+    for entry in os.scandir(folder):
+        if entry.is_dir(follow_symlinks=False):
+            if not skip(entry.name):
+                folders.append(entry.path)
+        elif entry.is_file() and (hidden != "skip" or not entry.name.startswith(".")):
+            files.append(entry.path)
+    return sorted(folders), sorted(files)
+
+
+def _below(folder: str, hidden: str) -> Iterator[str]:
+    todo = [folder]
+    while todo:
+        folders, files = _split(todo.pop(), hidden)
+        todo += folders
+        yield from files
 
 
 class _Reader(DataSourceReader):
@@ -44,12 +60,19 @@ class _Reader(DataSourceReader):
         self.content = str(options.get("content", "true")).lower() == "true"
 
     def partitions(self):
-        files = sorted(_listed(self.root, self.hidden))
-        return [_Files(files[i : i + FILES_IN_TASK]) for i in range(0, len(files), FILES_IN_TASK)] or [_Files([])]
+        folders, files = [self.root], []
+        for _ in range(DEPTH):
+            if len(folders) >= FOLDERS:
+                break
+            split = [_split(f, self.hidden) for f in folders]
+            folders = [d for below, _ in split for d in below]
+            files += [f for _, own in split for f in own]
+        parts = [_Part(files[i : i + FILES_IN_TASK]) for i in range(0, len(files), FILES_IN_TASK)]
+        return [*parts, *(_Part([], f) for f in folders)] or [_Part([])]
 
     def read(self, partition):
-        for path, real in partition.files:
-            content = None
+        for real in chain(partition.files, _below(partition.folder, self.hidden) if partition.folder else ()):
+            path, content = unicodedata.normalize("NFC", os.path.relpath(real, self.root).replace(os.sep, "/")), None
             if self.content and path.endswith(".md"):
                 with open(real, "rb") as f:
                     content = f.read()
