@@ -81,7 +81,9 @@ def match(t: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
                 names[term[1:]] = column
         df = df.select(*[F.col(c).alias(v) for v, c in names.items()])
         shared = [c for c in df.columns if out is not None and c in out.columns]
-        out = df if out is None else out.join(df, shared) if shared else out.crossJoin(df)
+        if out is not None and not shared:
+            raise ValueError("patterns without a shared variable: their product is not built")
+        out = df if out is None else out.join(df, shared)
     return out.distinct()
 
 
@@ -332,6 +334,21 @@ UNION ALL SELECT '{CREATED}', 'literal', '{XSD_DATE}', NULL, count(*), count(DIS
 UNION ALL SELECT '{VAULT}' || kind, 'iri', NULL, NULL, count(DISTINCT (nfc_normalize(src), nfc_normalize(dst))), count(DISTINCT nfc_normalize(src)) FROM ge WHERE dst IS NOT NULL GROUP BY kind
 UNION ALL SELECT '{VAULT}tag', 'iri', NULL, NULL, count(DISTINCT (nfc_normalize(path), nfc_normalize(tag))), count(DISTINCT nfc_normalize(path)) FROM gt
 UNION ALL SELECT '{BROADER}', 'iri', NULL, NULL, count(*), count(DISTINCT child) FROM up""",
+    "rdf_inferred_vault": f"""WITH RECURSIVE {_G}, {_TAGS}, {_TREE},
+b AS (SELECT DISTINCT nfc_normalize(src) AS s, nfc_normalize(dst) AS o FROM ge WHERE kind = 'builds_on' AND dst IS NOT NULL),
+closure(s, o) AS (SELECT s, o FROM b UNION SELECT c.s, b.o FROM closure c JOIN b ON b.s = c.o),
+typed AS (SELECT nfc_normalize(path) AS x FROM gn WHERE type <> ''),
+known AS (SELECT x FROM typed UNION SELECT s FROM b UNION SELECT o FROM b),
+kinds AS (SELECT count(DISTINCT nfc_normalize(type)) AS n FROM gn WHERE type <> ''),
+n AS (
+  SELECT '{RDF_TYPE}' AS p, (SELECT count(*) FROM typed) + 2 AS before, (SELECT count(*) FROM typed) + 2 + (SELECT count(*) FROM known) AS after
+  UNION ALL SELECT '{VAULT}summary', count(*), count(*) FROM gn WHERE summary <> '' UNION ALL SELECT '{CREATED}', count(*), count(*) FROM gn WHERE created <> ''
+  UNION ALL SELECT '{VAULT}' || kind, count(DISTINCT (nfc_normalize(src), nfc_normalize(dst))), CASE WHEN kind = 'builds_on' THEN (SELECT count(*) FROM closure) ELSE count(DISTINCT (nfc_normalize(src), nfc_normalize(dst))) END FROM ge WHERE dst IS NOT NULL GROUP BY kind
+  UNION ALL SELECT '{VAULT}linked_by', 0, count(DISTINCT (nfc_normalize(src), nfc_normalize(dst))) FROM ge WHERE dst IS NOT NULL AND kind = 'links_to'
+  UNION ALL SELECT '{VAULT}tag', count(DISTINCT (nfc_normalize(path), nfc_normalize(tag))), count(DISTINCT (nfc_normalize(path), nfc_normalize(tag))) FROM gt
+  UNION ALL SELECT '{BROADER}', (SELECT count(*) FROM up), (SELECT count(*) FROM tree) UNION ALL SELECT '{BROADER.replace('broader', 'narrower')}', 0, count(*) FROM tree
+  UNION ALL SELECT '{SUB_CLASS}', n, n FROM kinds UNION ALL SELECT '{DOMAIN}', 1, 1 UNION ALL SELECT '{RANGE}', 1, 1 UNION ALL SELECT '{INVERSE}', 2, 2)
+SELECT p, before, after, CASE WHEN before > 0 THEN after / before END AS ratio FROM n UNION ALL SELECT NULL, CAST(sum(before) AS BIGINT), CAST(sum(after) AS BIGINT), sum(after) / sum(before) FROM n""",
     "rdf_inferred": f"""WITH RECURSIVE {_G}, {_TAGS}, {_TREE}
 SELECT '{BROADER}' AS p, count(*) AS n FROM tree UNION ALL SELECT '{BROADER.replace('broader', 'narrower')}', count(*) FROM tree UNION ALL SELECT '{RDF_TYPE}', 1 UNION ALL SELECT '{INVERSE}', 1""",
 }
