@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """kind, first, spellings, ids: each look that names, paths or links are spelled in several ways, by its first spelling."""
+    names, paths, links, *forms = _forms(spark, d)
+    classes = []
+    for kind, ids, form in zip(("name", "path", "link"), (names, paths, links), forms):
+        counted = ids.groupBy("value").agg(F.count(F.lit(1)).alias("n")).join(form, "value")
+        several = counted.groupBy("form").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("ids")).filter("spellings > 1")
+        classes.append(several.select(F.lit(kind).alias("kind"), "first", "spellings", "ids"))
+    return reduce(DataFrame.unionByName, classes)
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every value of node.name, node.path and edge.raw that is disguised, with its consistent form."""
     node, edge = table(spark, d, "node"), table(spark, d, "edge")
@@ -101,7 +114,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return marks(*_counts(spark, d)).select(F.col("term").alias("tag"), "n_rows", F.col("n_records").alias("n_notes"), "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_values, p5_found, p5_forms, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_values, p5_found, p5_classes, p5_forms, p6_found, p6_counts)}
 
 _TAG = "trim(regexp_replace(trim(tag), '^#', ''))"
 _PAIRS = f"""
@@ -139,6 +152,8 @@ SELECT tag_a, tag_b, n, n_a, n_b, round(n * big / (n_a * n_b), 6) AS lift, round
   SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.f = b.f AND a.v <> b.v AND a.id <> b.id UNION SELECT a.id, b.id FROM paths a JOIN paths b ON a.f = b.f AND a.v <> b.v AND a.id <> b.id
   UNION SELECT n.id, l.id FROM names n JOIN links l ON n.f = l.f AND n.v <> l.v AND NOT contains(l.v, '/') UNION SELECT n.id, l.id FROM stems n JOIN links l ON n.f = l.f AND n.v <> l.v AND contains(l.v, '/'))
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM found""",
+    "p5_classes": f"""{_SPELLINGS}, every AS (SELECT 'name' AS kind, * FROM names UNION ALL SELECT 'path', * FROM paths UNION ALL SELECT 'link', * FROM links)
+SELECT kind, min(v) AS first, count(DISTINCT v) AS spellings, count(*) AS ids FROM every GROUP BY kind, f HAVING count(DISTINCT v) > 1""",
     "p6_found": f"{_COUNTS} SELECT tag, mark FROM m WHERE mark IS NOT NULL",
     "p6_counts": f"{_COUNTS} SELECT tag, n_rows, n_notes, mark FROM m",
 }
