@@ -43,7 +43,7 @@ LIMITS = (1, 1, 2, 2, 3, *(int(4 * 1.2**i) for i in range(16)))
 RUN_ROUNDS = (0, 4)
 #: From this round on (and after runs) the windows are held against CORE; before, few characters are taken off.
 LOOK_ROUND = 8
-#: Characters named at a time; longer texts go alone.
+#: Characters named at a time; longer texts come in pieces.
 CHUNK = 250_000
 #: Rows of a key in one task from which on the further ones are spread over many tasks, and the
 #: counters by which a task knows (a collision only spreads a key that needn't be).
@@ -188,23 +188,30 @@ def window_names(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tu
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def _chunks(ids: list, texts: list, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, ids, first position) of runs of texts, each text followed by _SEP."""
+def _chunks(ids: list, texts: list, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, ids, first positions, offsets) of runs of texts, each followed by _SEP.
+
+    A text of more than CHUNK characters comes in pieces, each with the offset of its first
+    character; they overlap by least - 1 characters, so every window lies in exactly one of them.
+    What is told of a window depends on its own characters alone, so a cut changes nothing.
+    """
     held, n = [], 0
 
     def emit():
-        codes = [np.append(np.frombuffer(t.encode("utf-32-le"), np.uint32), _SEP) for _, t in held]
+        codes = [np.append(np.frombuffer(t.encode("utf-32-le"), np.uint32), _SEP) for _, t, _ in held]
         firsts = np.cumsum([0, *(len(c) for c in codes)])
-        return np.concatenate(codes), np.array([i for i, _ in held], np.int64), firsts
+        return np.concatenate(codes), np.array([i for i, _, _ in held], np.int64), firsts, np.array([o for _, _, o in held], np.int64)
 
     for i, t in zip(ids, texts):
         if t is None or len(t) < least:
             continue
-        if held and n + len(t) > CHUNK:
-            yield emit()
-            held, n = [], 0
-        held.append((i, t))
-        n += len(t)
+        for offset in range(0, len(t) - least + 1, CHUNK):
+            piece = t[offset : offset + CHUNK + least - 1]
+            if held and n + len(piece) > CHUNK:
+                yield emit()
+                held, n = [], 0
+            held.append((i, piece, offset))
+            n += len(piece)
     if held:
         yield emit()
 
@@ -239,12 +246,13 @@ def _find_keys(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(COUNTERS, np.int32)
         for batch in batches:
-            for codes, ids, firsts in _chunks(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), least):
+            for codes, ids, firsts, offsets in _chunks(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), least):
                 name, at = cores(codes, _window_starts(firsts, least), least)
                 key = name.view(np.int64)
                 row = np.searchsorted(firsts, at, side="right") - 1
                 keep, last = _chains(row, key, at - firsts[row], least)
-                key, doc, pos = key[keep], ids[row[keep]], (at - firsts[row])[keep]
+                start = offsets[row] - firsts[row]
+                key, doc, pos, last = key[keep], ids[row[keep]], (at + start)[keep], last + offsets[row[keep]]
                 uniq, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
                 slot = uniq & (COUNTERS - 1)
                 before = met[slot]
@@ -357,11 +365,11 @@ def _windows(least: int, reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_hits = dict(zip(batch.column("doc").to_pylist(), batch.column("hits").to_pylist()))
-            for codes, ids, firsts in _chunks(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), least):
-                hits = [all_hits[i] for i in ids.tolist()]
+            places = {d: np.array([(h["pos"], h["last"]) for h in hits], np.int64) for d, hits in zip(batch.column("doc").to_pylist(), batch.column("hits").to_pylist())}
+            for codes, ids, firsts, offsets in _chunks(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), least):
+                hits = [places[i] for i in ids.tolist()]
                 row = np.repeat(np.arange(len(ids)), [len(h) for h in hits])
-                pos, last = (np.array([h[c] for some in hits for h in some], np.int64) + firsts[row] for c in ("pos", "last"))
+                pos, last = (np.concatenate(hits) + (firsts[row] - offsets[row])[:, None]).T
                 lo, hi = np.maximum(pos - reach, firsts[row]), np.minimum(last, firsts[row + 1] - 1 - least) + 1
                 edges = np.bincount(lo[lo < hi], minlength=len(codes) + 2) - np.bincount(hi[lo < hi], minlength=len(codes) + 2)
                 starts = np.flatnonzero(np.cumsum(edges))
@@ -372,7 +380,7 @@ def _windows(least: int, reach: int):
                 new = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(starts) > least)
                 first = np.flatnonzero(np.append(True, new)) if len(starts) else starts
                 stops = starts[np.append(first[1:], len(starts)) - 1] + least if len(starts) else starts
-                begin = firsts[doc[first]]
+                begin = firsts[doc[first]] - offsets[doc[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g1[first], g2[first], ids[doc[first]], starts[first] - begin, stops - begin)], names=["g1", "g2", "doc", "start", "stop"])
 
     return run

@@ -269,6 +269,42 @@ def test_shared_spans(spark, seed, alphabet, monkeypatch):
     assert links == {i: (first[t] if t and len(t) >= 200 else i, sum(i in p for p in want)) for i, t in docs}
 
 
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    """Pieces of 300 characters give what whole texts give, by pairs, by windows and in periodic stretches."""
+    docs = corpus(21, "abcdef ")
+    docs += [(2000, "x" + "ab" * 700 + docs[5][1]), (2001, docs[5][1] + "ab" * 500), (2002, "".join(t or "" for _, t in docs[:20]))]
+    want, cover = brute(docs)
+    for pairwise in (32, 3):
+        monkeypatch.setattr(S, "PAIRWISE", pairwise)
+        monkeypatch.setattr(S, "_find_keys", _with_chunk(300, S._find_keys))
+        monkeypatch.setattr(S, "_windows", _with_chunk(300, S._windows))
+        df = spark.createDataFrame(docs, "doc_id bigint, text string")
+        copies, pairs, intervals = S.shared_spans(df)
+        assert {tuple(r) for r in S.expand_pairs(copies, pairs).collect()} == want
+        assert {r["doc_id"]: r["shared"] for r in S.shared_chars(df, copies, intervals).collect()} == cover
+        monkeypatch.undo()
+
+
+def _with_chunk(size, make):
+    """`make`, whose function sets CHUNK where it runs, in the worker."""
+
+    def made(*args):
+        run = make(*args)
+
+        def inside(batches):
+            from notegraph.llm import shared_spans
+
+            before, shared_spans.CHUNK = shared_spans.CHUNK, size
+            try:
+                yield from run(batches)
+            finally:
+                shared_spans.CHUNK = before
+
+        return inside
+
+    return made
+
+
 def test_hot_groups_are_split_by_grams(spark, monkeypatch):
     monkeypatch.setattr(S, "PAIRWISE", 4)
     docs = corpus(9, "abcdef ")
