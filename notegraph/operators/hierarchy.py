@@ -137,18 +137,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0)
 
 
-def loop_nodes(links: DataFrame) -> DataFrame:
+def loop_nodes(links: DataFrame, loose: DataFrame | None = None) -> DataFrame:
     """id, loop_head: every node that lies on a loop of links, with the smallest id of all that it reaches and that reach it.
 
     All parents count. Where each child has one, sizes go upward and what is never processed
     holds the loops. Children with several parents are junctions: every node climbs by doubling to
     the junction above it, the junctions with the links between them make a small graph, and the
     loops of that are its strong components together with the nodes climbed over between them.
+    loose: what subtree_sizes left unprocessed of the same links, if known.
     """
     edges = cut(clean(links))
     junctions = cut(edges.groupBy("child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("child").alias("id")))
     if junctions.isEmpty():
-        return loops(subtree_sizes(edges)[1])
+        return loops(subtree_sizes(edges)[1] if loose is None else loose)
     plain = edges.join(junctions.withColumnRenamed("id", "child"), "child", "left_anti").select(F.col("child").alias("id"), F.col("parent").alias("at"))
     ids = edges.select(F.col("child").alias("id")).union(edges.select("parent")).distinct()
     first = cut(ids.join(plain, "id", "left").select("id", F.coalesce("at", "id").alias("at"), F.col("at").isNull().alias("top")))
@@ -244,7 +245,7 @@ def hierarchy(links: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     sets = nested_sets(done, chains=True)
     none = lambda t: F.lit(None).cast(t)
     off = loose.select("id", "parent", none("string").alias("root"), none("int").alias("depth"), none("bigint").alias("lft"), none("bigint").alias("rgt"), none("bigint").alias("below"), none("array<string>").alias("chain"))
-    return sets.unionByName(off).join(loop_nodes(links), "id", "left").withColumnRenamed("id", "path")
+    return sets.unionByName(off).join(loop_nodes(links, loose), "id", "left").withColumnRenamed("id", "path")
 
 
 def part_of(edge: DataFrame) -> DataFrame:
