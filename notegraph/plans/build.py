@@ -11,7 +11,7 @@ from notegraph.functions import text as T
 from notegraph.operators.resolve import resolve
 from notegraph.operators.skew import heavy_keys, skew_join
 from notegraph.session import cut
-from notegraph.sources.tables import table
+from notegraph.sources.tables import dealt, table
 
 #: Configuration: zones and files that are no part of the graph unless `build` is told others; links into them stay unresolved.
 EXCLUDED_ZONES = ["800 TRPG", "900 Archive"]
@@ -112,11 +112,12 @@ def vault_notes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("text IS NOT NULL")
     path = F.coalesce("path", F.concat(F.lit("inbox/doc"), F.col("doc_id").cast("string"), F.lit(".md")))
     docs = docs.select(path.alias("path"), "doc_id", "captured_at", "text")
+    whole = dealt(docs.select("path", "doc_id", "text"), "doc_id")
     # only ids and times are shuffled, not the texts: few documents have a later one of their path
     last = docs.groupBy("path").agg(F.max(F.struct("captured_at", "doc_id"))["doc_id"].alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     older = cut(docs.select("path", "doc_id").join(last, "path").filter("doc_id <> last").select("doc_id"))
     small = older.count() <= SUPERSEDED
-    return docs.join(F.broadcast(older) if small else older, "doc_id", "left_anti").select("path", "text")
+    return whole.join(F.broadcast(older) if small else older, "doc_id", "left_anti").select("path", "text")
 
 
 def vault_targets(spark: SparkSession, d: str) -> DataFrame:
