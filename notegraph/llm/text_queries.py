@@ -12,14 +12,14 @@ from notegraph.llm.packing import fill_containers, fill_report
 from notegraph.llm.shared_spans import expand_pairs, shared_chars, shared_classes, shared_spans
 from notegraph.llm.tokens import token_count
 from notegraph.session import cut
-from notegraph.sources.tables import table
+from notegraph.sources.tables import dealt, table
 
 #: Tokens of a container.
 CAPACITY = 4096
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = dealt(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
     return cut(docs.select("doc_id", "source", token_count(F.col("text")).alias("size")))
 
 
