@@ -35,7 +35,7 @@ def resolve(links: DataFrame, targets: DataFrame, rows: int | None = None) -> Da
     keyed = links.withColumn("_key", nfc(F.col("target"))).withColumn("_dir", path_dir(F.col("src")))
     asked = keyed.select("_key", "_dir").distinct()
     keys = link_keys(targets).groupBy("key").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n"))
-    known = skew_join(asked, keys.withColumnRenamed("key", "_key"), "_key", "inner", heavy_keys(asked, "_key", rows=rows))
+    known = cut(skew_join(asked, keys.withColumnRenamed("key", "_key"), "_key", "inner", heavy_keys(asked, "_key", rows=rows)))
     # only ambiguous names ask for the folder: its ends are matched with the folders of the candidates
     doubtful = known.filter("n > 1 AND _dir <> ''").select("_key", "_dir")
     asked_keys = doubtful.select(F.col("_key").alias("key")).distinct()
