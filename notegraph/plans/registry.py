@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notegraph.plans import author, build, catalog, integrity, lint, measure, older, rdf, snapshot
+from notegraph.plans import author, build, catalog, integrity, lint, measure, older, rdf, snapshot, stores
 
-MODULES = [catalog, build, lint, measure, snapshot, author, rdf, older, integrity]
+MODULES = [catalog, build, lint, measure, snapshot, author, rdf, older, integrity, stores]
 
 
 def queries() -> dict:
