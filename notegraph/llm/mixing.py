@@ -12,8 +12,9 @@ from notegraph.session import cut
 
 #: Tokens of a block, unless the caller says otherwise.
 BLOCK = 4096
-#: Slots of a schedule, and so the rows that are broadcast, are at most this many. A selection of more
-#: than BLOCK * MAX_SLOTS tokens has larger blocks: the grain of the interleaving is a 100,000th of it.
+#: Slots of a schedule, and so the rows that are broadcast, are at most this many and one more for each
+#: source. A selection of more blocks is a number of epochs, each with its part of every quota, that
+#: follow the same schedule.
 MAX_SLOTS = 100_000
 #: A target list is a configuration; it is read by the driver and may not be longer.
 MAX_SOURCES = 10_000
@@ -47,23 +48,29 @@ def schedule(quotas: list[int], block: int) -> list[tuple[int, int]]:
     return out
 
 
-def emitted_lags(selection: DataFrame, quotas: DataFrame, block: int) -> DataFrame:
+def emitted_lags(selection: DataFrame, quotas: DataFrame, block: int, slots: int) -> DataFrame:
     """source, lag: by how many blocks the tokens really emitted of a source are away from its share at most.
 
-    quotas: source, quota. Between two of its own slots a source only falls behind, so it is enough
-    to look before and after each of them, and at the end. A slot is one source's, so the running
-    total goes over at most MAX_SLOTS rows, and one for each source.
+    quotas: source, quota; slots: of one epoch. Between two of its own slots a source only falls
+    behind, so it is enough to look before and after each of them, and at the end. The running
+    totals are those of the epochs before, one row for each epoch and source, and those inside an
+    epoch, of at most MAX_SLOTS slots and one more for each source.
     """
-    own = selection.groupBy("slot", "source").agg(F.sum("size").alias("n"))
-    whole = quotas.agg(F.sum("quota").alias("all"))
-    end = quotas.select(F.lit(None).cast("bigint").alias("slot"), "source", F.lit(0).cast("bigint").alias("n"))
-    order = F.col("slot").asc_nulls_last()
-    run = own.unionByName(end).withColumn("total", F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("got", F.sum("n").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    own = selection.groupBy("slot", "source").agg(F.sum("size").alias("n")).withColumn("epoch", F.floor(F.col("slot") / max(slots, 1)))
+    by_epoch = own.groupBy("epoch", "source").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = by_epoch.select("epoch", "source", before(Window.partitionBy("source")).alias("got_before"))
+    total = by_epoch.groupBy("epoch").agg(F.sum("n").alias("n")).select("epoch", before(Window.partitionBy()).alias("total_before"))
+    upto = lambda *c: F.sum("n").over(Window.partitionBy(*c).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    run = own.select("epoch", "source", "n", upto("epoch").alias("total"), upto("epoch", "source").alias("got")).join(got, ["epoch", "source"]).join(total, "epoch")
+    run = run.select("source", "n", (F.col("total") + F.col("total_before")).alias("total"), (F.col("got") + F.col("got_before")).alias("got"))
+    sums = by_epoch.groupBy("source").agg(F.sum("n").alias("got"))
+    whole = quotas.agg(F.sum("quota").alias("all")).crossJoin(F.broadcast(by_epoch.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))))
+    end = quotas.join(sums, "source", "left").crossJoin(F.broadcast(whole.select("total"))).select("source", F.lit(0).cast("bigint").alias("n"), "total", F.coalesce("got", F.lit(0)).alias("got"))
     share = F.when(F.col("all") > 0, F.col("quota") / F.col("all")).otherwise(F.lit(0.0))
-    off = run.join(F.broadcast(quotas), "source").crossJoin(F.broadcast(whole)).withColumn("share", share)
-    after, before = F.abs(F.col("share") * F.col("total") - F.col("got")), F.abs(F.col("share") * (F.col("total") - F.col("n")) - (F.col("got") - F.col("n")))
-    return off.groupBy("source").agg((F.max(F.greatest(after, before)) / block).alias("lag"))
+    off = run.unionByName(end).join(F.broadcast(quotas), "source").crossJoin(F.broadcast(whole.select("all"))).withColumn("share", share)
+    after, first = F.abs(F.col("share") * F.col("total") - F.col("got")), F.abs(F.col("share") * (F.col("total") - F.col("n")) - (F.col("got") - F.col("n")))
+    return off.groupBy("source").agg((F.max(F.greatest(after, first)) / block).alias("lag"))
 
 
 def plan(totals: dict[str, int], targets: list[tuple[str, float, int]], size: int | None = None) -> list[dict]:
@@ -96,8 +103,9 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, block
     numbers the uses of a document from 0. Each source is a stream of its documents in hash order,
     repeated at most max_repeat times and cut after the last document of which at least half lies
     in the quota, so a source misses its quota by half a document at most. The stream lies in blocks
-    of `block` tokens, or of a MAX_SLOTS-th of the selection if that is more; the schedule interleaves
-    the blocks, and a document comes with the block in which it starts. size: tokens of the whole
+    of `block` tokens; the schedule interleaves the blocks, and a document comes with the block in
+    which it starts. A selection of more than MAX_SLOTS blocks is cut into epochs with equal parts of
+    every quota, which follow one schedule, so every source is at its share at the end of each. size: tokens of the whole
     selection; None: as many as possible without a source falling short.
 
     shares: source, weight, target, size, share, documents, uses, short (target - size), lag. lag is
@@ -114,19 +122,23 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, block
     totals = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # at most MAX_SOURCES rows
     rows = plan(totals, wanted, size)
     quotas = [x["quota"] for x in rows]
-    block = max(1, block, -(-sum(quotas) // MAX_SLOTS))
-    order = schedule(quotas, block)
-    slots = spark.createDataFrame([(rows[s]["source"], j, t) for t, (s, j) in enumerate(order)], "source string, block bigint, slot bigint")
+    block = max(1, block)
+    epochs = max(1, -(-sum(quotas) // (block * MAX_SLOTS)))
+    order = schedule([-(-q // epochs) for q in quotas], block)
+    slots = spark.createDataFrame([(rows[s]["source"], j, t) for t, (s, j) in enumerate(order)], "source string, block bigint, in_epoch bigint")
     limits = spark.createDataFrame([(x["source"], x["quota"], x["available"], x["max_repeat"]) for x in rows], "source string, quota bigint, available bigint, max_repeat int")
     placed = prefix_sums(docs, ["source"], [F.xxhash64("doc_id"), F.col("doc_id")], "size", "start", rows=docs.count()).join(F.broadcast(limits), "source")
     half = F.floor((F.col("size") + 1) / 2)
     passes = F.least(F.floor((F.col("quota") - F.col("start") - half) / F.col("available")), F.col("max_repeat") - 1).cast("int")
     uses = placed.filter(F.col("start") + half <= F.col("quota")).withColumn("pass", F.explode(F.sequence(F.lit(0), passes)))
     uses = uses.withColumn("at", F.col("pass") * F.col("available") + F.col("start"))
-    last = F.floor((F.col("quota") - 1) / block)
-    selection = uses.withColumn("block", F.least(F.floor(F.col("at") / block), last)).join(F.broadcast(slots), ["source", "block"])
+    # epoch e of a source starts at its token floor(e * quota / epochs)
+    at = F.least("at", F.col("quota") - 1)
+    uses = uses.withColumn("epoch", F.expr(f"(least(at, quota - 1) * {epochs} + {epochs} - 1) div quota"))
+    uses = uses.withColumn("block", F.floor((at - F.expr(f"epoch * quota div {epochs}")) / block))
+    selection = uses.join(F.broadcast(slots), ["source", "block"]).withColumn("slot", F.col("epoch") * len(order) + F.col("in_epoch"))
     selection = cut(selection.select("slot", "source", "doc_id", "pass", "size", "at"))
-    lags = emitted_lags(selection, limits.select("source", "quota"), block)
+    lags = emitted_lags(selection, limits.select("source", "quota"), block, len(order))
     info = spark.createDataFrame([(x["source"], x["weight"], x["target"]) for x in rows], "source string, weight double, target bigint")
     got = selection.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.when(F.col("pass") == 0, 1)).alias("documents"), F.count(F.lit(1)).alias("uses"))
     whole = got.agg(F.sum("size").alias("whole"))

@@ -183,8 +183,10 @@ def test_mix(spark):
     assert mix(docs, targets.limit(0))[1].count() == 0
 
 
-def test_lag_is_that_of_the_emitted_documents(spark):
-    """Documents longer than a block: the lag counts their overhang, as a plain walk over the rows does."""
+@pytest.mark.parametrize("slots", [100_000, 90, 25, 7])
+def test_lag_is_that_of_the_emitted_documents(spark, slots, monkeypatch):
+    """Documents longer than a block: the lag counts their overhang, as a plain walk over the rows does; in one epoch or many."""
+    monkeypatch.setattr("notegraph.llm.mixing.MAX_SLOTS", slots)
     rnd = random.Random(18)
     rows = [(i, "ab"[i % 2], rnd.randint(1, 200)) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
@@ -192,7 +194,11 @@ def test_lag_is_that_of_the_emitted_documents(spark):
     selection, shares = mix(docs, targets, block=50)
     by = {r["source"]: r for r in shares.collect()}
     per_slot = Counter()
-    for r in selection.collect():
+    ordered = selection.orderBy("slot", "at").collect()
+    for k in "ab":  # each source in the order of its stream, in blocks of 50 tokens whatever the number of epochs
+        own = [r["at"] for r in ordered if r["source"] == k]
+        assert own == sorted(own) and len({r["slot"] for r in ordered if r["source"] == k}) > 0.4 * len(own)
+    for r in ordered:
         per_slot[(r["slot"], r["source"])] += r["size"]
     quota = {"a": by["a"]["target"], "b": by["b"]["target"]}
     total, got, worst = 0, Counter(), Counter()
