@@ -56,8 +56,8 @@ def emitted_lags(selection: DataFrame, quotas: DataFrame, block: int, slots: int
     totals are those of the epochs before, one row for each epoch and source, and those inside an
     epoch, of at most MAX_SLOTS slots and one more for each source.
     """
-    own = selection.groupBy("slot", "source").agg(F.sum("size").alias("n")).withColumn("epoch", F.floor(F.col("slot") / max(slots, 1)))
-    by_epoch = own.groupBy("epoch", "source").agg(F.sum("n").alias("n"))
+    own = cut(selection.groupBy("slot", "source").agg(F.sum("size").alias("n")).withColumn("epoch", F.floor(F.col("slot") / max(slots, 1))))
+    by_epoch = cut(own.groupBy("epoch", "source").agg(F.sum("n").alias("n")))
     before = lambda w: F.coalesce(F.sum("n").over(w.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     got = by_epoch.select("epoch", "source", before(Window.partitionBy("source")).alias("got_before"))
     total = by_epoch.groupBy("epoch").agg(F.sum("n").alias("n")).select("epoch", before(Window.partitionBy()).alias("total_before"))
