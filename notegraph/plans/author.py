@@ -96,14 +96,14 @@ def ingest(spark: SparkSession, root: str, source: str, draft: Draft, remove: bo
     return against
 
 
-#: What a note of each type should do, as a hint in its skeleton.
+#: A question that a note of each type answers, as a hint in its skeleton.
 HINTS = {
-    "concept": "Explain what it is and why, so that a reader understands it afterwards.", "procedure": "Steps in order, and how to tell that each worked.",
-    "principle": "The rule, its reason, and what goes wrong without it.", "decision": "What was chosen and why; pair it with the tradeoff.",
-    "tradeoff": "Compare the options along their axes; pair it with the decision.", "case": "Tell it in time: what was tried, what was wrong.",
-    "source-note": "Someone else's content: name the source first.", "reflection": "The way to a thought rather than its result.",
-    "project-doc": "Where a project stands.", "reference": "To look things up: list, don't explain.", "log": "A record of its moment, not changed later.",
-    "hub": "An index of other notes, one line for each link.", "template": "An empty form to copy and fill in.",
+    "concept": "What does the term mean, and what is an example of it?", "procedure": "Which steps, in which order, and how does one check each?",
+    "principle": "Which rule holds here, and on what grounds?", "decision": "Which option was taken, by whom and when?",
+    "tradeoff": "Which options are there, and what does each cost?", "case": "What happened, in order of time?",
+    "source-note": "Who wrote this, where, and what is quoted?", "reflection": "Which thought, and how did it come up?",
+    "project-doc": "What is the goal, and what is the state?", "reference": "Which values belong together in one table?", "log": "What was seen at which time?",
+    "hub": "Which notes belong to this topic?", "template": "Which fields does a copy of this have to fill?",
 }
 
 
@@ -111,7 +111,7 @@ def template(type_: str, today: str | None = None, bare: bool = False) -> str:
     """The skeleton of a note; bare: without hints."""
     if type_ not in TYPES:
         raise ValueError(f"no such type: {type_}")
-    summary = "" if bare else "one line of at most 80 characters that doesn't repeat the title"
+    summary = "" if bare else "in at most 80 characters"
     return f"---\ntype: {type_}\nsummary: {summary}\ncreated: {today or datetime.date.today().isoformat()}\n---\n\n# Title\n\n{'' if bare else HINTS[type_]}\n"
 
 
