@@ -90,17 +90,26 @@ def _steps() -> Iterator[tuple[int, int, bool]]:
 
 def symbols(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(name, start) of the characters; _SEP separates texts and is never named further."""
-    name = _mix(codes.astype(np.uint64))
-    name[codes == _SEP] = _WALL
+    table = _basic_names()
+    name = table[codes & np.uint32(0xFFFF)]
+    other = np.flatnonzero(codes > 0xFFFF)
+    name[other] = _mix(codes[other].astype(np.uint64))
+    name[other[codes[other] == _SEP]] = _WALL
     return name, np.arange(len(codes) + 1, dtype=np.int32)
 
 
+@lru_cache(1)
+def _basic_names() -> np.ndarray:
+    return _mix(np.arange(1 << 16, dtype=np.uint64))
+
+
 def compress(name: np.ndarray, start: np.ndarray, r: int, limit: int, runs: bool):
-    """One step of a round: (name, start, inner_lo, inner_hi).
+    """One step of a round: (name, start, inner_lo, inner_hi, longest).
 
     start has the end of the last symbol, too. inner_lo[i], inner_hi[i]: where a window of old
     symbols from i, up to i (not including it) begins and ends among the new ones, without the
-    symbol or run at its rim that might be named together with what stands around the window.
+    symbol or run at its rim that might be named together with what stands around the window; that
+    takes at most `longest` characters off each side.
     """
     active = (start[1:] - start[:-1] <= limit) & (name != _WALL)
     first = np.ones(len(start), bool)
@@ -113,15 +122,15 @@ def compress(name: np.ndarray, start: np.ndarray, r: int, limit: int, runs: bool
         pair = np.flatnonzero(right[:-1] & left[1:])
         first[pair + 1] = False
     at = np.cumsum(first[:-1], dtype=np.int32)
-    new = name[first[:-1]]
+    new, new_start, longest = name[first[:-1]], start[first], limit
     if runs:
-        times = np.diff(np.flatnonzero(first))
-        many = times > 1
-        new[many] = _mix(new[many] * _RUN + times[many].astype(np.uint64))
+        many, more = np.unique(at[np.flatnonzero(~first[:-1])] - 1, return_counts=True)
+        new[many] = _mix(new[many] * _RUN + (more + 1).astype(np.uint64))
+        longest = max(limit, int((new_start[many + 1] - new_start[many]).max(initial=0)))
     else:
         new[at[pair] - 1] = _mix(name[pair] * _PAIR + _mix(name[pair + 1] + np.uint64(r)))
     # of what is loose at a rim, the next symbol is the first of a new one, and so is a loose one at the end
-    return new, start[first], at - 1 + left, np.append(np.int32(0), at - right)
+    return new, new_start, at - 1 + left, np.append(np.int32(0), at - right), longest
 
 
 def cores(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -129,25 +138,41 @@ def cores(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tuple[np.
     name, start = symbols(codes)
     lo, hi = begin.astype(np.int32), begin.astype(np.int32) + np.int32(least)
     names, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    old = name, start, lo, hi  # as of the last look
+    before, since, lost = [], [], 0  # the steps up to the last look, those after it, and what they can take off
+    old = name, start  # as of the last look
+
+    def follow(lo: np.ndarray, hi: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
+        if not steps:
+            return lo, hi
+        to_lo, to_hi = steps[-1]
+        for step_lo, step_hi in steps[-2::-1]:  # from the last, as the later ones have fewer symbols
+            to_lo, to_hi = to_lo[step_lo], to_hi[step_hi]
+        return to_lo[lo], to_hi[hi]
 
     for r, limit, runs in _steps():
         if not len(lo):
             break
-        name, start, inner_lo, inner_hi = compress(name, start, r, limit, runs)
-        lo, hi = inner_lo[lo], inner_hi[hi]
+        name, start, inner_lo, inner_hi, longest = compress(name, start, r, limit, runs)
+        since.append((inner_lo, inner_hi))
+        lost += 2 * longest
         if not runs and r < LOOK_ROUND:
             continue
-        lasts = start[hi] - start[lo] >= CORE
+        if lost <= least - CORE:  # no window of this chunk can be under CORE yet
+            before, since, old = before + since, [], (name, start)
+            continue
+        lo, hi = follow(lo, hi, before)
+        new_lo, new_hi = follow(lo, hi, since)
+        lasts = start[new_hi] - start[new_lo] >= CORE
         if not lasts.all():
-            was, begins, a, b = old
-            a, b = _distinct(a[~lasts], b[~lasts])
+            was, begins = old
+            a, b = _distinct(lo[~lasts], hi[~lasts])
             names.append(_sequence_names(was, a, b))
             places.append(begins[a])
-            lo, hi = lo[lasts], hi[lasts]
-        lo, hi = _distinct(lo, hi)
-        old = name, start, lo, hi
+            new_lo, new_hi = new_lo[lasts], new_hi[lasts]
+        lo, hi = _distinct(new_lo, new_hi)
+        before, since, old = [], [], (name, start)
     if len(lo):
+        lo, hi = _distinct(*follow(lo, hi, before + since))
         names.append(_sequence_names(name, lo, hi))
         places.append(start[lo])
     return np.concatenate(names), np.concatenate(places).astype(np.int64)
@@ -174,7 +199,7 @@ def window_names(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tu
     for r, limit, runs in _steps():
         if not len(lo):
             break
-        new, new_start, inner_lo, inner_hi = compress(name, start, r, limit, runs)
+        new, new_start, inner_lo, inner_hi, _ = compress(name, start, r, limit, runs)
         new_lo, new_hi = inner_lo[lo], inner_hi[hi]
         lasts = new_start[new_hi] - new_start[new_lo] >= CORE
         finish(at[~lasts], lo[~lasts], hi[~lasts], r)
