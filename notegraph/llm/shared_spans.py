@@ -130,7 +130,7 @@ def compress(name: np.ndarray, start: np.ndarray, r: int, limit: int, runs: bool
     else:
         new[at[pair] - 1] = _mix(name[pair] * _PAIR + _mix(name[pair + 1] + np.uint64(r)))
     # of what is loose at a rim, the next symbol is the first of a new one, and so is a loose one at the end
-    return new, new_start, at - 1 + left, np.append(np.int32(0), at - right), longest
+    return new, new_start, np.append(at - 1 + left, np.int32(len(new))), np.append(np.int32(0), at - right), longest
 
 
 def cores(codes: np.ndarray, begin: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
